@@ -129,10 +129,11 @@ def repeats(group: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     if not len(key):
         return np.zeros(0, np.int64), np.zeros(0, bool)
     k = mix(key + group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    order = np.argsort(k, kind="stable")
-    new = np.append(True, k[order][1:] != k[order][:-1])
-    run = np.cumsum(new) - 1
+    order = np.argsort(k)
+    head = np.flatnonzero(np.append(True, k[order][1:] != k[order][:-1]))
+    size = np.diff(np.append(head, len(k)))
+    first = np.repeat(np.minimum.reduceat(order, head), size)
     count, later = np.empty(len(k), np.int64), np.empty(len(k), bool)
-    count[order] = np.bincount(run)[run]
-    later[order] = ~new
+    count[order] = np.repeat(size, size)
+    later[order] = first != order
     return count, later
