@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_crf, quality_pu
+from . import ctw, line_crf, quality_pu, toxicity_fm
 from .packing import pack
 from .sharding import shard_documents
 
@@ -20,6 +20,11 @@ def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.rule_documents(docs, line_crf.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op5_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity_fm.score_documents(docs, toxicity_fm.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality_pu.score_documents(docs, quality_pu.fit(docs, _table(spark, sf_dir, "labels")))
@@ -33,11 +38,17 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_crf": op1_line_crf,
+    "op5_toxicity_fm": op5_toxicity_fm,
     "op7_pu_quality": op7_pu_quality,
     "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
+    "op10_ctw": op10_ctw,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -119,7 +119,7 @@ def chunks(batch: pa.RecordBatch, name: str = "text", lower: bool = False, limit
     lo, n = 0, len(offs) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + (1 << 16))
         yield Chunk(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], lo, lower)
         lo = hi
 
