@@ -5,9 +5,8 @@ frequency.  Frequencies are counted over all documents by hash bucket, as featur
 table that every task gets has a fixed size.  Consistent weighted samples are banded; pairs that share a
 band are verified by the exact weighted Jaccard similarity of their whole texts; verified links make classes.
 
-Pairs within a bucket are not all made.  Members are held against the bucket's least, then its greatest
-member; what these links join needs no more comparing, and only pairs of members whose classes still
-differ follow.  So every pair that shares a band is linked, compared, or already in one class.
+Pairs within a bucket are not all made.  Members are held against the bucket's most central member first;
+what these links join needs no more comparing, and only pairs of members whose classes still differ follow.  So every pair that shares a band is linked, compared, or already in one class.
 """
 
 from __future__ import annotations
@@ -29,8 +28,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 18, 4
 #: Buckets of shingles whose documents are counted.
 BUCKETS = 1 << 18
-#: Of the 72 samples, those that a pair must share to be verified; at similarity 0.8 fewer agree once in 10^8.
-AGREE = 38
+#: Of the 72 samples, those that a pair must share to be verified; at similarity 0.8 fewer agree once in 10^5.
+AGREE = 42
+#: Members of a bucket that are compared with as many others at once.
+BLOCK = 192
 #: Ids of texts to compare that are sent to all tasks, at most; beyond it they are joined.
 BROADCAST_IDS = 1 << 20
 
@@ -186,10 +187,86 @@ def _links(pairs: DataFrame, signed: DataFrame, texts: DataFrame, idf: np.ndarra
     return materialise(sims.where(F.col("similarity") >= SIMILARITY).select("a", "b"))
 
 
-def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+def _split(at: DataFrame) -> DataFrame:
+    """The rows of buckets whose members are of several classes."""
+    several = at.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("band", "n")
+    return at.select("band", "node", "comp").join(several, "band")
+
+
+def _block_pairs(at: DataFrame) -> DataFrame:
+    """(band, x, y): every pair of blocks of a bucket, each a list of about BLOCK members (node, comp, load) at most."""
+    blocks = at.withColumn("nb", F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    lists = blocks.groupBy("band", "nb", "block").agg(F.collect_list(F.struct("node", "comp", "load")).alias("x"))
+    left = lists.select("band", "x", "block", F.explode(F.sequence(F.col("block"), F.col("nb") - 1)).alias("other"))
+    return left.join(lists.select("band", F.col("block").alias("other"), F.col("x").alias("y")), ["band", "other"]).select("band", "x", "y", (F.col("block") == F.col("other")).alias("same"))
+
+
+def _members(lists: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Nodes, classes and loads of the i-th block."""
+    lo, hi = lists.offsets[i].as_py(), lists.offsets[i + 1].as_py()
+    v = lists.values.slice(lo, hi - lo)
+    return v.field("node").to_numpy(), v.field("comp").to_numpy(), v.field("load")
+
+
+def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members that agree in AGREE samples with a member of another class."""
+    for batch in batches:
+        x, y = batch.column("x"), batch.column("y")
+        for i, band in enumerate(batch.column("band").to_pylist()):
+            (na, ca, sa), (nb, cb, sb) = _members(x, i), _members(y, i)
+            sa, sb = (np.stack([np.frombuffer(v, np.uint32) for v in s.to_pylist()]) for s in (sa, sb))
+            ok = np.zeros((len(na), len(nb)), bool)
+            for k in range(len(na)):
+                ok[k] = ((sa[k] == sb).sum(1) >= AGREE) & (ca[k] != cb)
+            node = np.concatenate([na[ok.any(1)], nb[ok.any(0)]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), band)), pa.array(node)], ["band", "node"])
+
+
+def _block_links(idf: np.ndarray):
+    """Exact links between members of different classes of two blocks; links that would close a circle are left out."""
+
+    def entries(loads: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        b = [v.encode() for v in loads.to_pylist()]
+        text, h, times = shingles(Chunk(np.frombuffer(b"".join(b), np.uint8), np.cumsum([0, *map(len, b)])))
+        w = _weights(h, times, idf)
+        return text, h, w, np.bincount(text, w, len(b))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("x"), batch.column("y")
+            for i in range(len(batch)):
+                (na, ca, la), (nb, cb, lb) = _members(x, i), _members(y, i)
+                (ta, ha, wa, sum_a), (tb, hb, wb, sum_b) = entries(la), entries(lb)
+                order = np.argsort(hb)
+                tb, hb, wb = tb[order], hb[order], wb[order]
+                cut = np.searchsorted(ta, np.arange(len(na) + 1))
+                up: dict[int, int] = {}
+
+                def root(c: int, up: dict[int, int] = up) -> int:
+                    while up.get(c, c) != c:
+                        c = up[c]
+                    return c
+
+                out = []
+                for k in range(len(na)):
+                    own = slice(cut[k], cut[k + 1])
+                    lo, hi = np.searchsorted(hb, ha[own]), np.searchsorted(hb, ha[own], "right")
+                    n = hi - lo
+                    at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    least = np.bincount(tb[at], np.minimum(np.repeat(wa[own], n), wb[at]), len(nb))
+                    sim = least / np.maximum(sum_a[k] + sum_b - least, 1e-12)
+                    for m in np.flatnonzero((sim >= SIMILARITY) & (cb != ca[k])):
+                        p, q = root(int(ca[k])), root(int(cb[m]))
+                        if p != q:
+                            up[max(p, q)] = min(p, q)
+                            out.append((int(na[k]), int(nb[m])))
+                yield pa.RecordBatch.from_arrays([pa.array([o[z] for o in out], pa.int64()) for z in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     """Components of all links so far: those found before, joined by links between their members."""
-    if comp is None:
-        return connected_components(links)
     old = lambda n: comp.select(F.col("node").alias(n), F.col("comp").alias(f"c{n}"))
     merged = links.join(old("a"), "a", "left").join(old("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     up = connected_components(merged)
@@ -210,28 +287,26 @@ def classes(rows: DataFrame) -> DataFrame:
     own = nodes.select("node")
     first = texts.withColumnRenamed("rid", "node").join(own, "node", "left_semi")
     signed = materialise(first.mapInArrow(_signed(idf), "node long, bands array<long>, samples binary"))
+    # The most central member of a bucket is the one whose own buckets hold the most members: where many copies
+    # were made of one text, that text, to which they are all closer than to each other.
     members = signed.select("node", F.explode("bands").alias("band"))
-    size = members.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    size = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialise(members.join(size, "band"))
+    central = materialise(members.groupBy("node").agg(F.sum("n").alias("rank")))
+    members = materialise(members.join(central, "node").select("band", "node", F.struct(F.col("rank"), (-F.col("node")).alias("m")).alias("rank")))
     plain = texts.withColumnRenamed("rid", "node")
 
-    comp = None
-    for end in ("lo", "hi"):
-        pairs = members.where(F.col("node") != F.col(end)).select(F.least("node", end).alias("a"), F.greatest("node", end).alias("b")).distinct()
-        if comp is not None:
-            label = lambda n: comp.select(F.col("node").alias(n), F.col("comp").alias(f"c{n}"))  # noqa: B023, E731
-            pairs = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        comp = _joined(comp, _links(pairs, signed, plain, idf))
+    top = members.groupBy("band").agg(F.max("rank").alias("top")).select("band", (-F.col("top.m")).alias("p"))
+    pairs = members.join(top, "band").where("node <> p").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+    comp = connected_components(_links(pairs, signed, plain, idf))
 
-    # Pairs of members whose classes still differ: found between classes first, then between their members.
+    # Members of one bucket whose classes still differ are compared in blocks, so no row is made for a pair.
     at = materialise(members.join(comp, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp")))
-    split = at.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band")
-    at = materialise(at.join(split, "band", "left_semi"))
-    by = at.select("band", "comp").distinct()
-    ca, cb = by.select("band", F.col("comp").alias("ca")), by.select("band", F.col("comp").alias("cb"))
-    between = ca.join(cb, "band").where("ca < cb")
-    rest = between.join(at.select("band", F.col("comp").alias("ca"), F.col("node").alias("a")), ["band", "ca"]).join(at.select("band", F.col("comp").alias("cb"), F.col("node").alias("b")), ["band", "cb"])
-    comp = _joined(comp, _links(rest.select("a", "b").distinct(), signed, plain, idf))
+    at = _split(at)
+    hopeful = _block_pairs(at.join(signed.select("node", F.col("samples").alias("load")), "node")).mapInArrow(_hopeful, "band long, node long").distinct()
+    at = _split(materialise(at.join(hopeful, ["band", "node"], "left_semi")))
+    links = _block_pairs(at.join(plain.select("node", F.col("text").alias("load")), "node")).mapInArrow(_block_links(idf), "a long, b long")
+    comp = _joined(comp, materialise(links.distinct()))
     named = nodes.join(comp, "node", "left").select("sha", F.coalesce("comp", "node").alias("comp"))
     return key.join(named, "sha").select("rid", "comp")
 
