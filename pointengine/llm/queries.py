@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, line_crf, near_dedup, quality_pu, toxicity_fm
+from . import ctw, line_crf, near_dedup, quality_pu, suffix_dedup, toxicity_fm
 from .packing import pack
 from .sharding import shard_documents
 
@@ -20,6 +20,10 @@ def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.rule_documents(docs, line_crf.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_icws_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_crf": op1_line_crf,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_icws_near_dedup": op4_icws_near_dedup,
     "op5_toxicity_fm": op5_toxicity_fm,
     "op7_pu_quality": op7_pu_quality,
