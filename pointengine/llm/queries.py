@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, line_crf, near_dedup, quality_pu, suffix_dedup, toxicity_fm
+from . import ctw, line_crf, near_dedup, nn_descent, piece_scan, quality_pu, suffix_dedup, toxicity_fm
 from .packing import pack
 from .sharding import shard_documents
 
@@ -20,6 +20,10 @@ def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.rule_documents(docs, line_crf.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_documents(_table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,10 @@ def op5_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_fm.score_documents(docs, toxicity_fm.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_scan.digest(_table(spark, sf_dir, "documents"), piece_scan.Vocabulary.load(piece_scan.MODEL))
+
+
 def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality_pu.score_documents(docs, quality_pu.fit(docs, _table(spark, sf_dir, "labels")))
@@ -52,9 +60,11 @@ def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_crf": op1_line_crf,
+    "op2_nn_descent": op2_nn_descent,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_icws_near_dedup": op4_icws_near_dedup,
     "op5_toxicity_fm": op5_toxicity_fm,
+    "op6_piece_scan": op6_piece_scan,
     "op7_pu_quality": op7_pu_quality,
     "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
