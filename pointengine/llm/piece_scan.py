@@ -77,10 +77,13 @@ class Lattice:
         start = np.cumsum(size) - size
         h = Chunk(buf, np.array([0, len(buf)])).hashes(start, start + size)
         self.tables = {}
+        self.maybe = {}  # by a hash's first 18 bits: whether any piece of the length can be meant
         for n in range(1, self.longest + 1):
             own = np.flatnonzero(size == n)
             if len(own):
                 order = own[np.argsort(h[own])]
+                self.maybe[n] = np.zeros(1 << 18, bool)
+                self.maybe[n][h[own] >> np.uint64(46)] = True
                 self.tables[n] = (h[order], np.array(real)[order], v.scores[np.array(real)[order]].astype(np.float32))
         self.flat = np.frombuffer(b"".join(v.pieces), np.uint8)
         self.size = np.array([len(p) for p in v.pieces], np.int64)
@@ -94,6 +97,8 @@ class Lattice:
             at = np.flatnonzero(room >= n)
             if len(at):
                 h = c.hashes(at, at + n)
+                may = np.flatnonzero(self.maybe[n][h >> np.uint64(46)])
+                at, h = at[may], h[may]
                 k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                 hit = keys[k] == h
                 s[at[hit]] = sc[k[hit]]
@@ -258,8 +263,11 @@ def encode_chunk(lat: Lattice, c: Chunk, giant: int = GIANT) -> tuple[list[np.nd
     start, end, text = start[plain], end[plain], text[plain]
     h = m.hashes(start, end)
     _, first, kind = np.unique(h, return_index=True, return_inverse=True)
-    word, place, size = lat.cut_words(m, start[first], end[first])
-    ids = lat.ids(m, place, size)
+    size = end[first] - start[first]
+    edge = np.append(0, np.cumsum(size))
+    w = Chunk(m.buf[np.repeat(start[first] - edge[:-1], size) + np.arange(edge[-1])], np.array([0, edge[-1]]))
+    word, place, size = lat.cut_words(w, edge[:-1], edge[1:])
+    ids = lat.ids(w, place, size)
     cut = np.searchsorted(word, np.arange(len(first) + 1))
     n = np.diff(cut)[kind]
     flat = ids[np.repeat(cut[kind] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
@@ -284,7 +292,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, giant: int = GIANT) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = Lattice(vocabulary)
         for batch in batches:
-            for c in chunks(batch, limit=1 << 20):
+            for c in chunks(batch, limit=1 << 22):
                 ids, score = encode_chunk(lat, c, giant)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(c.row0, c.n), pa.array(ids, pa.list_(pa.int32())), pa.array(score)], ["doc_id", "ids", "score"])
 
@@ -311,7 +319,7 @@ def digest(docs: DataFrame, vocabulary: Vocabulary, giant: int = GIANT) -> DataF
 
         lat = Lattice(vocabulary)
         for batch in batches:
-            for c in chunks(batch, limit=1 << 20):
+            for c in chunks(batch, limit=1 << 22):
                 ids, score = encode_chunk(lat, c, giant)
                 same = [lat.decode(x)[1:] == c.buf[c.offs[i] : c.offs[i + 1]].tobytes() for i, x in enumerate(ids)]
                 crc = [zlib.crc32(x.astype("<i4").tobytes()) for x in ids]
