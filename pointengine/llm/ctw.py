@@ -288,7 +288,7 @@ def score_documents(docs: DataFrame, broadcast_grams: int = BROADCAST_GRAMS, bro
                 head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
                 times, of, gram = np.diff(np.append(head, len(key))), (key[head] & np.uint64(0xFFFF)).astype(np.int64), key[head] >> np.uint64(16)
                 at, hit = _find(gram_keys, gram)
-                lp = np.bincount(of[hit], gram_lp[at[hit]] * times[hit], c.n)
+                lp = np.bincount(of[hit], gram_lp[at[hit]] * times[hit], c.n).astype(float)  # of nothing, bincount gives whole numbers
                 rest = _lists(of[~hit], gram[~hit], times[~hit], c.n)
 
                 h = np.append(c.hashes(ws, we), np.full(c.n, END_KEY).view(np.uint64))
@@ -299,7 +299,7 @@ def score_documents(docs: DataFrame, broadcast_grams: int = BROADCAST_GRAMS, bro
                 times, of, word = np.diff(np.append(head, len(k))), wt[order[head]], h[order[head]]
                 at, hit = _find(word_keys, word)
                 known = np.bincount(of[hit], times[hit] * (word_n[at[hit]] > 0), c.n).astype(np.int64)
-                base = np.bincount(of[hit], log_n[at[hit]] * times[hit], c.n)
+                base = np.bincount(of[hit], log_n[at[hit]] * times[hit], c.n).astype(float)
                 if all_words:
                     base += np.bincount(of[~hit], unknown * times[~hit], c.n)
                     hit[:] = True

@@ -272,7 +272,7 @@ def encode_chunk(lat: Lattice, c: Chunk, giant: int = GIANT) -> tuple[list[np.nd
     n = np.diff(cut)[kind]
     flat = ids[np.repeat(cut[kind] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
     of = np.repeat(text, n)
-    score = np.bincount(of, lat.v.scores[flat], c.n)
+    score = np.bincount(of, lat.v.scores[flat], c.n).astype(float)
     edge = np.searchsorted(of, np.arange(c.n + 1))
     out = [flat[edge[i] : edge[i + 1]] for i in range(c.n)]
     for i in np.flatnonzero(scan):
