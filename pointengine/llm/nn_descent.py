@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from .common import materialise
 
 NEIGHBOURS = 32
-TREES = 8
+TREES = 16
 #: Nodes of a leaf; larger leaves are dealt out by hash.
 LEAF = 2048
 ITERATIONS = 2
@@ -28,7 +28,7 @@ FORWARD, BACKWARD = 20, 12
 #: Partners that each of them keeps from one such meeting.
 PARTNERS = 10
 #: Nodes in a query's list, and how many of the best of them are opened.
-BEAM, OPENED = 48, 24
+BEAM, OPENED = 96, 48
 
 _LISTS = "node long, ids array<long>, scores array<float>"
 
