@@ -266,6 +266,24 @@ def test_neighbours(spark):
         assert [v for _, v, _ in sorted(found)] == want
 
 
+def test_nearest_over_many_leaves(spark, monkeypatch):
+    """More rows than a leaf takes, so trees, descent and search all have their part: recall against brute force."""
+    monkeypatch.setattr(nn_descent, "LEAF", 256)
+    x = np.random.default_rng(4).normal(size=(3000, 24)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in nn_descent.nearest(rows).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    x = x.astype(float)
+    met = 0
+    for q in range(0, 3000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        met += len(set(np.lexsort((np.arange(3000), -s))[:20].tolist()) & got[q])
+    assert met / (20 * 150) >= 0.9
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     pieces = [bytes([i]) for i in range(256)] + [w.encode() for w in (" ", " the", "t", "h", "e", " of", "he", "ri", "ver", " river", "er", "1", "2", "12", "  ", "st", "one", " stone")]
