@@ -19,7 +19,7 @@ from .sampling import labelled, with_text
 from .textbytes import chunks
 from .textfeatures import LINE_FEATURES, Profile
 
-#: Documents of each label that the field is fitted on, at most, and the most lines such a document has.
+#: Documents of each label that the field is fitted on, at most, and the lines of a window; longer documents come as several windows.
 FIT_DOCS = 1000
 FIT_LINES = 40
 #: A document stays if this share of its words stands in content lines.
@@ -106,14 +106,15 @@ def _sample_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for c in chunks(batch):
             p = Profile(c)
             x, cut = p.lines().astype(np.float32), np.append(0, np.cumsum(p.n_lines))
-            ok = [i for i in range(c.n) if 0 < p.n_lines[i] <= FIT_LINES]
-            yield pa.RecordBatch.from_arrays([pa.array([int(ys[c.row0 + i]) for i in ok], pa.int32()), pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in ok], pa.binary())], ["y", "x"])
+            windows = [(i, lo, min(lo + FIT_LINES, int(cut[i + 1]))) for i in range(c.n) for lo in range(int(cut[i]), int(cut[i + 1]), FIT_LINES)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(ys[c.row0 + i]) for i, _, _ in windows], pa.int32()), pa.array([x[lo:hi].tobytes() for _, lo, hi in windows], pa.binary())], ["y", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> LineField:
-    """Fit on at most FIT_DOCS documents of either quality label outside fold 0, with at most FIT_LINES lines each.
+    """Fit on at most FIT_DOCS documents of either quality label outside fold 0, all their lines in windows of FIT_LINES.
 
-    A document's label is the label of its lines.  With no labelled document of either kind, every line is content.
+    docs has to be the table that was labelled, not one that a filter has been over: what is gone gives no boilerplate
+    to learn from.  A document's label is the label of its lines.  With no labelled document of either kind, every line is content.
     """
     ids = labelled(labels, "quality", 1, FIT_DOCS).unionByName(labelled(labels, "quality", 0, FIT_DOCS))
     rows = with_text(docs, ids).mapInArrow(_sample_lines, "y int, x binary").collect()
@@ -170,9 +171,9 @@ def content_lines(docs: DataFrame, field: LineField) -> DataFrame:
     return documents(docs).mapInArrow(mark, "doc_id long, line long, start long, end long, content boolean")
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def kept_documents(docs: DataFrame, field: LineField) -> DataFrame:
     """The documents that the rules keep, with all their columns; rows with a null doc_id are judged by their text alike."""
-    verdict = rule_documents(docs, fit(docs, labels)).where("kept").select("doc_id").distinct()
+    verdict = rule_documents(docs, field).where("kept").select("doc_id").distinct()
     return docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["doc_id"]), "left_semi")
 
 

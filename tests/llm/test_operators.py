@@ -334,6 +334,27 @@ def test_pipeline(spark, docs, labels, tmp_path):
     assert len(ids) == len(set(ids)) and not {300, 301} & set(ids) and {0, 3, 100} <= set(ids)
 
 
+def _labelled_lines():
+    """Good prose, and boilerplate that passes the base rule: 45 lines each, more than a window of the fit."""
+    rng = random.Random(11)
+    good = [(i, "\n".join(text(rng, 9).capitalize() + "." for _ in range(45))) for i in range(60)]
+    bad = [(100 + i, "\n".join(f"{a.upper()}!!! $$$ {rng.randrange(999)} | {rng.choice(WORDS).upper()}{rng.randrange(999)} >>>" for a in rng.choices(WORDS, k=45))) for i in range(60)]
+    return good, bad
+
+
+def test_rules_stage_learns_from_the_labelled_table(spark, tmp_path):
+    """What the classifier has let through holds one boilerplate text only; the stage removes it all the same."""
+    import corpus_pipeline
+
+    good, bad = _labelled_lines()
+    spark.createDataFrame(good + bad, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i < 100), 0) for i, _ in good + bad], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    held_out = next(r for r in bad if zlib.crc32(str(r[0]).encode()) % 5 == 0)
+    docs = spark.createDataFrame([*good, held_out], "doc_id long, text string")
+    assert not line_crf.rule_documents(docs, line_crf.LineField.plain()).where(f"doc_id = {held_out[0]} and not kept").count()  # the base rule lets it pass
+    assert {r.doc_id for r in corpus_pipeline.rules(spark, docs, str(tmp_path)).collect()} == {i for i, _ in good}
+
+
 def test_chunk_edges():
     c = Chunk(np.frombuffer(b"a b\n\nc", np.uint8), np.array([0, 3, 3, 6]))
     assert c.lines()[2].tolist() == [0, 1, 2, 2, 2] and c.words()[2].tolist() == [0, 0, 2]
