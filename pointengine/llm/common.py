@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,24 @@ def documents(df: DataFrame, *extra: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)
 
 
+def where_text(docs: DataFrame, accepts: Callable[[pa.RecordBatch], Iterator[list[bool]]]) -> DataFrame:
+    """The rows, with all their columns, whose own text is accepted; a null text is an empty one.
+
+    accepts gives the verdicts of a batch (text) in order, in pieces.  No id is used, so rows that share one or have
+    none are judged one by one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([batch.column("_text")], ["text"])
+            keep = pa.array([bool(v) for part in accepts(texts) for v in part], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("_row").filter(keep)], ["_row"])
+
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(row, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["_row"]])).select("_row.*")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which the cluster's machines share.
 

@@ -14,9 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import documents
+from .common import documents, where_text
 from .sampling import labelled, with_text
-from .textbytes import chunks
+from .textbytes import Chunk, chunks
 from .textfeatures import LINE_FEATURES, Profile
 
 #: Documents of each label that the field is fitted on, at most, and the lines of a window; longer documents come as several windows.
@@ -132,6 +132,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> LineField:
 RULES_SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, content_lines long, content_words long"
 
 
+def _verdict(field: LineField, c: Chunk, p: Profile) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(labels of all lines; of each text: words in content lines, whether the base rule fails, whether it is kept)."""
+    y = viterbi(field, p.lines(), p.ldoc)
+    good = c.per_text(np.repeat(p.ldoc[y == 1], (p.lw1 - p.lw0)[y == 1]))
+    failed = (p.n_words < 50) | (100 * p.n_repeat_words > 50 * p.n_words)
+    return y, good, failed, ~failed & (good >= CONTENT_SHARE * p.n_words)
+
+
 def rule_documents(docs: DataFrame, field: LineField) -> DataFrame:
     """One row a document: the base counts, the lines the field calls content, and the verdict.
 
@@ -146,10 +154,7 @@ def rule_documents(docs: DataFrame, field: LineField) -> DataFrame:
             ids = batch.column("doc_id")
             for c in chunks(batch):
                 p = Profile(c)
-                y = viterbi(w, p.lines(), p.ldoc)
-                good = c.per_text(np.repeat(p.ldoc[y == 1], (p.lw1 - p.lw0)[y == 1]))
-                failed = (p.n_words < 50) | (100 * p.n_repeat_words > 50 * p.n_words)
-                kept = ~failed & (good >= CONTENT_SHARE * p.n_words)
+                y, good, failed, kept = _verdict(w, c, p)
                 cols = [p.n_words, p.word_chars, p.n_symbols, p.n_dup_lines, p.n_repeat_words, failed, kept, p.n_lines, c.per_text(p.ldoc[y == 1]), good]
                 yield pa.RecordBatch.from_arrays([ids.slice(c.row0, c.n), *map(pa.array, cols)], names)
 
@@ -172,9 +177,13 @@ def content_lines(docs: DataFrame, field: LineField) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, field: LineField) -> DataFrame:
-    """The documents that the rules keep, with all their columns; rows with a null doc_id are judged by their text alike."""
-    verdict = rule_documents(docs, field).where("kept").select("doc_id").distinct()
-    return docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["doc_id"]), "left_semi")
+    """The rows that the rules keep, with all their columns; each is judged by its own text, whatever its doc_id."""
+
+    def accepts(batch: pa.RecordBatch) -> Iterator[list[bool]]:
+        for c in chunks(batch):
+            yield _verdict(field, c, Profile(c))[3].tolist()
+
+    return where_text(docs, accepts)
 
 
 __all__ = ["LineField", "content_lines", "fit", "fit_field", "kept_documents", "rule_documents", "viterbi"]

@@ -15,15 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, fold
+from .common import documents, fold, where_text
 from .sampling import FOLDS, labelled, smallest, with_text
-from .textbytes import chunks
+from .textbytes import Chunk, chunks
 from .textfeatures import TEXT_FEATURES, Profile
 
 #: Trusted positives and unlabelled documents that the classifier is fitted on, at most.
 FIT_POSITIVE = 4000
 FIT_UNLABELLED = 8000
 HIDDEN = 16
+#: A document is accepted from this score on.
+THRESHOLD = 0.3
 
 
 @dataclass(frozen=True)
@@ -125,7 +127,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
-def score_documents(docs: DataFrame, net: Network | None, threshold: float = 0.3) -> DataFrame:
+def _scores(net: Network | None, c: Chunk) -> np.ndarray:
+    return net.score(Profile(c).texts()) if net else np.full(c.n, 0.5)
+
+
+def score_documents(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row.
 
     A null or empty text is scored like any other, by features that are all zero.  Without a fitted network
@@ -135,13 +141,18 @@ def score_documents(docs: DataFrame, net: Network | None, threshold: float = 0.3
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch):
-                s = net.score(Profile(c).texts()) if net else np.full(c.n, 0.5)
+                s = _scores(net, c)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(c.row0, c.n), batch.column("held_out").slice(c.row0, c.n), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return documents(docs).withColumn("held_out", fold(F.col("doc_id"), FOLDS) == 0).mapInArrow(run, SCHEMA)
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier accepts, with all their columns."""
-    good = score_documents(docs, fit(docs, labels)).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["doc_id"]), "left_semi")
+    """The rows that the classifier accepts, with all their columns; each is judged by its own text, whatever its doc_id."""
+    net = fit(docs, labels)
+
+    def accepts(batch: pa.RecordBatch) -> Iterator[list[bool]]:
+        for c in chunks(batch):
+            yield (_scores(net, c) >= THRESHOLD).tolist()
+
+    return where_text(docs, accepts)

@@ -355,6 +355,19 @@ def test_rules_stage_learns_from_the_labelled_table(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.rules(spark, docs, str(tmp_path)).collect()} == {i for i, _ in good}
 
 
+def test_filter_stages_judge_rows(spark):
+    """Rows that share a doc_id, or have none, do not save each other."""
+    good, bad = _labelled_lines()
+    labelled = spark.createDataFrame(good + bad, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in good + bad], "doc_id long, quality int")
+    rows = [(i, t, k, k) for k, (i, t) in enumerate([(None, good[0][1]), (None, bad[0][1]), (None, None), (7, good[1][1]), (7, bad[1][1])])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long, _text long")
+    assert sorted(r.n for r in line_crf.kept_documents(docs, line_crf.fit(labelled, labels)).collect()) == [0, 3]
+    both = labelled.selectExpr("doc_id", "text", "-1L as n", "0L as _text").unionByName(docs)
+    got = quality_pu.kept_documents(both, labels).where("n >= 0")
+    assert got.columns == docs.columns and sorted(r.n for r in got.collect() if r.n != 2) == [0, 3]
+
+
 def test_chunk_edges():
     c = Chunk(np.frombuffer(b"a b\n\nc", np.uint8), np.array([0, 3, 3, 6]))
     assert c.lines()[2].tolist() == [0, 1, 2, 2, 2] and c.words()[2].tolist() == [0, 0, 2]
