@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -22,6 +22,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         met = labels.join(near, "node", "left").select("node", "comp", F.least("comp", F.coalesce("least", "comp")).alias("next"))
         hop = labels.select(F.col("node").alias("next"), F.col("comp").alias("jump"))
         new = materialise(met.join(hop, "next", "left").select("node", F.least("next", F.coalesce("jump", "next")).alias("comp"), (F.least("next", F.coalesce("jump", "next")) != F.col("comp")).alias("moved")))
+        moved = new.where("moved").limit(1).collect()
+        discard(labels)
         labels = new.select("node", "comp")
-        if not new.where("moved").limit(1).collect():
+        labels.scratch_path = new.scratch_path
+        if not moved:
+            discard(both)
             return labels

@@ -1,12 +1,14 @@
 """Operator 4: near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-Shingles are five consecutive words, weighted by their number in the text times an inverse document
-frequency.  Frequencies are counted over all documents by hash bucket, as feature hashing does, so the
-table that every task gets has a fixed size.  Consistent weighted samples are banded; pairs that share a
-band are verified by the exact weighted Jaccard similarity of their whole texts; verified links make classes.
-
-Pairs within a bucket are not all made.  Members are held against the bucket's most central member first;
-what these links join needs no more comparing, and only pairs of members whose classes still differ follow.  So every pair that shares a band is linked, compared, or already in one class.
+Shingles are five consecutive words, weighted by their number in the text times a damped inverse document frequency.
+Frequencies come from a count-mean-min sketch over all documents: a table of fixed size whose background noise is
+taken off, so a rare shingle weighs the same at any size of the corpus.  Consistent weighted samples are banded; pairs that
+share a band are verified by the exact weighted Jaccard similarity of their whole texts; verified links make classes.
+
+Pairs within a bucket are never made as rows.  Members are held against the bucket's most central member first.  Where
+a bucket still has members of several classes, those outside its largest class are held against all others in cells of
+bounded size, each pair in the first band that it shares.  Signatures go first, and texts only follow where a
+pair can still be one.  So every pair that shares a band is linked, compared, or already in one class.
 """
 
 from __future__ import annotations
@@ -18,20 +20,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, join_counted, materialise, text_key, whole_groups
 from .components import connected_components
-from .textbytes import Chunk, chunks, column, mix
+from .textbytes import Chunk, chunks, mix
 
 WORDS = 5
 SIMILARITY = 0.8
 #: A pair of similarity 0.8 shares one of 18 bands of 4 samples with probability 0.9999.
 BANDS, ROWS = 18, 4
-#: Buckets of shingles whose documents are counted.
-BUCKETS = 1 << 18
-#: Of the 72 samples, those that a pair must share to be verified; at similarity 0.8 fewer agree once in 10^5.
-AGREE = 42
-#: Members of a bucket that are compared with as many others at once.
-BLOCK = 192
+#: Rows and columns of the sketch that counts the documents of a shingle.
+SKETCH_ROWS, BUCKETS = 2, 1 << 18
+#: Of the 72 samples, those that a pair must share before its texts are compared; a pair of similarity 0.8 shares fewer
+#: once in 10^8.  With 0 every pair that shares a band is compared.
+AGREE = 36
+#: Bytes of text of one side of a cell, about, and members that are held against one central member at once.
+CELL_BYTES = 4 << 20
+CELL_ROWS = 1024
 #: Ids of texts to compare that are sent to all tasks, at most; beyond it they are joined.
 BROADCAST_IDS = 1 << 20
 
@@ -68,30 +72,50 @@ def shingles(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text[by], out[by], times[by]
 
 
+def _bucket(h: np.ndarray, row: int) -> np.ndarray:
+    return ((h if row == 0 else mix(h)) >> np.uint64(46)).astype(np.int64)
+
+
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BUCKETS, np.int64)
+    total = np.zeros((SKETCH_ROWS, BUCKETS), np.int64)
     texts = 0
     for batch in batches:
         for c in chunks(batch):
             _, h, _ = shingles(c)
-            total += np.bincount((h >> np.uint64(46)).astype(np.int64), minlength=BUCKETS)
+            for row in range(SKETCH_ROWS):
+                total[row] += np.bincount(_bucket(h, row), minlength=BUCKETS)
             texts += c.n
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], texts))], ["bucket", "n"])
+    for lo in range(0, total.size, 1 << 16):
+        n = total.ravel()[lo : lo + (1 << 16)]
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at + lo), pa.array(n[at])], ["bucket", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([texts])], ["bucket", "n"])
+
+
+def damped_idf(counts: np.ndarray, texts: int) -> np.ndarray:
+    """1 + ln(N / df) / (2 ln N), between 1 and 1.5, of every cell of the sketch.
+
+    df is the cell's count less its row's median, which is what rare shingles put into any cell; what lies within four
+    deviations of that noise counts as a document frequency of 1.
+    """
+    noise = np.median(counts, axis=1, keepdims=True)
+    df = np.where(counts > noise + 4 * np.sqrt(noise), counts - noise, 1.0)
+    texts = max(texts, 2)
+    return (1 + np.log(np.clip(texts / np.maximum(df, 1.0), 1.0, None)) / (2 * np.log(texts))).astype(np.float32)
 
 
 def shingle_weights(docs: DataFrame) -> np.ndarray:
-    """The inverse document frequency of every bucket: 1 + ln(N / df) / ln N, between 1 and 2."""
+    """The damped inverse document frequency of every cell of the sketch: 2 MB at any size of the corpus."""
     rows = docs.select("text").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     bucket, n = rows.column("bucket").to_numpy(), rows.column("n").to_numpy()
-    df = np.ones(BUCKETS)
-    df[bucket[bucket >= 0]] = n[bucket >= 0]
-    texts = max(int(n[bucket < 0].sum()), 2)
-    return (1 + np.log(np.maximum(texts / df, 1.0)) / np.log(texts)).astype(np.float32)
+    counts = np.zeros(SKETCH_ROWS * BUCKETS)
+    counts[bucket[bucket >= 0]] = n[bucket >= 0]
+    return damped_idf(counts.reshape(SKETCH_ROWS, BUCKETS), int(n[bucket < 0].sum()))
 
 
 def _weights(h: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return times * idf[(h >> np.uint64(46)).astype(np.int64)]
+    """A shingle's frequency is the least of its cells, so its weight is the largest."""
+    return times * np.max([idf[row][_bucket(h, row)] for row in range(SKETCH_ROWS)], axis=0)
 
 
 def samples(text: np.ndarray, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,19 +141,38 @@ def samples(text: np.ndarray, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     return text[head], out
 
 
+#: Entries that are sampled at once: what fits a processor's cache.
+SAMPLED = 1 << 15
+_SIGNED = "node binary, bands array<long>, sig binary, weight double, n_bytes long"
+
+
 def _signed(idf: np.ndarray):
+    """Bands, and as one blob bands and samples, of the different texts of a batch; texts without words have none."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            node = batch.column("node").dictionary_encode()
+            first = np.sort(np.unique(node.indices.to_numpy(), return_index=True)[1]) if len(batch) else []
+            batch = batch.take(pa.array(first, pa.int64()))
             for c in chunks(batch):
                 text, h, times = shingles(c)
-                if not len(text):
-                    continue
-                has, s = samples(text, h, _weights(h, times, idf))
-                band = np.zeros((len(s), BANDS), np.uint64)
-                for k in range(ROWS):
-                    band = mix(band * np.uint64(31) + s[:, k::ROWS] + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                cut = pa.array(np.arange(len(s) + 1, dtype=np.int32) * BANDS)
-                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(has + c.row0)), pa.ListArray.from_arrays(cut, pa.array(band.ravel().view(np.int64))), pa.array([x.tobytes() for x in s], pa.binary())], ["node", "bands", "samples"])
+                w = _weights(h, times, idf)
+                cut = np.searchsorted(text, np.arange(c.n + 1))
+                lo = 0
+                while lo < c.n:
+                    hi = max(lo + 1, int(np.searchsorted(cut, cut[lo] + SAMPLED, "right")) - 1)
+                    own = slice(cut[lo], cut[hi])
+                    lo = hi
+                    if own.start == own.stop:
+                        continue
+                    has, s = samples(text[own], h[own], w[own])
+                    band = np.zeros((len(s), BANDS), np.uint64)
+                    for k in range(ROWS):
+                        band = mix(band * np.uint64(31) + s[:, k::ROWS] + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                    sig = np.concatenate([band.view(np.uint32), s], 1)
+                    at = pa.array(np.arange(len(s) + 1, dtype=np.int32) * BANDS)
+                    weight = np.bincount(text[own] - has[0], w[own])[has - has[0]]
+                    yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(has + c.row0)), pa.ListArray.from_arrays(at, pa.array(band.ravel().view(np.int64))), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(weight), pa.array(np.diff(c.offs)[has])], [x.split()[0] for x in _SIGNED.split(", ")])
 
     return run
 
@@ -150,96 +193,77 @@ def weighted_jaccard(a: Chunk, b: Chunk, idf: np.ndarray) -> np.ndarray:
     return least / np.maximum(total - least, 1e-12)
 
 
-def _verified(idf: np.ndarray):
+#: side 0 is held against side 1; open rows are those outside their bucket's largest class; first is the band's number, or -1
+#: where a cell's pairs occur in no other cell.
+_CELL = "cell long, side byte, node binary, comp binary, open boolean, first int"
+
+
+class _Cells:
+    """The rows of some whole cells: which pairs of each can still be links."""
+
+    def __init__(self, batch: pa.RecordBatch, agree: int):
+        self.batch, self.agree, n = batch, agree, len(batch)
+        self.side, self.open = batch.column("side").to_numpy(), batch.column("open").to_numpy(zero_copy_only=False)
+        self.first, self.weight = batch.column("first").to_numpy(), batch.column("weight").to_numpy()
+        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(n, 2 * BANDS + _SAMPLES)
+        self.bands, self.samples = np.ascontiguousarray(sig[:, : 2 * BANDS]).view(np.uint64), sig[:, 2 * BANDS :]
+        self.node, self.comp = (batch.column(x).dictionary_encode().indices.to_numpy() for x in ("node", "comp"))
+        self.head = np.frombuffer(b"".join(v[:8] for v in batch.column("node").to_pylist()), ">u8")
+        cell = batch.column("cell").to_numpy()
+        self.cuts = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), n)
+
+    def hopeful(self, x: int, y: np.ndarray) -> np.ndarray:
+        """Of the rows y of x's cell, those that may be alike to x and of another class, and meet it in no earlier band."""
+        ok = (self.comp[y] != self.comp[x]) & (self.node[y] != self.node[x])
+        if self.open[x]:  # both sides hold such rows: one turn of each pair is enough
+            ok &= ~self.open[y] | (self.head[x] <= self.head[y])
+        ok &= np.minimum(self.weight[y], self.weight[x]) >= SIMILARITY * (1 - 1e-6) * np.maximum(self.weight[y], self.weight[x])
+        y = y[ok]
+        if self.agree:
+            y = y[(self.samples[y] == self.samples[x]).sum(1) >= self.agree]
+        if self.first[x] > 0:
+            b = int(self.first[x])
+            y = y[~(self.bands[y, :b] == self.bands[x, :b]).any(1)]
+        return y
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for lo, hi in zip(self.cuts[:-1], self.cuts[1:], strict=True):
+            own = np.arange(lo, hi)
+            yield own[self.side[lo:hi] == 0], own[self.side[lo:hi] == 1]
+
+
+def _hopeful(agree: int):
+    """The rows that still have a partner in their cell."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (x, xo), (y, yo) = column(batch, "text_a"), column(batch, "text_b")
-            lo = 0
-            while lo < len(batch):
-                hi = lo + 1
-                while hi < len(batch) and xo[hi + 1] - xo[lo] + yo[hi + 1] - yo[lo] <= 1 << 21:
-                    hi += 1
-                sim = weighted_jaccard(Chunk(x[xo[lo] : xo[hi]], xo[lo : hi + 1] - xo[lo]), Chunk(y[yo[lo] : yo[hi]], yo[lo : hi + 1] - yo[lo]), idf)
-                yield pa.RecordBatch.from_arrays([batch.column("a").slice(lo, hi - lo), batch.column("b").slice(lo, hi - lo), pa.array(sim)], ["a", "b", "similarity"])
-                lo = hi
+        for batch in whole_groups(batches, "cell"):
+            cells, keep = _Cells(batch, agree), np.zeros(len(batch), bool)
+            for xs, ys in cells:
+                for x in xs:
+                    y = cells.hopeful(x, ys)
+                    keep[y] = True
+                    keep[x] |= len(y) > 0
+            yield batch.select([c.split()[0] for c in _CELL.split(", ")]).filter(pa.array(keep))
 
     return run
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if len(batch):
-            x, y = (np.stack([np.frombuffer(v.as_py(), np.uint32) for v in batch.column(n)]) for n in ("sa", "sb"))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= AGREE))
-
-
-def _links(pairs: DataFrame, signed: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity is SIMILARITY or more, written to the shared folder."""
-    side = lambda n, col, out: signed.select(F.col("node").alias(n), F.col(col).alias(out))
-    near = pairs.join(side("a", "samples", "sa"), "a").join(side("b", "samples", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long")
-    near = materialise(near)
-    ids = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    ids = materialise(ids)
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    some = texts.join(ids, "node", "left_semi")
-    text = lambda n: some.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}"))
-    sims = near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_verified(idf), "a long, b long, similarity double")
-    return materialise(sims.where(F.col("similarity") >= SIMILARITY).select("a", "b"))
-
-
-def _split(at: DataFrame) -> DataFrame:
-    """The rows of buckets whose members are of several classes."""
-    several = at.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("band", "n")
-    return at.select("band", "node", "comp").join(several, "band")
-
-
-def _block_pairs(at: DataFrame) -> DataFrame:
-    """(band, x, y): every pair of blocks of a bucket, each a list of about BLOCK members (node, comp, load) at most."""
-    blocks = at.withColumn("nb", F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    lists = blocks.groupBy("band", "nb", "block").agg(F.collect_list(F.struct("node", "comp", "load")).alias("x"))
-    left = lists.select("band", "x", "block", F.explode(F.sequence(F.col("block"), F.col("nb") - 1)).alias("other"))
-    return left.join(lists.select("band", F.col("block").alias("other"), F.col("x").alias("y")), ["band", "other"]).select("band", "x", "y", (F.col("block") == F.col("other")).alias("same"))
-
-
-def _members(lists: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Nodes, classes and loads of the i-th block."""
-    lo, hi = lists.offsets[i].as_py(), lists.offsets[i + 1].as_py()
-    v = lists.values.slice(lo, hi - lo)
-    return v.field("node").to_numpy(), v.field("comp").to_numpy(), v.field("load")
-
-
-def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The members that agree in AGREE samples with a member of another class."""
-    for batch in batches:
-        x, y = batch.column("x"), batch.column("y")
-        for i, band in enumerate(batch.column("band").to_pylist()):
-            (na, ca, sa), (nb, cb, sb) = _members(x, i), _members(y, i)
-            sa, sb = (np.stack([np.frombuffer(v, np.uint32) for v in s.to_pylist()]) for s in (sa, sb))
-            ok = np.zeros((len(na), len(nb)), bool)
-            for k in range(len(na)):
-                ok[k] = ((sa[k] == sb).sum(1) >= AGREE) & (ca[k] != cb)
-            node = np.concatenate([na[ok.any(1)], nb[ok.any(0)]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), band)), pa.array(node)], ["band", "node"])
-
-
-def _block_links(idf: np.ndarray):
-    """Exact links between members of different classes of two blocks; links that would close a circle are left out."""
-
-    def entries(loads: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        b = [v.encode() for v in loads.to_pylist()]
-        text, h, times = shingles(Chunk(np.frombuffer(b"".join(b), np.uint8), np.cumsum([0, *map(len, b)])))
-        w = _weights(h, times, idf)
-        return text, h, w, np.bincount(text, w, len(b))
+def _links_of(idf: np.ndarray, agree: int):
+    """Exact links (a, b, similarity) of the cells' rows; links that would close a circle within a cell are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            for i in range(len(batch)):
-                (na, ca, la), (nb, cb, lb) = _members(x, i), _members(y, i)
-                (ta, ha, wa, sum_a), (tb, hb, wb, sum_b) = entries(la), entries(lb)
-                order = np.argsort(hb)
-                tb, hb, wb = tb[order], hb[order], wb[order]
-                cut = np.searchsorted(ta, np.arange(len(na) + 1))
+        for batch in whole_groups(batches, "cell", 512):
+            cells, found = _Cells(batch, agree), []
+            parts = [shingles(c) + (c.row0,) for c in chunks(batch)]
+            text, h, times = np.concatenate([t + r for t, _, _, r in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+            w = _weights(h, times, idf)
+            cut = np.searchsorted(text, np.arange(len(batch) + 1))
+            for xs, ys in cells:
+                if not len(xs) or not len(ys):
+                    continue
+                lo, hi = cut[ys[0]], cut[ys[-1] + 1]
+                order = np.argsort(h[lo:hi])
+                th, hh, wh = text[lo:hi][order] - ys[0], h[lo:hi][order], w[lo:hi][order]
                 up: dict[int, int] = {}
 
                 def root(c: int, up: dict[int, int] = up) -> int:
@@ -247,24 +271,73 @@ def _block_links(idf: np.ndarray):
                         c = up[c]
                     return c
 
-                out = []
-                for k in range(len(na)):
-                    own = slice(cut[k], cut[k + 1])
-                    lo, hi = np.searchsorted(hb, ha[own]), np.searchsorted(hb, ha[own], "right")
-                    n = hi - lo
-                    at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    least = np.bincount(tb[at], np.minimum(np.repeat(wa[own], n), wb[at]), len(nb))
-                    sim = least / np.maximum(sum_a[k] + sum_b - least, 1e-12)
-                    for m in np.flatnonzero((sim >= SIMILARITY) & (cb != ca[k])):
-                        p, q = root(int(ca[k])), root(int(cb[m]))
+                for x in xs:
+                    y = cells.hopeful(x, ys)
+                    y = y[[root(c) != root(int(cells.comp[x])) for c in cells.comp[y].tolist()]] if up and len(y) else y
+                    if not len(y):
+                        continue
+                    own = slice(cut[x], cut[x + 1])
+                    left, right = np.searchsorted(hh, h[own]), np.searchsorted(hh, h[own], "right")
+                    n = right - left
+                    at = np.repeat(left - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    least = np.bincount(th[at], np.minimum(np.repeat(w[own], n), wh[at]), len(ys))[y - ys[0]]
+                    sim = least / np.maximum(cells.weight[x] + cells.weight[y] - least, 1e-12)
+                    for m in np.flatnonzero(sim >= SIMILARITY):
+                        p, q = root(int(cells.comp[x])), root(int(cells.comp[y[m]]))
                         if p != q:
                             up[max(p, q)] = min(p, q)
-                            out.append((int(na[k]), int(nb[m])))
-                yield pa.RecordBatch.from_arrays([pa.array([o[z] for o in out], pa.int64()) for z in (0, 1)], ["a", "b"])
+                            found.append((int(x), int(y[m]), float(sim[m])))
+            node = batch.column("node")
+            yield pa.RecordBatch.from_arrays([*(node.take(pa.array([f[i] for f in found], pa.int64())) for i in (0, 1)), pa.array([f[2] for f in found], pa.float64())], ["a", "b", "similarity"])
 
     return run
 
 
+def _links(cells: DataFrame, signed: DataFrame, texts: DataFrame, idf: np.ndarray, agree: int) -> DataFrame:
+    """Verified links of the cells' pairs: signatures first, then the texts of what is left; written to the shared folder."""
+    sig = signed.select("node", "sig", "weight")
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deal = lambda df: df.repartition(parts, "cell").sortWithinPartitions("cell", "side")
+    left = materialise(deal(cells.join(sig, "node")).mapInArrow(_hopeful(agree), _CELL))
+    out = materialise(deal(left.join(sig, "node").join(texts, "node")).mapInArrow(_links_of(idf, agree), "a binary, b binary, similarity double"))
+    discard(left)
+    return out
+
+
+def _central_cells(members: DataFrame) -> DataFrame:
+    """Cells of a bucket's most central member and the others, CELL_ROWS about at a time.
+
+    Most central is the one whose own buckets hold the most members: where many copies were made of one text, that
+    text, to which they are all closer than to each other.
+    """
+    rank = members.groupBy("node").agg(F.sum("n").alias("rank"))
+    top = members.join(rank, "node").groupBy("band").agg(F.max(F.struct("rank", "node")).alias("top")).select("band", F.col("top.node").alias("hub"))
+    pairs = materialise(members.join(top, "band").where("node <> hub").select("hub", "node").distinct())
+    ways = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(CELL_ROWS))).cast("int").alias("ways"))
+    cell = lambda part: F.xxhash64("hub", part)
+    row = lambda c, side, node: (c.alias("cell"), F.lit(side).cast("byte").alias("side"), node.alias("node"), node.alias("comp"), F.lit(False).alias("open"), F.lit(-1).alias("first"))
+    own = pairs.join(ways, "hub").select(*row(cell(F.pmod(F.xxhash64("node"), F.col("ways")).cast("int")), 1, F.col("node")))
+    hubs = ways.select("hub", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("part")).select(*row(cell(F.col("part")), 0, F.col("hub")))
+    return own.unionByName(hubs)
+
+
+def _open_cells(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """Cells of the buckets that have members of several classes: blocks of those outside the largest class, each with
+    every block of the bucket."""
+    at = members.join(comp, "node", "left").select("band", "first", "node", "n_bytes", F.coalesce("comp", "node").alias("comp"))
+    of = at.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("b"))
+    of = of.groupBy("band").agg(F.count(F.lit(1)).alias("classes"), F.sum("b").alias("all"), F.max(F.struct("n", "b", "comp")).alias("big")).where("classes > 1")
+    blocks = lambda b: F.ceil(b / F.lit(float(CELL_BYTES))).cast("int")
+    of = of.select("band", F.col("big.comp").alias("big"), blocks(F.col("all")).alias("rows"), blocks(F.greatest(F.col("all") - F.col("big.b"), F.lit(1))).alias("cols"))
+    at = at.join(of, "band").withColumn("open", F.col("comp") != F.col("big"))
+    at = materialise(at.select("band", "first", "node", "comp", "open", "cols", "rows", F.pmod(F.xxhash64("node"), F.col("rows")).cast("int").alias("row"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("cols")).cast("int").alias("col")))
+    cell = F.xxhash64("band", "row", "col").alias("cell")
+    rest = ("node", "comp", "open", "first")
+    ones = at.withColumn("col", F.explode(F.sequence(F.lit(0), F.col("cols") - 1))).select(cell, F.lit(1).cast("byte").alias("side"), *rest)
+    zeros = at.where("open").withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).select(cell, F.lit(0).cast("byte").alias("side"), *rest)
+    return ones.unionByName(zeros)
+
+
 def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     """Components of all links so far: those found before, joined by links between their members."""
     old = lambda n: comp.select(F.col("node").alias(n), F.col("comp").alias(f"c{n}"))
@@ -272,61 +345,68 @@ def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     up = connected_components(merged)
     moved = comp.join(up.select(F.col("node").alias("comp"), F.col("comp").alias("_up")), "comp", "left").select("node", F.coalesce("_up", "comp").alias("comp"))
     new = up.join(comp.select("node"), "node", "left_anti")
-    return materialise(moved.unionByName(new))
+    out = materialise(moved.unionByName(new))
+    discard(up)
+    return out
 
 
-def classes(rows: DataFrame) -> DataFrame:
-    """(rid, comp) for rows (rid, text): comp is the least rid of the row's class.
+def components(texts: DataFrame, agree: int = AGREE) -> DataFrame:
+    """(node, comp) of the different texts (node, text) that are alike to another: comp is the least node of the class.
 
-    Rows with equal texts are one node.  Texts without words are alike only to equal texts.
+    Texts without words are alike to none.
     """
-    texts = rows.select("rid", F.coalesce("text", F.lit("")).alias("text"))
     idf = shingle_weights(texts)
-    key = materialise(texts.select("rid", F.sha2("text", 256).alias("sha")))
-    nodes = materialise(key.groupBy("sha").agg(F.min("rid").alias("node")))
-    own = nodes.select("node")
-    first = texts.withColumnRenamed("rid", "node").join(own, "node", "left_semi")
-    signed = materialise(first.mapInArrow(_signed(idf), "node long, bands array<long>, samples binary"))
-    # The most central member of a bucket is the one whose own buckets hold the most members: where many copies
-    # were made of one text, that text, to which they are all closer than to each other.
-    members = signed.select("node", F.explode("bands").alias("band"))
-    size = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialise(members.join(size, "band"))
-    central = materialise(members.groupBy("node").agg(F.sum("n").alias("rank")))
-    members = materialise(members.join(central, "node").select("band", "node", F.struct(F.col("rank"), (-F.col("node")).alias("m")).alias("rank")))
-    plain = texts.withColumnRenamed("rid", "node")
-
-    top = members.groupBy("band").agg(F.max("rank").alias("top")).select("band", (-F.col("top.m")).alias("p"))
-    pairs = members.join(top, "band").where("node <> p").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-    comp = connected_components(_links(pairs, signed, plain, idf))
-
-    # Members of one bucket whose classes still differ are compared in blocks, so no row is made for a pair.
-    at = materialise(members.join(comp, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp")))
-    at = _split(at)
-    hopeful = _block_pairs(at.join(signed.select("node", F.col("samples").alias("load")), "node")).mapInArrow(_hopeful, "band long, node long").distinct()
-    at = _split(materialise(at.join(hopeful, ["band", "node"], "left_semi")))
-    links = _block_pairs(at.join(plain.select("node", F.col("text").alias("load")), "node")).mapInArrow(_block_links(idf), "a long, b long")
-    comp = _joined(comp, materialise(links.distinct()))
-    named = nodes.join(comp, "node", "left").select("sha", F.coalesce("comp", "node").alias("comp"))
-    return key.join(named, "sha").select("rid", "comp")
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
+    signed = materialise(texts.mapInArrow(_signed(idf), _SIGNED).dropDuplicates(["node"]))
+    each = signed.select("node", "n_bytes", F.posexplode("bands").alias("first", "band"))
+    size = each.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = materialise(each.join(size, "band"))
+    ids = materialise(members.select("node").distinct())
+    some = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "node", "left_semi")
+    some = materialise(some.dropDuplicates(["node"]))
+    first = _links(_central_cells(members), signed, some, idf, agree)
+    comp = connected_components(first)
+    rest = _links(_open_cells(members, comp), signed, some, idf, agree)
+    out = _joined(comp, rest)
+    discard(signed, members, ids, some, first, comp, rest)
+    return out
+
+
+def _classes(rows: DataFrame, agree: int) -> DataFrame:
+    """(node, comp, n) of every different text of rows (doc_id, node, text), n rows hold it."""
+    comp = components(rows.select("node", "text"), agree)
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    return nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def near_duplicates(docs: DataFrame, agree: int = AGREE) -> DataFrame:
     """doc_id, class_id, class_size for every row: class_id is the least doc_id of the row's class.
 
     Equal texts, null and empty ones included, are one class; a class of rows with null doc_ids only has a null
-    class_id.  Repeated rows each get a row; other columns are ignored.  An empty table gives no rows.
+    class_id.  Repeated rows each get a row; other columns are ignored.  An empty table gives no rows.  With agree = 0
+    every pair that shares a band is verified, however little its samples agree.
     """
-    rows = materialise(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    of = materialise(rows.select("rid", "doc_id").join(classes(rows), "rid"))
-    least = of.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return of.join(least, "comp").select("doc_id", "class_id", "class_size")
-
-
-def kept_documents(docs: DataFrame) -> DataFrame:
-    """One row of every class with all its columns: the one with the least doc_id, nulls last."""
-    rows = materialise(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")))
-    plain = rows.select("rid", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
-    of = plain.select("rid", "doc_id").join(classes(plain.select("rid", "text")), "rid")
-    stay = of.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid")).alias("m")).select(F.col("m.rid").alias("rid"))
-    return rows.join(stay, "rid", "left_semi").select("row.*")
+    rows = _rows(docs)
+    nodes = materialise(_classes(rows, agree))
+    least = nodes.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))
+    named = materialise(nodes.join(least, "comp").select("node", "class_id", "class_size", "n"))
+    return join_counted(rows.select("doc_id", "node"), named, "node", "n").select("doc_id", "class_id", "class_size")
+
+
+def kept_documents(docs: DataFrame, agree: int = AGREE) -> DataFrame:
+    """One row of every class with all its columns: one with the least doc_id, nulls last, and of several texts the least key."""
+    plain = _rows(docs)
+    nodes = materialise(_classes(plain, agree))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    best = nodes.groupBy("comp").agg(F.min(first).alias("best"), F.sum("n").alias("size")).where("size > 1")
+    told = materialise(nodes.join(best, "comp").select(F.col("node").alias("_node"), (F.col("node") == F.col("best.node")).alias("_stays"), F.col("doc_id").alias("_first")))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("_id"), text_key(F.col("text")).alias("_node"))
+    small = told.count() <= BROADCAST_IDS
+    alone = rows.join(F.broadcast(told.select("_node")) if small else told.select("_node"), "_node", "left_anti")
+    stay = told.where("_stays")
+    several = rows.join(F.broadcast(stay) if small else stay, "_node").where(F.col("_id").eqNullSafe(F.col("_first"))).dropDuplicates(["_node"])
+    return alone.select("_row.*").unionByName(several.select("_row.*"))
