@@ -66,7 +66,7 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 65536) -> DataFrame:
     slots from 0 in each batch.  A null or empty text has its end token alone.  Repeated rows are packed
     each.  An empty table gives no rows.  The driver sees the histogram only: at most about 2,000 rows.
     """
-    d = documents(docs).select("doc_id", (F.octet_length("text") + 1).cast("long").alias("n_tokens"))
+    d = documents(docs).select("doc_id", (F.octet_length("text") + 1).cast("long").alias("n_tokens"), F.xxhash64("text").alias("_text"))
     d = d.withColumn("_edge", _edge(F.col("n_tokens")))
     hist = sorted(d.groupBy("_edge").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t")).collect())
     bounds, _ = optimal_boundaries(*(np.array([int(r[i]) for r in hist], np.int64) for i in range(3)), buckets)
@@ -76,5 +76,5 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 65536) -> DataFrame:
         boundary = F.when(F.col("_edge") <= b, F.lit(b).cast("long")).otherwise(boundary)
     d = d.withColumns({"bucket": bucket, "boundary": boundary}).drop("_edge")
     each = F.greatest(F.floor(F.lit(budget) / F.col("boundary")).cast("long"), F.lit(1).cast("long"))
-    out = numbered(d, "bucket", F.coalesce("doc_id", F.lit(-1).cast("long")), "_at", buckets)
+    out = numbered(d, "bucket", [F.coalesce("doc_id", F.lit(-1).cast("long")), F.col("_text")], "_at", buckets)
     return out.select("doc_id", "n_tokens", "bucket", "boundary", F.floor(F.col("_at") / each).cast("long").alias("batch"), (F.col("_at") % each).cast("int").alias("slot"))

@@ -71,4 +71,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ctw": op10_ctw,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Every 50-byte window in hex, the least document that holds it, the runs that later ones lose, and what is left of each text.
+SUFFIX_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 9223372036854775807) AS doc, hex(encode(coalesce(text, ''))) AS x FROM documents),
+blocks AS (SELECT rid, doc, b, substr(x, 2 * b + 1, 1098) AS y FROM (SELECT rid, doc, x, unnest(range(0, length(x) // 2, 500)) AS b FROM d)),
+windows AS (SELECT rid, doc, b + j AS p, substr(y, 2 * j + 1, 100) AS w FROM (SELECT rid, doc, b, y, unnest(range(0, least(500, length(y) // 2 - 49))) AS j FROM blocks)),
+least_doc AS (SELECT w, min(doc) AS m FROM windows GROUP BY w HAVING min(doc) < max(doc)),
+hit AS (SELECT rid, p FROM windows JOIN least_doc USING (w) WHERE doc > m),
+turn AS (SELECT rid, p, coalesce(p > lag(p) OVER (PARTITION BY rid ORDER BY p) + 50, true) AS new FROM hit),
+island AS (SELECT rid, p, sum(new::INT) OVER (PARTITION BY rid ORDER BY p) AS k FROM turn),
+runs AS (SELECT rid, k, min(p) AS s, max(p) + 50 AS e FROM island GROUP BY rid, k),
+gaps AS (SELECT rid, s, e, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s), 0) AS f FROM runs),
+cut AS (SELECT rid, sum(e - s) AS n_removed, count(*) AS n_spans, max(e) AS z, string_agg(substr(x, 2 * f + 1, 2 * (s - f)), '' ORDER BY s) AS kept FROM gaps JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(z, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (rid)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_suffix_dedup": SUFFIX_SQL}

@@ -79,5 +79,6 @@ def shard_documents(docs: DataFrame, tree: Node | None = None, n_shards: int = 1
         F.lit("key").alias("law"),
         shard_of(key, tree).cast("int").alias("shard"),
         shard_of(key, grown(tree, n_shards)).cast("int").alias("grown_shard"),
+        F.xxhash64("text").alias("_text"),
     )
-    return numbered(d, "shard", key, "slot", n_shards).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return numbered(d, "shard", [key, F.col("_text")], "slot", n_shards).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
