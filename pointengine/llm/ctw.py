@@ -6,6 +6,10 @@ probability ``P_w(s) = KT(s)/2 + prod P_w(children)/2`` mixes all depths.  All o
 of byte strings of length DEPTH + 1, which Spark gathers; trees are built in parallel below the contexts
 of SPLIT bytes, and a text's probability is the product over its bytes.
 
+One change to the textbook's rule: a child without training counts would predict 1/2 with the weight that its parent
+gives to deeper contexts; here such a child has no say, and the parent predicts alone.  The weights themselves, and every
+prediction below which counts exist, are the textbook's.
+
 A text is its lower-cased words (A to Z only), each with one space behind it, and one end byte, so the model
 spreads its probability over token sequences like a model of whole words does.
 """

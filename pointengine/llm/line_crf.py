@@ -2,7 +2,8 @@
 
 Lines are a sequence of content (1) or boilerplate (0).  Unary potentials come from
 line features, pairwise ones from neighbouring labels; Viterbi decoding marks the lines
-and the share of words in content lines decides whether a document stays.
+and the share of words in content lines decides whether a document stays.  Only documents are labelled, so
+the lines' labels are latent: a document's label bounds the share of content among its lines.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ FIT_DOCS = 1000
 FIT_LINES = 40
 #: A document stays if this share of its words stands in content lines.
 CONTENT_SHARE = 0.5
+#: In the fit, a good document has at least this share of content lines, a bad one at most what is left.
+MOST = 0.8
 
 
 @dataclass(frozen=True)
@@ -42,35 +45,80 @@ class LineField:
         return LineField(w, np.zeros(2), np.zeros((2, 2)))
 
 
-def fit_field(x: np.ndarray, mask: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 0.08, decay: float = 1e-3) -> LineField:
-    """Maximum likelihood by forward-backward and Adam.  x: (texts, lines, features); mask, y: (texts, lines)."""
+def _marginals(un: np.ndarray, start: np.ndarray, move: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward: P(label) of every line, and P(both labels) of neighbouring lines; 0 where there is no line."""
+    b, t = mask.shape
+    alpha, beta = np.zeros((b, t, 2)), np.zeros((b, t, 2))
+    alpha[:, 0] = un[:, 0] + start
+    for i in range(1, t):
+        step = np.logaddexp(alpha[:, i - 1, :1] + move[0], alpha[:, i - 1, 1:] + move[1]) + un[:, i]
+        alpha[:, i] = np.where(mask[:, i, None], step, alpha[:, i - 1])
+    for i in range(t - 2, -1, -1):
+        nxt = un[:, i + 1] + beta[:, i + 1]
+        step = np.logaddexp(nxt[:, :1] + move[:, 0], nxt[:, 1:] + move[:, 1])
+        beta[:, i] = np.where(mask[:, i + 1, None], step, beta[:, i + 1])
+    z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])[:, None]
+    one = np.exp(alpha + beta - z[..., None]) * mask[..., None]
+    two = alpha[:, :-1, :, None] + move + (un + beta)[:, 1:, None, :] - z[..., None, None]
+    return one, np.exp(np.minimum(two, 0)) * mask[:, 1:, None, None]
+
+
+def _tilted(un: np.ndarray, start: np.ndarray, move: np.ndarray, mask: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals that keep to the documents' labels: the nearest ones in which a good text has at least MOST of its lines as
+    content, and a bad one at most 1 - MOST.  A tilt of all its lines, found by bisection, brings a text there."""
+    size = mask.sum(1)
+    lo, hi = np.where(good, 0.0, -30.0), np.where(good, 30.0, 0.0)
+    far = np.where(good, lo, hi)  # no tilt, if that will do
+
+    def at(tilt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        u = un.copy()
+        u[:, :, 1] += tilt[:, None]
+        one, two = _marginals(u, start, move, mask)
+        return one, two, one[:, :, 1].sum(1) / size
+
+    share = at(far)[2]
+    done = np.where(good, share >= MOST, share <= 1 - MOST)
+    want = np.where(good, MOST, 1 - MOST)
+    for _ in range(14):
+        mid = (lo + hi) / 2
+        low = at(mid)[2] < want
+        lo, hi = np.where(low, mid, lo), np.where(low, hi, mid)
+    one, two, _ = at(np.where(done, far, (lo + hi) / 2))
+    return one, two
+
+
+def fit_field(x: np.ndarray, mask: np.ndarray, good: np.ndarray, rounds: int = 5, steps: int = 40, rate: float = 0.08, decay: float = 1e-3) -> LineField:
+    """Latent line labels under document labels.  x: (texts, lines, features); mask: (texts, lines); good: (texts,).
+
+    First the line scores alone are fitted with each line labelled as its text.  Then rounds of expectation, in which the
+    texts' labels only bound the share of content among their lines, and of maximum likelihood of the whole field by
+    forward-backward and Adam, so a line of junk in a good text may become boilerplate, and labels may change within a text.
+    """
     b, t, f = x.shape
     x = np.concatenate([x, np.ones((b, t, 1))], 2)
     theta, m, v = np.zeros(f + 1 + 2 + 4), np.zeros(f + 7), np.zeros(f + 7)
-    first, pair = np.zeros((b, 2)), np.zeros(4)
-    first[np.arange(b), y[:, 0]] = 1
-    both = mask[:, 1:]
-    np.add.at(pair, (2 * y[:, :-1] + y[:, 1:])[both], 1)
-    real = np.concatenate([np.einsum("btf,bt->f", x, mask * y), first.sum(0), pair])
-    for k in range(1, steps + 1):
-        un = np.stack([np.zeros((b, t)), x @ theta[: f + 1]], 2)
-        start, move = theta[f + 1 : f + 3], theta[f + 3 :].reshape(2, 2)
-        alpha, beta = np.zeros((b, t, 2)), np.zeros((b, t, 2))
-        alpha[:, 0] = un[:, 0] + start
-        for i in range(1, t):
-            step = np.logaddexp(alpha[:, i - 1, :1] + move[0], alpha[:, i - 1, 1:] + move[1]) + un[:, i]
-            alpha[:, i] = np.where(mask[:, i, None], step, alpha[:, i - 1])
-        for i in range(t - 2, -1, -1):
-            nxt = un[:, i + 1] + beta[:, i + 1]
-            step = np.logaddexp(nxt[:, :1] + move[:, 0], nxt[:, 1:] + move[:, 1])
-            beta[:, i] = np.where(mask[:, i + 1, None], step, beta[:, i + 1])
-        z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])[:, None]
-        p = np.exp(alpha + beta - z[..., None]) * mask[..., None]
-        two = alpha[:, :-1, :, None] + move + (un + beta)[:, 1:, None, :] - z[..., None, None]
-        expect = np.concatenate([np.einsum("btf,bt->f", x, p[..., 1]), p[:, 0].sum(0), (np.exp(np.minimum(two, 0)) * both[..., None, None]).sum((0, 1)).ravel()])
-        g = (expect - real) / mask.sum() + decay * theta
+    k, lines = 0, mask.sum()
+
+    def descend(g: np.ndarray) -> None:
+        nonlocal theta, m, v, k
+        k += 1
+        g = g / lines + decay * theta
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        theta -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+        theta = theta - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+
+    def parts() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.stack([np.zeros((b, t)), x @ theta[: f + 1]], 2), theta[f + 1 : f + 3], theta[f + 3 :].reshape(2, 2)
+
+    def counts(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.einsum("btf,bt->f", x, one[:, :, 1]), one[:, 0].sum(0), two.sum((0, 1)).ravel()])
+
+    for _ in range(2 * steps):
+        p = 1 / (1 + np.exp(-(x @ theta[: f + 1])))
+        descend(np.append(np.einsum("btf,bt->f", x, mask * (p - good[:, None])), np.zeros(6)))
+    for _ in range(rounds):
+        real = counts(*_tilted(*parts(), mask, good.astype(bool)))
+        for _ in range(steps):
+            descend(counts(*_marginals(*parts(), mask)) - real)
     return LineField(theta[: f + 1], theta[f + 1 : f + 3], theta[f + 3 :].reshape(2, 2))
 
 
@@ -114,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> LineField:
     """Fit on at most FIT_DOCS documents of either quality label outside fold 0, all their lines in windows of FIT_LINES.
 
     docs has to be the table that was labelled, not one that a filter has been over: what is gone gives no boilerplate
-    to learn from.  A document's label is the label of its lines.  With no labelled document of either kind, every line is content.
+    to learn from.  With no labelled document of either kind, every line is content.
     """
     ids = labelled(labels, "quality", 1, FIT_DOCS).unionByName(labelled(labels, "quality", 0, FIT_DOCS))
     rows = with_text(docs, ids).mapInArrow(_sample_lines, "y int, x binary").collect()
@@ -123,10 +171,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> LineField:
     rows.sort(key=lambda r: (r.y, bytes(r.x)))
     seqs = [np.frombuffer(r.x, np.float32).reshape(-1, len(LINE_FEATURES)) for r in rows]
     t = max(map(len, seqs))
-    x, mask, y = np.zeros((len(seqs), t, len(LINE_FEATURES))), np.zeros((len(seqs), t), bool), np.zeros((len(seqs), t), int)
-    for i, (s, r) in enumerate(zip(seqs, rows, strict=True)):
-        x[i, : len(s)], mask[i, : len(s)], y[i, : len(s)] = s, True, r.y
-    return fit_field(x, mask, y)
+    x, mask = np.zeros((len(seqs), t, len(LINE_FEATURES))), np.zeros((len(seqs), t), bool)
+    for i, s in enumerate(seqs):
+        x[i, : len(s)], mask[i, : len(s)] = s, True
+    return fit_field(x, mask, np.array([r.y for r in rows]))
 
 
 RULES_SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, content_lines long, content_words long"

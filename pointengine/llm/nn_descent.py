@@ -1,9 +1,11 @@
 """Operator 2: approximate nearest neighbours by NN-descent and greedy graph search.
 
 Equal vectors are one node.  A first graph comes from random-projection leaves of bounded size; NN-descent then
-joins every node's neighbours, forward and backward, with each other and keeps each node's best.  Queries walk the
-graph greedily: they open the best nodes not yet opened until their best list holds no such node.  Scores on
-the way use half-precision copies; what is returned is measured again in double precision on the original vectors.
+joins every node's neighbours, forward and backward, with each other and keeps each node's best, until hardly a link
+changes.  Queries walk the graph greedily: they open the best nodes not yet opened until their best list holds no such
+node.  The recall of a sample of queries is measured against brute force; while it is too low, lists are widened and the
+walks go on from where they stand.  Scores on the way use half-precision copies; what is returned is measured again in
+double precision on the original vectors.
 """
 
 from __future__ import annotations
@@ -16,21 +18,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import discard, join_counted, materialise
 
 NEIGHBOURS = 32
-#: Trees and the query's list fix the recall: on independent normal vectors of 64 components, which have no structure
-#: to follow, 8 trees and a list of 48 reach 0.75 over 51,282 rows, 16 and 96 reach 0.93.  Larger tables of such vectors need more.
-TREES = 16
-#: Nodes of a leaf; larger leaves are dealt out by hash.
-LEAF = 2048
-ITERATIONS = 2
-#: Neighbours, forward and backward, that a node brings together in an iteration; the backward ones are a sample by hash.
+TREES = 12
+#: Nodes of a leaf, at most; small tables have smaller leaves, so that the descent has its part at any size.
+LEAF, LEAST_LEAF = 2048, 64
+#: Rounds of the descent, at most, and the share of changed links from which on there is no further one.
+ITERATIONS, CHANGED = 5, 0.03
+#: Neighbours, forward and backward, that a node brings together in a round; the backward ones are a sample by hash.
 FORWARD, BACKWARD = 20, 12
 #: Partners that each of them keeps from one such meeting.
 PARTNERS = 10
-#: Nodes in a query's list, and how many of the best of them are opened.
+#: Nodes in a query's list, and how many of the best of them are opened, to begin with.
 BEAM, OPENED = 96, 48
+#: Queries whose recall is measured, and what it has to reach; until then the lists are doubled.
+MEASURED, RECALL = 64, 0.93
 
 _LISTS = "node long, ids array<long>, scores array<float>"
 
@@ -107,94 +110,145 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of all lists of a node, the NEIGHBOURS best different ids."""
+    """Of all lists of a node, the NEIGHBOURS best different ids, and how many of them are no old links."""
     for batch in batches:
-        node, ids, scores = [], [], []
-        for n, i, s in zip(batch.column("node").to_pylist(), batch.column("ids"), batch.column("scores"), strict=True):
-            i, s = i.values.flatten().to_numpy(), s.values.flatten().to_numpy()
-            i, at = np.unique(i, return_index=True)
-            s = s[at]
-            top = np.argsort(-s, kind="stable")[:NEIGHBOURS]
-            top = top[i[top] != n]
-            node.append(n), ids.append(i[top]), scores.append(s[top])
-        if node:
-            yield _lists(np.array(node), np.concatenate(ids), np.concatenate(scores), np.append(0, np.cumsum([len(i) for i in ids])))
-
-
-def _merged(lists: DataFrame) -> DataFrame:
-    """One list a node; a node occurs in a bounded number of lists, or the best of each task's come first."""
-    return materialise(lists.groupBy("node").agg(F.collect_list("ids").alias("ids"), F.collect_list("scores").alias("scores")).mapInArrow(_merge, _LISTS))
+        if not len(batch):
+            continue
+        lists = batch.column("lists")
+        row = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        one = lists.flatten()
+        size = one.field("ids").value_lengths().to_numpy(zero_copy_only=False)
+        row, old = np.repeat(row, size), np.repeat(one.field("old").to_numpy(zero_copy_only=False), size)
+        ids, scores = one.field("ids").flatten().to_numpy(), one.field("scores").flatten().to_numpy()
+        node = batch.column("node").to_numpy()
+        o = np.lexsort((~old, ids, row))
+        o = o[np.append(True, (ids[o][1:] != ids[o][:-1]) | (row[o][1:] != row[o][:-1]))[: len(o)] & (ids[o] != node[row[o]])]
+        o = o[np.lexsort((ids[o], -scores[o], row[o]))]
+        place = np.arange(len(o)) - np.searchsorted(row[o], row[o])
+        o = o[place < NEIGHBOURS]
+        cut = np.searchsorted(row[o], np.arange(len(batch) + 1))
+        fresh = np.bincount(row[o], ~old[o], len(batch)).astype(np.int32)
+        out = _lists(node, ids[o], scores[o], cut)
+        yield pa.RecordBatch.from_arrays([*out.columns, pa.array(fresh)], [*out.schema.names, "fresh"])
+
+
+def _merged(old: DataFrame | None, new: DataFrame) -> tuple[DataFrame, float]:
+    """One list a node, and the share of its links that are new; a node occurs in a bounded number of lists."""
+    flag = lambda df, v: df.select("node", F.struct("ids", "scores", F.lit(v).alias("old")).alias("l"))
+    both = flag(new, False) if old is None else flag(old, True).unionByName(flag(new, False))
+    graph = materialise(both.groupBy("node").agg(F.collect_list("l").alias("lists")).mapInArrow(_merge, _LISTS + ", fresh int"))
+    fresh, total = graph.agg(F.sum("fresh"), F.sum(F.size("ids"))).first()
+    return graph, (fresh or 0) / max(total or 0, 1)
 
 
 def build_graph(vecs: DataFrame, n: int, dim: int) -> DataFrame:
     """(node, ids, scores): the neighbours of every node (node, vec), best first."""
-    depth = max(0, int(np.ceil(np.log2(max(n, 1) / LEAF))))
+    leaf = min(LEAF, max(LEAST_LEAF, n // 16))
+    depth = max(0, int(np.ceil(np.log2(max(n, 1) / leaf))))
     planes = np.random.default_rng(17).normal(size=(TREES if depth else 1, depth, dim)).astype(np.float32)
     dealt = vecs.mapInArrow(_leaves(planes), "tree int, leaf long, node long, vec binary")
-    size = dealt.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(2.0 * LEAF)).cast("int").alias("parts"))
+    size = dealt.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(2.0 * leaf)).cast("int").alias("parts"))
     split = dealt.join(size, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
-    graph = _merged(split.groupBy("tree", "leaf", "part").applyInArrow(_leaf_neighbours, _LISTS))
-    if not depth:
-        return graph
+    graph, _ = _merged(None, split.groupBy("tree", "leaf", "part").applyInArrow(_leaf_neighbours, _LISTS))
     for _ in range(ITERATIONS):
         forward = graph.select("node", F.explode(F.slice("ids", 1, FORWARD)).alias("m"))
-        turn = Window.partitionBy("node").orderBy(F.xxhash64("node", "m"), "m")
+        turn = Window.partitionBy("node").orderBy(F.xxhash64("node", "m"), "m")  # tasks keep a hub's first BACKWARD links before the shuffle
         backward = forward.select(F.col("m").alias("node"), F.col("node").alias("m")).withColumn("_r", F.row_number().over(turn)).where(F.col("_r") <= BACKWARD).drop("_r")
         pairs = forward.unionByName(backward).unionByName(graph.select("node", F.col("node").alias("m"))).distinct()
         met = pairs.join(vecs.select(F.col("node").alias("m"), "vec"), "m").groupBy("node").agg(F.collect_list(F.struct("m", "vec")).alias("met"))
-        found = met.select("met").mapInArrow(_meet, _LISTS)
-        graph = _merged(graph.unionByName(found))
+        old = graph
+        graph, changed = _merged(old, met.select("met").mapInArrow(_meet, _LISTS))
+        discard(old)
+        if changed < CHANGED:
+            break
     return graph
 
 
 _STATE = "query long, qvec binary, ids array<long>, scores array<float>, open array<long>"
 
 
-def _advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _advance(beam: int, opened: int):
     """Measure what the opened nodes led to and merge it into the queries' lists."""
-    for batch in batches:
-        rows = []
-        for r in range(len(batch)):
-            get = lambda n: batch.column(n)[r]  # noqa: B023, E731
-            q = np.frombuffer(get("qvec").as_py(), np.float16).astype(np.float32)
-            ids, scores = get("ids").values.to_numpy(), get("scores").values.to_numpy()
-            done = set((get("open").values.to_numpy() if get("open").is_valid else np.zeros(0, int)).tolist()) | set(ids[:OPENED].tolist())
-            new = get("found")
-            if new.is_valid and len(new.values):
-                m = new.values.field("m").to_numpy()
-                x = np.frombuffer(b"".join(new.values.field("vec").to_pylist()), np.float16).reshape(len(m), -1).astype(np.float32)
-                ids, scores = np.concatenate([ids, m]), np.concatenate([scores, x @ q])
-                top = np.argsort(-scores, kind="stable")[:BEAM]
-                ids, scores = ids[top], scores[top]
-            rows.append((get("query").as_py(), get("qvec").as_py(), ids, scores, [d for d in done]))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary()), pa.array([x[2] for x in rows], pa.list_(pa.int64())), pa.array([x[3].astype(np.float32) for x in rows], pa.list_(pa.float32())), pa.array([x[4] for x in rows], pa.list_(pa.int64()))], ["query", "qvec", "ids", "scores", "open"])
-
-
-def search(graph: DataFrame, vecs: DataFrame, queries: DataFrame) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in range(len(batch)):
+                get = lambda n: batch.column(n)[r]  # noqa: B023, E731
+                q = np.frombuffer(get("qvec").as_py(), np.float16).astype(np.float32)
+                ids, scores = get("ids").values.to_numpy(), get("scores").values.to_numpy()
+                done = np.union1d(get("open").values.to_numpy(), ids[:opened])
+                new = get("found")
+                if new.is_valid and len(new.values):
+                    m = new.values.field("m").to_numpy()
+                    x = np.frombuffer(b"".join(new.values.field("vec").to_pylist()), np.float16).reshape(len(m), -1).astype(np.float32)
+                    ids, scores = np.concatenate([ids, m]), np.concatenate([scores, x @ q])
+                    top = np.argsort(-scores, kind="stable")[:beam]
+                    ids, scores = ids[top], scores[top]
+                rows.append((get("query").as_py(), get("qvec").as_py(), ids, scores, done))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary()), pa.array([x[2] for x in rows], pa.list_(pa.int64())), pa.array([x[3].astype(np.float32) for x in rows], pa.list_(pa.float32())), pa.array([x[4] for x in rows], pa.list_(pa.int64()))], ["query", "qvec", "ids", "scores", "open"])
+
+    return run
+
+
+def _recall(state: DataFrame, truth: DataFrame) -> float:
+    met = F.size(F.array_intersect("ids", "best")) / F.size("best")
+    return float(state.join(F.broadcast(truth), "query").agg(F.avg(met)).first()[0] or 0.0)
+
+
+def search(graph: DataFrame, vecs: DataFrame, queries: DataFrame, truth: DataFrame | None = None) -> DataFrame:
     """(query, ids): the nodes that greedy search from each query (query, qvec, its own node) ends with, best first.
 
-    A walk ends when the OPENED best nodes of its list are all opened; each round opens what is new among them.
+    A walk ends when the best nodes of its list are all opened; each round opens what is new among them.  truth:
+    (query, best) of some queries; while they have less than RECALL of it, lists are doubled and the walks go on, until
+    everything a walk can reach is opened.
     """
     start = queries.join(graph, "node", "left").select("query", "qvec", F.coalesce("ids", F.array().cast("array<long>")).alias("ids"), F.coalesce("scores", F.array().cast("array<float>")).alias("scores"), F.array(F.col("node")).alias("open"))
-    state = materialise(start)
+    state, beam, opened = materialise(start), BEAM, OPENED
+    met = 0
     while True:
-        front = state.select("query", F.explode(F.array_except(F.slice("ids", 1, OPENED), "open")).alias("node"))
-        front = materialise(front)
+        front = materialise(state.select("query", F.explode(F.array_except(F.slice("ids", 1, opened), "open")).alias("node")))
         if not front.limit(1).count():
-            return state.select("query", "ids")
+            held = state.agg(F.sum(F.size("open"))).first()[0] or 0
+            if truth is None or _recall(state, truth) >= RECALL or held == met:
+                return state.select("query", "ids")
+            met, beam, opened = held, 2 * beam, 2 * opened  # wider lists that open nothing more are the end
+            continue
         seen = state.select("query", F.array_union("ids", "open").alias("seen"))
         reach = front.join(graph.select("node", "ids"), "node").select("query", F.explode("ids").alias("m")).distinct()
         reach = reach.join(seen, "query").where(~F.array_contains("seen", F.col("m"))).select("query", "m")
         found = reach.join(vecs.select(F.col("node").alias("m"), "vec"), "m").groupBy("query").agg(F.collect_list(F.struct("m", "vec")).alias("found"))
-        state = materialise(state.join(found, "query", "left").mapInArrow(_advance, _STATE))
+        old = state
+        state = materialise(old.join(found, "query", "left").mapInArrow(_advance(beam, opened), _STATE))
+        discard(old, front)
+
+
+def exact_neighbours(nodes: DataFrame, asked: list[tuple[int, list[float]]], k: int) -> DataFrame:
+    """(query, best): the k best other nodes (node, v) of each given query (node, vector), by measuring all of them."""
+    q_id, q = np.array([a for a, _ in asked], np.int64), np.array([v for _, v in asked], float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            col, node = b.column("v"), b.column("node").to_numpy()
+            s = q @ col.flatten().to_numpy().reshape(len(b), q.shape[1]).T
+            s[q_id[:, None] == node[None]] = -np.inf
+            ids, scores = _best_rows(node, s, k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_id, ids.shape[1])), pa.array(ids.ravel()), pa.array(scores.ravel())], ["query", "node", "score"])
+
+    found = nodes.select("node", "v").mapInArrow(run, "query long, node long, score double").where(F.col("score") != F.lit(float("-inf")))
+    turn = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "node"))
+    return found.withColumn("_r", turn).where(F.col("_r") <= k).groupBy("query").agg(F.collect_list("node").alias("best"))
 
 
 def nearest(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best partners found of each vec_id divisible by ``every``.
+    """query_id, rank, vec_id, score: the k best partners found of each row whose vec_id is divisible by ``every``.
 
-    Score: inner product in double precision; ties go to the smaller vec_id.  Rows whose vector is null, zero or
-    holds null or non-finite components take no part, nor do rows without a vec_id or of another length than most.  Of
-    rows of one vec_id the least vector counts.  Equal vectors are found together.  Other columns are ignored.
+    Score: inner product in double precision; ties go to the smaller vec_id.  Every row is a candidate for every query but
+    itself, rows that repeat a vec_id or a vector included; a query whose vec_id repeats has k partners for each of its rows.
+    Rows whose vector is null, zero or holds null or non-finite components take no part, nor do rows without a vec_id or of
+    another length than most.  Other columns are ignored.  Equal vectors are one node of the graph.
     """
     spark = table.sparkSession
     v = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & _finite(F.col("v")))
@@ -202,32 +256,36 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = int(sizes[0].d)
-    v = materialise(v.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v")))
-    nodes = materialise(v.groupBy("v").agg(F.min("vec_id").alias("node")))
+    v = materialise(v.where(F.size("v") == dim).withColumn("rid", F.monotonically_increasing_id()))
+    nodes = materialise(v.groupBy("v").agg(F.min("rid").alias("node"), F.count(F.lit(1)).alias("n")))
 
     def half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column("v").values.to_numpy()[b.column("v").offsets[0].as_py() :][: len(b) * dim].reshape(len(b), dim) if len(b) else np.zeros((0, dim))
+            x = b.column("v").flatten().to_numpy().reshape(len(b), dim)
             top = np.abs(x).max() if len(b) else 1.0
             x = x / scale if top <= scale * 6e4 else x / top
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], ["node", "vec"])
 
     scale = float(nodes.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 1.0)
-    vecs = materialise(nodes.mapInArrow(half, "node long, vec binary"))
+    vecs = materialise(nodes.select("node", "v").mapInArrow(half, "node long, vec binary"))
     graph = build_graph(vecs, vecs.count(), dim)
-    own = v.join(nodes, "v").select("vec_id", "node")
-    own = materialise(own)
+    own = materialise(join_counted(v, nodes, "v", "n").select("rid", "vec_id", "node"))
     asked = own.where(F.col("vec_id") % every == 0)
-    asked_nodes = asked.select("node").distinct().join(vecs, "node").select(F.col("node").alias("query"), F.col("vec").alias("qvec"), "node")
-    found = search(graph, vecs, asked_nodes)
+    asked_nodes = materialise(asked.select("node").distinct())
+    walks = asked_nodes.join(vecs, "node").select(F.col("node").alias("query"), F.col("vec").alias("qvec"), "node")
+    sample = asked_nodes.orderBy(F.xxhash64("node"), "node").limit(MEASURED).join(nodes, "node").select("node", "v").collect()
+    truth = materialise(exact_neighbours(nodes, [(r.node, r.v) for r in sample], k)) if sample else None
+    found = search(graph, vecs, walks, truth)
     # Every query's own node counts too: rows that hold the same vector are its partners.
-    pairs = found.select(F.col("query").alias("qn"), F.explode("ids").alias("node")).unionByName(asked.select(F.col("node").alias("qn"), "node")).distinct()
+    pairs = found.select(F.col("query").alias("qn"), F.explode("ids").alias("node")).unionByName(asked_nodes.select(F.col("node").alias("qn"), "node")).distinct()
     exact = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.join(nodes.select(F.col("node").alias("qn"), F.col("v").alias("qv")), "qn").join(nodes, "node").select("qn", "node", exact(F.col("qv"), F.col("v")).alias("score"))
-    least = own.withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).where(F.col("_r") <= k + 1).select("vec_id", "node")
-    rows = scored.join(asked.select(F.col("vec_id").alias("query_id"), F.col("node").alias("qn")), "qn").join(least, "node").where("query_id <> vec_id")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))
+    scored = pairs.join(nodes.select(F.col("node").alias("qn"), F.col("v").alias("qv")), "qn").join(nodes.select("node", "v"), "node").select("qn", "node", exact(F.col("qv"), F.col("v")).alias("score"))
+    # A node stands for one row or more, so the k + 1 best nodes hold the k best rows; of one node its k + 1 least vec_ids.
+    scored = scored.withColumn("_r", F.rank().over(Window.partitionBy("qn").orderBy(F.desc("score")))).where(F.col("_r") <= k + 1).drop("_r")
+    least = own.withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy("vec_id", "rid"))).where(F.col("_r") <= k + 1).select("vec_id", "node", "rid")
+    rows = scored.join(asked.select(F.col("rid").alias("qr"), F.col("vec_id").alias("query_id"), F.col("node").alias("qn")), "qn").join(least, "node").where("qr <> rid")
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("qr").orderBy(F.desc("score"), "vec_id", "rid")).cast("int"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-__all__ = ["build_graph", "nearest", "search"]
+__all__ = ["build_graph", "exact_neighbours", "nearest", "search"]

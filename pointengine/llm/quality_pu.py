@@ -45,30 +45,41 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x), -30, 30)))
 
 
+def risk(parts: list[np.ndarray], x: np.ndarray, n_pos: int, prior: float | None) -> tuple[float, list[np.ndarray], float]:
+    """(value, gradient, negative part) of the non-negative unbiased risk; the first n_pos rows of x are the positives.
+
+    Where the negative part ``R_u^- - pi R_p^-`` is below zero, the gradient steps back along it, as the published method
+    does.  Without a prior: plain logistic loss of P against U.
+    """
+    h = np.tanh(x @ parts[0] + parts[1])
+    z = np.clip(h @ parts[2] + parts[3], -30, 30)
+    down = 1 / (1 + np.exp(-z))  # derivative of log(1+e^z); that of log(1+e^-z) is down - 1
+    up, n_unl = down - 1, len(x) - n_pos
+    g = np.zeros(len(x))
+    plus, rest = np.logaddexp(0, -z[:n_pos]).mean(), np.logaddexp(0, z[n_pos:]).mean()
+    if prior is None:
+        value = plus + rest
+        g[:n_pos], g[n_pos:] = up[:n_pos] / n_pos, down[n_pos:] / n_unl
+    else:
+        rest -= prior * np.logaddexp(0, z[:n_pos]).mean()
+        value = prior * plus + max(rest, 0.0)
+        if rest >= 0:
+            g[:n_pos], g[n_pos:] = prior * (up[:n_pos] - down[:n_pos]) / n_pos, down[n_pos:] / n_unl
+        else:
+            g[:n_pos], g[n_pos:] = prior * down[:n_pos] / n_pos, -down[n_pos:] / n_unl
+    dh = g[:, None] * parts[2] * (1 - h * h)
+    return float(value), [x.T @ dh, dh.sum(0), h.T @ g, g.sum(keepdims=True)], float(rest)
+
+
 def _descend(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int, rate: float, seed: int) -> tuple[np.ndarray, ...]:
     """Adam on the risk of P and U; without a prior, on plain P-against-U logistic loss."""
     rng = np.random.default_rng(seed)
     f = p.shape[1]
     parts = [rng.normal(0, 1 / np.sqrt(f), (f, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
     m, v = [np.zeros_like(q) for q in parts], [np.zeros_like(q) for q in parts]
-    x, np_, nu = np.concatenate([p, u]), len(p), len(u)
-    sig = lambda z: 1 / (1 + np.exp(-z))
+    x = np.concatenate([p, u])
     for k in range(1, steps + 1):
-        h = np.tanh(x @ parts[0] + parts[1])
-        z = np.clip(h @ parts[2] + parts[3], -30, 30)
-        up, down = sig(z) - 1, sig(z)  # derivatives of log(1+e^-z) and log(1+e^z)
-        g = np.zeros(len(x))
-        if prior is None:
-            g[:np_], g[np_:] = up[:np_] / np_, down[np_:] / nu
-        else:
-            rest = np.logaddexp(0, z[np_:]).mean() - prior * np.logaddexp(0, z[:np_]).mean()
-            if rest >= 0:
-                g[:np_], g[np_:] = prior * (up[:np_] - down[:np_]) / np_, down[np_:] / nu
-            else:  # the negative part went below zero: step back along it
-                g[:np_], g[np_:] = prior * down[:np_] / np_, -down[np_:] / nu
-        dh = g[:, None] * parts[2] * (1 - h * h)
-        grads = [x.T @ dh, dh.sum(0), h.T @ g, g.sum(keepdims=True)]
-        for i, gr in enumerate(grads):
+        for i, gr in enumerate(risk(parts, x, len(p), prior)[1]):
             gr = gr + 1e-4 * parts[i]
             m[i], v[i] = 0.9 * m[i] + 0.1 * gr, 0.999 * v[i] + 0.001 * gr * gr
             parts[i] = parts[i] - rate * (m[i] / (1 - 0.9**k)) / (np.sqrt(v[i] / (1 - 0.999**k)) + 1e-8)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, fold
@@ -22,7 +22,7 @@ def labelled(labels: DataFrame, name: str, value: int, n: int) -> DataFrame:
     return smallest(one.groupBy("doc_id").agg(F.max("y").alias("y")).where(F.col("y") == value), n)
 
 
-def with_text(docs: DataFrame, ids: DataFrame, where: Column | None = None) -> DataFrame:
-    """Texts of a bounded set of ids, which is broadcast; a doc_id that repeats counts once per row."""
-    d = documents(docs)
-    return d.join(F.broadcast(ids), "doc_id") if where is None else d.where(where).join(F.broadcast(ids), "doc_id")
+def with_text(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text, y of a bounded set of ids (doc_id, y), which is broadcast; of rows that share a doc_id the least text counts."""
+    d = documents(docs).join(F.broadcast(ids), "doc_id")
+    return d.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
