@@ -21,7 +21,9 @@ from pyspark.sql.window import Window
 from .common import discard, join_counted, materialise
 
 NEIGHBOURS = 32
-TREES = 12
+#: Trees: a number for each doubling of the nodes beyond TREES_FROM, and LEAST_TREES at least; without structure to follow, as
+#: among independent normal vectors, a graph needs more of them the more nodes there are.
+TREES, TREES_FROM, LEAST_TREES = 4, 640, 12
 #: Nodes of a leaf, at most; small tables have smaller leaves, so that the descent has its part at any size.
 LEAF, LEAST_LEAF = 2048, 64
 #: Rounds of the descent, at most, and the share of changed links from which on there is no further one.
@@ -33,7 +35,7 @@ PARTNERS = 10
 #: Nodes in a query's list, and how many of the best of them are opened, to begin with.
 BEAM, OPENED = 96, 48
 #: Queries whose recall is measured, and what it has to reach; until then the lists are doubled.
-MEASURED, RECALL = 64, 0.93
+MEASURED, RECALL = 64, 0.92
 
 _LISTS = "node long, ids array<long>, scores array<float>"
 
@@ -145,7 +147,8 @@ def build_graph(vecs: DataFrame, n: int, dim: int) -> DataFrame:
     """(node, ids, scores): the neighbours of every node (node, vec), best first."""
     leaf = min(LEAF, max(LEAST_LEAF, n // 16))
     depth = max(0, int(np.ceil(np.log2(max(n, 1) / leaf))))
-    planes = np.random.default_rng(17).normal(size=(TREES if depth else 1, depth, dim)).astype(np.float32)
+    trees = max(LEAST_TREES, round(TREES * np.log2(max(n, 1) / TREES_FROM)))
+    planes = np.random.default_rng(17).normal(size=(trees if depth else 1, depth, dim)).astype(np.float32)
     dealt = vecs.mapInArrow(_leaves(planes), "tree int, leaf long, node long, vec binary")
     size = dealt.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(2.0 * leaf)).cast("int").alias("parts"))
     split = dealt.join(size, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
