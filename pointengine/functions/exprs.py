@@ -92,6 +92,17 @@ def encoding_flag(value: Column, name: str) -> Column:
     return (value.bitwiseAND(F.lit(ENCODING_BITS[name])) != 0).cast("int")
 
 
+def set_encoding_flag(value: Column, name: str, on: bool = True) -> Column:
+    """The global encoding with a flag set or cleared; an offset GPS time is a standard one, too."""
+    bit = ENCODING_BITS[name] | (ENCODING_BITS["gps_standard"] if on and name == "gps_offset" else 0)
+    return value.bitwiseOR(F.lit(bit)) if on else value.bitwiseAND(F.lit(0xFFFF & ~bit))
+
+
+def randomised(value: Column, seed: Column, top: int) -> Column:
+    """A value from 0 to top that hides the old one: a hash of it, of the row's seed and nothing else, so runs repeat it."""
+    return F.pmod(F.xxhash64(value, seed), F.lit(top + 1)).cast("int")
+
+
 def is_compressed_format(byte: Column) -> Column:
     return ((byte.bitwiseAND(F.lit(0xC0))) == 0x80).cast("int")
 

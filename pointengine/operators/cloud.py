@@ -13,6 +13,8 @@ from ..functions import exprs
 from ..plans import dsl
 
 AXES = ("X", "Y", "Z")
+#: Indices of a list that are sent to all tasks, at most.
+TAKEN = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -25,15 +27,19 @@ class PointCloud:
     offsets: tuple[float, float, float] = (0.0, 0.0, 0.0)
     version: str = "1.2"
     extra: tuple[dims.ExtraDim, ...] = ()
+    #: Metadata records of the file, as the LAS reader gives and the writer takes them.
+    records: tuple = ()
 
     def scaled(self) -> dict[str, tuple[Column, float, float]]:
         return {a.lower(): (F.col(a), s, o) for a, s, o in zip(AXES, self.scales, self.offsets, strict=True)}
 
     def fields(self) -> dict[str, Column]:
-        """Every name that can be asked for: columns, sub-fields of packed containers, x, y, z."""
+        """Every name that can be asked for: columns, sub-fields of packed containers, scaled user dimensions, x, y, z.  df has the
+        raw values of scaled ones."""
         own = {c: F.col(c) for c in self.df.columns}
         bits = {b: exprs.unpack(F.col(c), m) for b, (c, m) in dims.bit_fields(self.fmt).items() if c in own and b not in own}
-        return own | bits | {k: exprs.scale(*v) for k, v in self.scaled().items()}
+        user = {e.name: exprs.scale(own[e.name], e.scales[0], e.offsets[0]) if e.count == 1 else exprs.scaled_vector(own[e.name], e.scales, e.offsets) for e in self.extra if e.scales and e.name in own}
+        return own | bits | user | {k: exprs.scale(*v) for k, v in self.scaled().items()}
 
     def column(self, name: str) -> Column:
         f = self.fields()
@@ -84,7 +90,7 @@ class PointCloud:
             if n in have and n in ("classification", "return_number", "number_of_returns") and top < 255:
                 v = F.when(v <= top, v).otherwise(F.raise_error(F.lit(f"{n} above {top}")).cast("int"))
             cols.append(v.cast(dims.spark_type(kinds.get(n, "u1"))).alias(n))
-        return PointCloud(self.df.select(*cols, *[F.col(e.name) for e in self.extra]), fmt, self.scales, self.offsets, version, self.extra)
+        return PointCloud(self.df.select(*cols, *[F.col(e.name) for e in self.extra]), fmt, self.scales, self.offsets, version, self.extra, self.records)
 
     def rescaled(self, scales: tuple[float, float, float], offsets: tuple[float, float, float]) -> PointCloud:
         new = {a: exprs.unscale(exprs.scale(F.col(a), s, o), s2, o2) for a, s, o, s2, o2 in zip(AXES, self.scales, self.offsets, scales, offsets, strict=True)}
@@ -116,7 +122,7 @@ def sliced(df: DataFrame, start: int, stop: int, step: int = 1) -> DataFrame:
 def taken(df: DataFrame, indices: list[int]) -> DataFrame:
     """The points of a given list, in its order and as often as it names them."""
     want = df.sparkSession.createDataFrame([(k, int(i)) for k, i in enumerate(indices)], "pos long, point_idx long")
-    return df.join(F.broadcast(want), "point_idx")
+    return df.join(F.broadcast(want) if len(indices) <= TAKEN else want, "point_idx")
 
 
 def resized(df: DataFrame, n: int, total: int) -> DataFrame:

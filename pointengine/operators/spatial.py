@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exprs
 from .cloud import AXES, PointCloud
+from .ranks import running
 
 
 def box(cloud: PointCloud, lo: tuple[float, ...], hi: tuple[float, ...]) -> PointCloud:
@@ -42,34 +43,61 @@ def tiles_inclusive(df: DataFrame, size: int) -> DataFrame:
     return df.withColumn("tx", F.explode(cells("X"))).withColumn("ty", F.explode(cells("Y")))
 
 
+#: Cells at the finest scale of a neighbour search, along an axis, at most.
+FINEST = 1 << 20
+_AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+
+
 def nearest(points: DataFrame, queries: DataFrame, k: int, cell: float) -> DataFrame:
     """(query, id, rank, d2) of the k nearest points (id, x, y) of every query (query, x, y), ties to the smaller id.
 
-    Points and queries meet by grid cell.  Queries start with their own and the eight cells around; one whose k-th
-    neighbour may lie further out is asked again over a grid twice as coarse, until all are settled.
+    Cells of side ``cell`` are counted once and summed up to ever coarser scales.  A query takes the finest scale at which
+    the nine cells around it hold k points beside itself: its k-th neighbour lies within 2.83 sides, so the nine cells
+    two scales up hold all that can matter.  Queries and points meet there, by one equi-join, without rounds.
     """
-    todo, done, side = queries, None, float(cell)
-    extent = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
-    if not extent[4]:
+    x0, x1, y0, y1, n = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
+    if not n:
         return points.sparkSession.createDataFrame([], "query long, id long, rank int, d2 double")
-    while True:
-        at = lambda a: F.floor(F.col(a) / F.lit(side)).cast("long")  # noqa: B023, E731
-        grid = points.select("id", F.col("x").alias("px"), F.col("y").alias("py"), at("x").alias("cx"), at("y").alias("cy"))
-        around = todo.withColumn("dx", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("dy", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-        around = around.select("query", "x", "y", (at("x") + F.col("dx")).alias("cx"), (at("y") + F.col("dy")).alias("cy"))
-        d2 = (F.col("px") - F.col("x")) * (F.col("px") - F.col("x")) + (F.col("py") - F.col("y")) * (F.col("py") - F.col("y"))
-        found = around.join(grid, ["cx", "cy"]).where(F.col("query") != F.col("id")).select("query", "id", d2.alias("d2"))
-        found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d2", "id"))).where(F.col("rank") <= k)
-        whole = side > max(extent[1] - extent[0], extent[3] - extent[2])
-        sure = found.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.max("d2").alias("far")).where(F.lit(whole) | ((F.col("n") == k) & (F.col("far") <= side * side))).select("query")
-        part = found.join(sure, "query", "left_semi").select("query", "id", "rank", "d2")
-        done = part if done is None else done.unionByName(part)
-        if whole:
-            return done
-        todo = todo.join(sure, "query", "left_anti")
-        if not todo.limit(1).count():
-            return done
-        side *= 4
+    extent = max(x1 - x0, y1 - y0, float(cell))
+    side = max(float(cell), extent / FINEST)
+    top = math.ceil(math.log2(extent / side)) + 1  # here the nine cells hold everything
+    at = lambda a, s: F.floor(F.col(a) / (F.lit(side) * F.pow(F.lit(2.0), s.cast("double")))).cast("long")
+    fine = points.groupBy(at("x", F.lit(0)).alias("cx"), at("y", F.lit(0)).alias("cy")).agg(F.count(F.lit(1)).alias("n"))
+    scales = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("s")
+    up = lambda c: F.expr(f"shiftright({c}, s)").alias(c)
+    cells = fine.select(scales, "cx", "cy", "n").select("s", up("cx"), up("cy"), "n").groupBy("s", "cx", "cy").agg(F.sum("n").alias("n"))
+    nine = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _AROUND])).alias("d")
+
+    def around(q: DataFrame) -> DataFrame:
+        q = q.select("query", "x", "y", "s", nine)
+        return q.select("query", "x", "y", "s", (at("x", F.col("s")) + F.col("d.i")).alias("cx"), (at("y", F.col("s")) + F.col("d.j")).alias("cy"))
+
+    held = around(queries.select("query", "x", "y", scales)).join(cells, ["s", "cx", "cy"]).groupBy("query", "s").agg(F.sum("n").alias("n"))
+    own = held.where(F.col("n") > k).groupBy("query").agg(F.min("s").alias("s"))
+    asked = queries.join(own, "query", "left").withColumn("s", F.coalesce("s", F.lit(top)) + 2)
+    used = [r.s for r in asked.select("s").distinct().collect()]  # scales, some dozens at most
+    dealt = points.select("id", F.col("x").alias("px"), F.col("y").alias("py"), "x", "y", F.explode(F.array(*map(F.lit, used or [top]))).alias("s"))
+    dealt = dealt.select("id", "px", "py", "s", at("x", F.col("s")).alias("cx"), at("y", F.col("s")).alias("cy"))
+    d2 = (F.col("px") - F.col("x")) * (F.col("px") - F.col("x")) + (F.col("py") - F.col("y")) * (F.col("py") - F.col("y"))
+    found = around(asked).join(dealt, ["s", "cx", "cy"]).where(F.col("query") != F.col("id")).select("query", "id", d2.alias("d2"))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d2", "id"))).where(F.col("rank") <= k).select("query", "id", "rank", "d2")
+
+
+def recursive_tiles(df: DataFrame, most: int, side: float, depth: int = 16) -> DataFrame:
+    """Every point with the tile (t_level, tx, ty) it falls into: squares of ``side`` are quartered until none holds more than
+    ``most`` points, or ``depth`` times.
+
+    Points of the finest cells are counted once; the counts of coarser tiles are their sums, and a fine cell belongs to the
+    coarsest tile that is small enough.
+    """
+    at = lambda a: F.floor(F.col(a) / F.lit(side / 2.0**depth)).cast("long")
+    fine = df.groupBy(at("X").alias("fx"), at("Y").alias("fy")).agg(F.count(F.lit(1)).alias("n"))
+    levels = fine.select("fx", "fy", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("t_level"))
+    levels = levels.select("*", *[F.expr(f"shiftright({f}, {depth} - t_level)").alias(t) for f, t in (("fx", "tx"), ("fy", "ty"))])
+    size = levels.groupBy("t_level", "tx", "ty").agg(F.sum("n").alias("all"))
+    fit = levels.join(size, ["t_level", "tx", "ty"]).where((F.col("all") <= most) | (F.col("t_level") == depth))
+    tile = fit.groupBy("fx", "fy").agg(F.min(F.struct("t_level", "tx", "ty")).alias("t")).select("fx", "fy", "t.*")
+    return df.withColumn("fx", at("X")).withColumn("fy", at("Y")).join(tile, ["fx", "fy"]).drop("fx", "fy")
 
 
 # ------------------------------------------------------------------------------------------------------- octree
@@ -103,17 +131,19 @@ def overlaps(side: float, lo: tuple[float, float, float], hi: tuple[float, float
 
 
 def reachable(nodes: DataFrame, side: float, lo, hi, levels: range) -> DataFrame:
-    """Nodes of the levels that overlap the box and whose ancestors are all in the index: one semi-join a level."""
-    hit = nodes.where(overlaps(side, lo, hi))
-    front = hit.where("level = 0")
-    out = front if 0 in levels else front.limit(0)
-    for lv in range(1, levels.stop):
-        parent = front.select(*[F.col(c).alias(f"p_{c}") for c in ("vx", "vy", "vz")])
-        here = hit.where(F.col("level") == lv)
-        front = here.join(parent, [F.shiftright(c, 1) == F.col(f"p_{c}") for c in ("vx", "vy", "vz")], "left_semi")
-        if lv in levels:
-            out = out.unionByName(front)
-    return out
+    """Nodes of the levels that overlap the box and whose ancestors are all in the index and overlap it.
+
+    Every node that is hit is listed under the keys of its ancestors and its own; those keys meet the hit nodes in one equi-join, and
+    a node counts if all of its level + 1 keys were met.
+    """
+    hit = nodes.where(overlaps(side, lo, hi) & (F.col("level") < levels.stop))
+    key = ("level", "vx", "vy", "vz")
+    rest = [c for c in nodes.columns if c not in key]
+    asked = hit.where(F.col("level") >= levels.start).select(*nodes.columns, F.explode(F.sequence(F.lit(0), F.col("level"))).alias("up"))
+    asked = asked.select(*nodes.columns, (F.col("level") - F.col("up")).alias("a_level"), *[F.expr(f"shiftright({v}, up)").alias(f"a_{v}") for v in key[1:]])
+    have = hit.select(*[F.col(c).alias(f"a_{c}") for c in key])
+    met = asked.join(have, [f"a_{c}" for c in key]).groupBy(*key).agg(F.count(F.lit(1)).alias("_met"), *[F.first(c).alias(c) for c in rest])
+    return met.where(F.col("_met") == F.col("level") + 1).select(*nodes.columns)
 
 
 def levels_of(spacing: float, resolution: float) -> range:
@@ -130,21 +160,76 @@ def parse_levels(text: str) -> range:
     return range(int(text), int(text) + 1)
 
 
-def write_octree(cloud: PointCloud, level: Column, side: float, path: str, key_level: int = 2) -> None:
-    """Parquet partitioned by level and a coarse key, sorted by full key inside: pruned by partition, then by row group."""
-    df = cloud.unpacked().df.withColumn("level", level.cast("int"))
-    df = df.select("*", *voxel(F.col("level"), F.col("X"), F.col("Y"), F.col("Z"), side))
-    coarse = F.concat_ws("_", *[F.shiftright(v, 0) if key_level is None else F.when(F.col("level") > key_level, F.expr(f"shiftright({v}, level - {key_level})")).otherwise(F.col(v)) for v in ("vx", "vy", "vz")])
-    df.withColumn("cell", coarse).repartition("level", "cell").sortWithinPartitions("level", "cell", "vx", "vy", "vz").write.partitionBy("level", "cell").parquet(path)
+def parse_bounds(text: str) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """``x_min,y_min,x_max,y_max`` or with z: the lower and the upper corner."""
+    v = [float(x) for x in text.replace("[", " ").replace("]", " ").replace(",", " ").split()]
+    if len(v) not in (4, 6) or any(a > b for a, b in zip(v[: len(v) // 2], v[len(v) // 2 :], strict=True)):
+        raise ValueError(f"{text!r} is no box of two or three axes")
+    return tuple(v[: len(v) // 2]), tuple(v[len(v) // 2 :])
+
+
+#: Level whose cells part the files of an octree table.
+KEY_LEVEL = 2
+
+
+def _cell(level: Column, keys: list[Column]) -> Column:
+    deep = F.greatest(level - F.lit(KEY_LEVEL), F.lit(0))
+    return F.concat_ws("_", *[F.floor(v / F.pow(F.lit(2.0), deep.cast("double"))).cast("int").cast("string") for v in keys])
+
+
+def write_octree(df: DataFrame, level: Column, xyz: tuple[Column, Column, Column], side: float, path: str) -> None:
+    """points/: Parquet parted by level and coarse cell, sorted by key inside; nodes/: the index with its point counts."""
+    keyed = df.withColumn("level", level.cast("int"))
+    keyed = keyed.select("*", *voxel(F.col("level"), *xyz, side)).withColumn("cell", _cell(F.col("level"), [F.col(v) for v in ("vx", "vy", "vz")]))
+    keyed.repartition("level", "cell", F.pmod(F.xxhash64("vx", "vy", "vz"), F.lit(8))).sortWithinPartitions("level", "cell", "vx", "vy", "vz").write.partitionBy("level", "cell").parquet(f"{path}/points")
+    table = df.sparkSession.read.parquet(f"{path}/points")
+    table.groupBy("level", "vx", "vy", "vz").agg(F.count(F.lit(1)).alias("point_count")).write.parquet(f"{path}/nodes")
+
+
+def query_octree(spark: SparkSession, path: str, side: float, lo, hi, levels: range | None = None, resolution: float | None = None, spacing: float = 0.0) -> DataFrame:
+    """Points of the nodes that a box reaches, at given levels or at a resolution; the caller's filter tests the points themselves.
+
+    Cells of the box become partition filters, so other folders are not read; the index decides which nodes of them count.
+    """
+    levels = levels or (levels_of(spacing, resolution) if resolution else range(0, 64))
+    nodes = spark.read.parquet(f"{path}/nodes").where((F.col("level") >= levels.start) | (F.col("level") < levels.stop))
+    cells = []
+    for lv in range(0, KEY_LEVEL + 1):
+        own = side / 2.0**lv
+        spans = [range(max(0, int(a // own) - 1), int(b // own) + 1) for a, b in zip(lo, hi, strict=True)]
+        cells.append([f"{x}_{y}_{z}" for x in spans[0] for y in spans[1] for z in spans[2] if x < 2**lv and y < 2**lv and z < 2**lv])
+    pruned = F.lit(False)
+    for lv, names in enumerate(cells):
+        pruned = pruned | ((F.col("level") >= lv if lv == KEY_LEVEL else F.col("level") == lv) & F.col("cell").isin(names))
+    table = spark.read.parquet(f"{path}/points").where((F.col("level") >= levels.start) & (F.col("level") < levels.stop) & pruned)
+    return table.join(reachable(nodes, side, lo, hi, levels).select("level", "vx", "vy", "vz"), ["level", "vx", "vy", "vz"], "left_semi")
 
 
 def with_layout(nodes: DataFrame, record: int = 20) -> DataFrame:
-    """byte_size and offset of nodes stored one after another, and the runs of touching ranges after every seventh is taken out."""
-    order = Window.partitionBy("level").orderBy("vx", "vy", "vz")
-    sized = nodes.withColumn("byte_size", F.col("point_count") * record)
-    total = sized.groupBy("level").agg(F.sum("byte_size").alias("t"), F.count(F.lit(1)).alias("c"))
-    before = Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
-    base = total.select("level", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("first"))
+    """byte_size and offset of nodes that are stored one after another, in order of their keys.
+
+    Nodes are numbered within (level, vx); the sums of these groups are put in order by a level-wise window over one row a
+    group, so no task sorts more than the nodes of one group, or the groups of one level.
+    """
+    order = Window.partitionBy("level", "vx").orderBy("vy", "vz")
+    sized = nodes.withColumn("byte_size", (F.col("point_count") * record).cast("long"))
+    part = sized.groupBy("level", "vx").agg(F.sum("byte_size").alias("t"), F.count(F.lit(1)).alias("c"))
+    within = Window.partitionBy("level").orderBy("vx").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.select("level", "vx", "t", "c", F.coalesce(F.sum("t").over(within), F.lit(0)).alias("pt"), F.coalesce(F.sum("c").over(within), F.lit(0)).alias("pc"))
+    total = part.groupBy("level").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    before = Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)  # one row a level
+    base = total.select("level", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("lt"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("lc"))
     out = sized.withColumn("own", F.sum("byte_size").over(order) - F.col("byte_size")).withColumn("rn", F.row_number().over(order))
-    out = out.join(F.broadcast(base), "level").withColumn("offset", (F.col("base") + F.col("own")).cast("long")).withColumn("number", (F.col("first") + F.col("rn")).cast("long"))
-    return out.where(F.col("number") % 7 != 0).select("level", "vx", "vy", "vz", "point_count", F.col("byte_size").cast("long").alias("byte_size"), "offset")
+    out = out.join(part.select("level", "vx", "pt", "pc"), ["level", "vx"]).join(F.broadcast(base), "level")
+    return out.select(*nodes.columns, "byte_size", (F.col("lt") + F.col("pt") + F.col("own")).cast("long").alias("offset"), (F.col("lc") + F.col("pc") + F.col("rn")).cast("long").alias("number"))
+
+
+def contiguous(nodes: DataFrame) -> DataFrame:
+    """(grp, first_byte, n_bytes, nodes) of every run of touching byte ranges (offset, byte_size), numbered from 1 by place.
+
+    Where a range starts that no other ends at, a run starts; ranges are ranked, and summed up, by ranges of offsets.
+    """
+    ends = nodes.select((F.col("offset") + F.col("byte_size")).alias("offset"), F.lit(1).alias("touched")).distinct()
+    marked = nodes.join(ends, "offset", "left").withColumn("new", F.when(F.col("touched").isNull(), 1).otherwise(0))
+    out = running(marked, "offset", "new", "grp")
+    return out.groupBy("grp").agg(F.min("offset").alias("first_byte"), F.sum("byte_size").alias("n_bytes"), F.count(F.lit(1)).alias("nodes"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ranks import ranked
 
 
 def packet_number(size: str = "wavepacket_size", offset: str = "wavepacket_offset"):
-    return F.floor(F.col(offset) / F.col(size)).cast("long")
+    return F.expr(f"{offset} div {size}")
 
 
 def gather(points: DataFrame, packets: DataFrame, samples: int) -> DataFrame:
@@ -28,17 +29,13 @@ def missing_descriptors(points: DataFrame, descriptors: DataFrame) -> DataFrame:
 
 
 def numbered(points: DataFrame) -> DataFrame:
-    """(packet, new_index): packets in use, numbered from 0 in order of their old number.
-
-    The distinct packets are ranked, not the points, so what one task sorts is one row a packet.
-    """
-    used = points.where("wavepacket_index <> 0").select(packet_number().alias("packet")).distinct()
-    return used.withColumn("new_index", (F.row_number().over(Window.orderBy("packet")) - 1).cast("long"))
+    """(packet, new_index): packets in use, numbered from 0 in order of their old number."""
+    return ranked(points.where("wavepacket_index <> 0").select(packet_number().alias("packet")).distinct(), "packet", "new_index")
 
 
 def runs(packets: DataFrame, column: str = "packet") -> DataFrame:
-    """(first, last) of every run of consecutive numbers."""
-    island = packets.withColumn("_g", F.col(column) - F.row_number().over(Window.orderBy(column)))
+    """(first, last) of every run of consecutive distinct numbers."""
+    island = ranked(packets, column, "_n").withColumn("_g", F.col(column) - F.col("_n"))
     return island.groupBy("_g").agg(F.min(column).alias("first"), F.max(column).alias("last")).drop("_g")
 
 
@@ -47,3 +44,21 @@ def repacked(points: DataFrame) -> DataFrame:
     new = numbered(points)
     joined = points.withColumn("packet", F.when(F.col("wavepacket_index") != 0, packet_number())).join(new, "packet", "left")
     return joined.withColumn("wavepacket_offset", F.coalesce(F.col("new_index") * F.col("wavepacket_size"), F.lit(0)).cast("long")).drop("packet", "new_index")
+
+
+def sample_kind(bits: int) -> str:
+    """Type of the samples of a descriptor."""
+    if bits not in (8, 16, 32, 64):
+        raise ValueError(f"samples of {bits} bits")
+    return f"u{bits // 8}"
+
+
+def checked_offsets(points: DataFrame, size: int) -> DataFrame:
+    """Points with a waveform whose packets have one size and one common remainder; an error names the first that has not."""
+    used = points.where("wavepacket_index <> 0")
+    rest = used.agg(F.min(F.expr(f"wavepacket_offset % {size}")).alias("lo"), F.max(F.expr(f"wavepacket_offset % {size}")).alias("hi"), F.count_if(F.col("wavepacket_size") != size).alias("odd")).first()
+    if rest.odd:
+        raise ValueError(f"{rest.odd} packets are not of {size} bytes")
+    if rest.lo != rest.hi:
+        raise ValueError("packet offsets with different remainders are not supported")
+    return used

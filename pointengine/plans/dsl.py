@@ -14,8 +14,8 @@ from pyspark.sql import Column
 from ..errors import FilterSyntaxError, UnknownDimension
 from ..functions import exprs
 
-# Names that another public tool's filters use for these dimensions.
-TOOL_NAMES = {"Intensity": "intensity", "ReturnNumber": "return_number", "NumberOfReturns": "number_of_returns", "ScanDirectionFlag": "scan_direction_flag", "EdgeOfFlightLine": "edge_of_flight_line", "Classification": "classification", "ScanAngleRank": "scan_angle_rank", "UserData": "user_data", "PointSourceId": "point_source_id", "GpsTime": "gps_time", "Red": "red", "Green": "green", "Blue": "blue", "Infrared": "nir", "ScanChannel": "scanner_channel"}
+# Names that another public tool's filters use for these dimensions.
+TOOL_NAMES = {"Intensity": "intensity", "ReturnNumber": "return_number", "NumberOfReturns": "number_of_returns", "ScanDirectionFlag": "scan_direction_flag", "EdgeOfFlightLine": "edge_of_flight_line", "Classification": "classification", "ScanAngleRank": "scan_angle_rank", "UserData": "user_data", "PointSourceId": "point_source_id", "GpsTime": "gps_time", "Red": "red", "Green": "green", "Blue": "blue", "Infrared": "nir", "ScanChannel": "scanner_channel", "ClassFlags": "classification_flags"}
 
 _TOKEN = re.compile(r" *(?:(\()|(\))|(\[[^\]]*\])|(==|!=|<=|>=|<|>)|(&&|\|\|)|(!)|([^ ()<>=!&|\[\]]+))")
 

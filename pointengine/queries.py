@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import dims
 from .fixtures import ROOT_SIDE, duck, events, octree, points
 from .functions import exprs
 from .operators import cloud, spatial, stats, waveform
 from .operators.cloud import PointCloud
+from .sources import las, lasfile, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -79,9 +79,8 @@ _p("cmp_scaled_raw", "SELECT X, Y FROM P WHERE X >= 1001")(lambda c: c.df.where(
 _p("ground_points", f"SELECT X, Y, Z FROM P WHERE {_CLS} = 2")(lambda c: c.filter("classification == 2").df.select("X", "Y", "Z"))
 _p("last_return", f"SELECT X, Y, Z FROM P WHERE {_RN} = (bit_fields & 56) >> 3")(lambda c: c.df.where(c.column("return_number") == c.column("number_of_returns")).select("X", "Y", "Z"))
 _MASKS = sorted({m for b in (dims.OLD_BITS, dims.NEW_BITS) for _, m in b.values()})
-_add("mask_bits", "SELECT m AS mask, CAST(bit_count(m & -m - 1) AS INT) AS lsb, CAST(bit_count(m) AS INT) AS bits FROM (SELECT CAST(unnest([" + ", ".join(map(str, _MASKS)) + "]) AS INT) AS m) AS q", "")(lambda s, d: s.createDataFrame([(m,) for m in _MASKS], "mask int").select("mask", F.bit_count(F.col("mask").bitwiseAND(-F.col("mask")) - 1).cast("int").alias("lsb"), F.bit_count("mask").cast("int").alias("bits")))
-ORACLE_SQL["mask_bits"] = ORACLE_SQL["mask_bits"].replace("m & -m - 1", "(m & (-m)) - 1")
-_e("format_flags", "SELECT b, CASE WHEN b & 192 = 128 THEN 1 ELSE 0 END AS compressed, b & 63 AS plain, b | 128 AS marked FROM (SELECT DISTINCT CAST(point_idx % 256 AS INT) AS b FROM E) AS q".replace("b & 192 = 128", "(b & 192) = 128"))(lambda e: e.select((F.col("point_idx") % 256).cast("int").alias("b")).distinct().select("b", exprs.is_compressed_format(F.col("b")).alias("compressed"), exprs.plain_format(F.col("b")).alias("plain"), exprs.mark_compressed(F.col("b")).alias("marked")))
+_add("mask_bits", "SELECT m AS mask, CAST(bit_count((m & (-m)) - 1) AS INT) AS lsb, CAST(bit_count(m) AS INT) AS bits FROM (SELECT CAST(unnest([" + ", ".join(map(str, _MASKS)) + "]) AS INT) AS m) AS q", "")(lambda s, d: s.createDataFrame([(m,) for m in _MASKS], "mask int").select("mask", F.bit_count(F.col("mask").bitwiseAND(-F.col("mask")) - 1).cast("int").alias("lsb"), F.bit_count("mask").cast("int").alias("bits")))
+_e("format_flags", "SELECT b, CASE WHEN (b & 192) = 128 THEN 1 ELSE 0 END AS compressed, b & 63 AS plain, b | 128 AS marked FROM (SELECT DISTINCT CAST(point_idx % 256 AS INT) AS b FROM E) AS q")(lambda e: e.select((F.col("point_idx") % 256).cast("int").alias("b")).distinct().select("b", exprs.is_compressed_format(F.col("b")).alias("compressed"), exprs.plain_format(F.col("b")).alias("plain"), exprs.mark_compressed(F.col("b")).alias("marked")))
 _e("encoding_flags", "SELECT g, " + ", ".join(f"CASE WHEN (g & {b}) <> 0 THEN 1 ELSE 0 END AS {n}" for n, b in exprs.ENCODING_BITS.items()) + " FROM (SELECT DISTINCT CAST(point_idx % 128 AS INT) AS g FROM E) AS q")(lambda e: e.select((F.col("point_idx") % 128).cast("int").alias("g")).distinct().select("g", *[exprs.encoding_flag(F.col("g"), n).alias(n) for n in exprs.ENCODING_BITS]))
 
 # --------------------------------------------------------------------------------------------- filter language
@@ -128,28 +127,22 @@ _p("append_union", f"SELECT {_P_COLS} FROM P WHERE {_CLS} = 2 UNION ALL SELECT {
 
 @_add("split_by_class", f"SELECT {_CLS} AS classification, X, Y, Z FROM P", "P")
 def _split(s: SparkSession, d: str) -> DataFrame:
-    import uuid
-
     c = points(s, d)
-    path = f"{s.conf.get('spark.checkpoint.dir', None) or s.conf.get('spark.sql.warehouse.dir')}/split-{uuid.uuid4().hex}"
+    path = scratch.folder(s, "split")
     PointCloud(c.select("X", "Y", "Z", "classification"), c.fmt, c.scales, c.offsets).split("classification", path)
     return s.read.parquet(path).select(F.col("classification").cast("int").alias("classification"), "X", "Y", "Z")
 
 
-_add("resize_pad", "SELECT point_idx, X, Y FROM E UNION ALL SELECT CAST(range AS BIGINT), 0, 0 FROM range(COALESCE((SELECT max(point_idx) + 1 FROM E), 0), COALESCE((SELECT max(point_idx) + 1 FROM E), 0) + 500)", "E")(lambda s, d: (lambda e, n: cloud.resized(e.select("point_idx", "X", "Y"), n + 500, n))(events(s, d), (events(s, d).agg(F.max("point_idx")).first()[0] or -1) + 1))
+_add("resize_pad", "SELECT point_idx, X, Y FROM E UNION ALL SELECT CAST(range AS BIGINT), 0, 0 FROM range(COALESCE((SELECT max(point_idx) + 1 FROM E), 0), COALESCE((SELECT max(point_idx) + 1 FROM E), 0) + 500)", "E")(lambda s, d: (lambda e, n: cloud.resized(e.select("point_idx", "X", "Y"), n + 500, n))(events(s, d), events(s, d).agg(F.coalesce(F.max("point_idx") + 1, F.lit(0))).first()[0]))
 _p("chunk_modify", f"SELECT X, Y, CASE WHEN {_CLS} = 2 THEN (raw_classification & 224) | 6 ELSE raw_classification END AS raw_classification FROM P")(lambda c: c.df.select("X", "Y", F.when(c.column("classification") == 2, exprs.pack(F.col("raw_classification"), 0x1F, F.lit(6))).otherwise(F.col("raw_classification")).alias("raw_classification")))
 
 
 @_add("write_roundtrip", f"SELECT X, Y, Z, intensity, {_RN} AS return_number, {_CLS} AS classification, scan_angle_rank, user_data, point_source_id, gps_time, red, green, blue FROM P", "P")
 def _roundtrip(s: SparkSession, d: str) -> DataFrame:
-    import uuid
-
-    from .sources import las
-
     c = points(s, d)
-    path = f"{s.conf.get('spark.checkpoint.dir', None) or s.conf.get('spark.sql.warehouse.dir')}/las-{uuid.uuid4().hex}"
+    path = scratch.folder(s, "las")
     las.write(c.unpacked(), path)
-    back = las.read(s, path)
+    back = las.load(s, path).df
     names = ("X", "Y", "Z", "intensity", "return_number", "classification", "scan_angle_rank", "user_data", "point_source_id", "gps_time", "red", "green", "blue")
     return back.select(*[F.col(n).cast("double" if n == "gps_time" else "int").alias(n) for n in names])
 
@@ -193,7 +186,7 @@ def _knn(s: SparkSession, d: str) -> DataFrame:
 _e("topk_nearest", "SELECT point_idx, sqrt((X - CAST(30000 AS DOUBLE)) * (X - CAST(30000 AS DOUBLE)) + (Y - CAST(5000 AS DOUBLE)) * (Y - CAST(5000 AS DOUBLE))) AS d FROM E ORDER BY d, point_idx LIMIT 5")(lambda e: e.select("point_idx", spatial.distance({"X": 30000, "Y": 5000}).alias("d")).orderBy("d", "point_idx").limit(5))
 _o("voxel_counts", "SELECT level, vx, vy, vz, point_count FROM O")(lambda o: o)
 _o("octree_index", "SELECT level, COUNT(*) AS nodes, CAST(sum(point_count) AS BIGINT) AS points FROM O GROUP BY 1")(lambda o: o.groupBy("level").agg(F.count(F.lit(1)).alias("nodes"), F.sum("point_count").alias("points")))
-_o("voxel_children", "SELECT CAST(level + 1 AS INT) AS level, CAST(vx * 2 + (k & 1) AS INT) AS vx, CAST(vy * 2 + ((k >> 1) & 1) AS INT) AS vy, CAST(vz * 2 + ((k >> 2) & 1) AS INT) AS vz FROM O, range(8) AS r(k) WHERE level <= 2")(lambda o: spatial.children(o.where("level <= 2")))
+_o("voxel_children", "SELECT CAST(level + 1 AS INT) AS level, CAST(vx * 2 + (k & 1) AS INT) AS vx, CAST(vy * 2 + ((k >> 1) & 1) AS INT) AS vy, CAST(vz * 2 + ((k >> 2) & 1) AS INT) AS vz FROM O, range(8) AS r(k)")(lambda o: spatial.children(o))
 _SIDE = "(CAST(2097152 AS DOUBLE) / power(CAST(2 AS DOUBLE), CAST(level AS DOUBLE)))"
 _o("voxel_bounds", "SELECT level, vx, vy, vz, " + ", ".join(f"v{a} * {_SIDE} AS {a}_min, (v{a} + 1) * {_SIDE} AS {a}_max" for a in "xyz") + " FROM O")(lambda o: spatial.node_bounds(o, ROOT_SIDE))
 _add("resolution_levels", "SELECT r AS resolution, CAST(greatest(1, ceil(log2(CAST(100 AS DOUBLE) / r)) + 1) AS INT) AS levels FROM (SELECT CAST(unnest([200, 100, 50, 30, 12, 1]) AS DOUBLE) AS r) AS q", "")(lambda s, d: s.createDataFrame([(float(r), len(spatial.levels_of(100.0, r))) for r in (200, 100, 50, 30, 12, 1)], "resolution double, levels int"))
@@ -213,15 +206,27 @@ def _copc(s: SparkSession, d: str) -> DataFrame:
     return p.join(spatial.reachable(octree(s, d), ROOT_SIDE, *_BOX, range(0, 5)).select("level", "vx", "vy", "vz"), ["level", "vx", "vy", "vz"], "left_semi").select("X", "Y", "Z", "level")
 
 
-_o("nodes_by_offset", 'SELECT level, vx, vy, vz, point_count, byte_size, "offset" FROM L ORDER BY "offset"', "L")(lambda o: spatial.with_layout(o).orderBy("offset"))
+def _stored(o: DataFrame) -> DataFrame:
+    """View L: the nodes' byte ranges, with every seventh taken out, so that there are gaps."""
+    return spatial.with_layout(o).where(F.col("number") % 7 != 0).drop("number")
+
+
+_o("nodes_by_offset", 'SELECT level, vx, vy, vz, point_count, byte_size, "offset" FROM L ORDER BY "offset"', "L")(lambda o: _stored(o).orderBy("offset"))
 
 
 @_add("contiguous_groups", 'SELECT grp, min("offset") AS first_byte, CAST(sum(byte_size) AS BIGINT) AS n_bytes, COUNT(*) AS nodes FROM (SELECT *, CAST(sum(CASE WHEN pe = "offset" THEN 0 ELSE 1 END) OVER (ORDER BY "offset" ROWS UNBOUNDED PRECEDING) AS BIGINT) AS grp FROM (SELECT *, lag("offset" + byte_size) OVER (ORDER BY "offset") AS pe FROM L) AS a) AS b GROUP BY 1', "L")
 def _groups(s: SparkSession, d: str) -> DataFrame:
-    by = Window.orderBy("offset")
-    n = spatial.with_layout(octree(s, d)).withColumn("pe", F.lag(F.col("offset") + F.col("byte_size")).over(by))
-    n = n.withColumn("grp", F.sum(F.when(F.col("pe") == F.col("offset"), 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
-    return n.groupBy("grp").agg(F.min("offset").alias("first_byte"), F.sum("byte_size").alias("n_bytes"), F.count(F.lit(1)).alias("nodes"))
+    return spatial.contiguous(_stored(octree(s, d)))
+
+
+@_add("octree_table_query", ORACLE_SQL["copc_query"], "")
+def _table_query(s: SparkSession, d: str) -> DataFrame:
+    """The box query over points that were written as an octree table."""
+    c, path = points(s, d), scratch.folder(s, "octree")
+    level, zq = (c.column("classification") - 1).cast("int"), F.floor(F.col("Z") / F.lit(8.0)).cast("int")
+    spatial.write_octree(c.df.select("X", "Y", "Z", "raw_classification"), level, (F.col("X"), F.col("Y"), zq), ROOT_SIDE, path)
+    exact = F.col("X").between(0, 150000) & F.col("Y").between(0, 90000) & zq.between(0, 600000)
+    return spatial.query_octree(s, path, ROOT_SIDE, *_BOX, range(0, 5)).where(exact).select("X", "Y", "Z", F.col("level").cast("int").alias("level"))
 
 
 # --------------------------------------------------------------------------------------------------- waveforms
@@ -231,14 +236,36 @@ _e("has_waveform", "SELECT point_idx, wavepacket_index FROM E WHERE wavepacket_i
 _add("waveform_gather", f"SELECT point_idx, COALESCE(embedding[1], CAST(0 AS FLOAT)) AS s0, COALESCE(embedding[64], CAST(0 AS FLOAT)) AS s63 FROM E LEFT JOIN embeddings ON wavepacket_index <> 0 AND vec_id = {_PK}", "E")(lambda s, d: waveform.gather(events(s, d), s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("packet"), F.col("embedding").alias("waveform")), 64).select("point_idx", F.col("waveform")[0].alias("s0"), F.col("waveform")[63].alias("s63")))
 _add("missing_descriptors", "SELECT DISTINCT wavepacket_index FROM E WHERE wavepacket_index <> 0 AND wavepacket_index + 99 NOT IN (100, 101, 102, 103, 104)", "E")(lambda s, d: waveform.missing_descriptors(events(s, d), s.createDataFrame([(k,) for k in range(100, 105)], "record_id int")))
 _e("waveform_dedup", f"SELECT packet, row_number() OVER (ORDER BY packet) - 1 AS new_index FROM (SELECT DISTINCT {_PK} AS packet FROM E WHERE wavepacket_index <> 0) AS q")(waveform.numbered)
-_e("packet_runs", f"SELECT min(packet) AS first, max(packet) AS last FROM (SELECT packet, packet - row_number() OVER (ORDER BY packet) AS g FROM (SELECT DISTINCT {_PK} AS packet FROM E WHERE wavepacket_index <> 0 AND point_idx % 3 <> 0 AND point_idx < 300) AS a) AS b GROUP BY g")(lambda e: waveform.runs(e.where("wavepacket_index <> 0 AND point_idx % 3 <> 0 AND point_idx < 300").select(waveform.packet_number().alias("packet")).distinct()))
+_e("packet_runs", "SELECT min(v) AS first, max(v) AS last FROM (SELECT v, v - row_number() OVER (ORDER BY v) AS g FROM (SELECT DISTINCT CAST(Y AS BIGINT) AS v FROM E WHERE wavepacket_index <> 0) AS a) AS b GROUP BY g")(lambda e: waveform.runs(e.where("wavepacket_index <> 0").select(F.col("Y").cast("long").alias("v")).distinct(), "v"))
 _e("waveform_repack", f"SELECT point_idx, wavepacket_index, CAST(COALESCE(n * wavepacket_size, 0) AS BIGINT) AS wavepacket_offset FROM E LEFT JOIN (SELECT packet, row_number() OVER (ORDER BY packet) - 1 AS n FROM (SELECT DISTINCT {_PK} AS packet FROM E WHERE wavepacket_index <> 0) AS a) AS b ON wavepacket_index <> 0 AND packet = {_PK}")(lambda e: waveform.repacked(e).select("point_idx", "wavepacket_index", "wavepacket_offset"))
 
 # ---------------------------------------------------------------------------------------------------- metadata
 
 _add("class_lookup", f"SELECT p.classification, COALESCE(substr(n_name, 1, 15), '') AS label, n FROM (SELECT {_CLS} AS classification, COUNT(*) AS n FROM P GROUP BY 1) p LEFT JOIN nation ON n_nationkey = classification", "P")(lambda s, d: (lambda c: stats.counts(c.df, c.column("classification"), "classification").join(s.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("classification"), F.substring("n_name", 1, 15).alias("label")), "classification", "left").select("classification", F.coalesce("label", F.lit("")).alias("label"), "n"))(points(s, d)))
 _add("class_label_clean", "SELECT n_nationkey, substr(regexp_replace(n_name || '_#' || n_nationkey, '[^A-Za-z0-9 ]', '', 'g'), 1, 15) AS label FROM nation", "")(lambda s, d: s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", exprs.class_label(F.concat("n_name", F.lit("_#"), F.col("n_nationkey").cast("string"))).alias("label")))
-_VLRS = [("LASF_Spec", 0, "classes"), ("LASF_Spec", 4, "extra"), ("LASF_Projection", 2112, "wkt"), ("LASF_Projection", 34735, "keys"), ("copc", 1, "info"), ("LASF_Spec", 100, "wave")]
-_add("vlr_lookup", "SELECT * FROM (VALUES " + ", ".join(map(str, _VLRS)) + ") AS t(user_id, record_id, description) WHERE user_id = 'LASF_Spec' AND record_id BETWEEN 0 AND 99", "")(lambda s, d: s.createDataFrame(_VLRS, "user_id string, record_id int, description string").where("user_id = 'LASF_Spec' AND record_id BETWEEN 0 AND 99"))
+_VLRS = [("LASF_Spec", 0, "classes"), ("LASF_Spec", 3, "text"), ("LASF_Projection", 2112, "wkt"), ("LASF_Projection", 34735, "keys"), ("copc", 1, "info"), ("LASF_Spec", 100, "wave")]
+
+
+@_add("vlr_lookup", "SELECT * FROM (VALUES " + ", ".join(map(str, _VLRS)) + ") AS t(user_id, record_id, description) WHERE user_id = 'LASF_Spec' AND record_id BETWEEN 0 AND 99", "")
+def _vlrs(s: SparkSession, d: str) -> DataFrame:
+    """Records of a file that is written with all of them, the last as an extended one."""
+    path = scratch.folder(s, "vlrs")
+    empty = PointCloud(s.createDataFrame([], "X int, Y int, Z int"), 6, version="1.4")
+    las.write(empty, path, [lasfile.Record(u, i, t, b"", extended=k == len(_VLRS) - 1) for k, (u, i, t) in enumerate(_VLRS)])
+    return las.vlrs(s, path).where("user_id = 'LASF_Spec' AND record_id BETWEEN 0 AND 99").select("user_id", "record_id", "description")
+
+
+@_add("file_filter_convert", f"SELECT X, Y, Z, intensity, {_RN} AS return_number, {_CLS} AS classification, gps_time, red FROM P WHERE {_CLS} IN (2, 3) AND intensity > 20", "P")
+def _file_filter(s: SparkSession, d: str) -> DataFrame:
+    """File -> cloud -> filter -> another format -> file -> points."""
+    one, two = scratch.folder(s, "las"), scratch.folder(s, "las")
+    las.write(points(s, d).unpacked(), one)
+    las.write(las.load(s, one).filter("classification in [2, 3] and intensity > 20").convert(7), two)
+    back = las.load(s, two).df
+    return back.select(*[F.col(n).cast("double" if n == "gps_time" else "int").alias(n) for n in ("X", "Y", "Z", "intensity", "return_number", "classification", "gps_time", "red")])
+
+
+_p("recursive_tiles", "SELECT * FROM (WITH RECURSIVE t AS (SELECT X, Y, 0 AS lv, CAST(floor(X / CAST(2097152 AS DOUBLE)) AS BIGINT) AS tx, CAST(floor(Y / CAST(2097152 AS DOUBLE)) AS BIGINT) AS ty, COUNT(*) OVER (PARTITION BY floor(X / CAST(2097152 AS DOUBLE)), floor(Y / CAST(2097152 AS DOUBLE))) AS n FROM P UNION ALL SELECT X, Y, lv + 1, CAST(floor(X / s) AS BIGINT), CAST(floor(Y / s) AS BIGINT), COUNT(*) OVER (PARTITION BY floor(X / s), floor(Y / s)) FROM (SELECT *, CAST(2097152 AS DOUBLE) / power(2, lv + 1) AS s FROM t WHERE n > 2000 AND lv < 8) AS q) SELECT lv AS t_level, tx, ty, COUNT(*) AS points FROM t WHERE n <= 2000 OR lv = 8 GROUP BY 1, 2, 3) AS z")(lambda c: spatial.recursive_tiles(c.df, 2000, 2097152.0, 8).groupBy("t_level", "tx", "ty").agg(F.count(F.lit(1)).alias("points")))
+_e("set_encoding_flags", "SELECT DISTINCT CAST(point_idx % 128 AS INT) AS g, CAST(point_idx % 128 AS INT) | 65 AS with_offset, CAST(point_idx % 128 AS INT) & 65519 AS no_wkt FROM E")(lambda e: e.select((F.col("point_idx") % 128).cast("int").alias("g")).distinct().select("g", exprs.set_encoding_flag(F.col("g"), "gps_offset").alias("with_offset"), exprs.set_encoding_flag(F.col("g"), "wkt", False).alias("no_wkt")))
 _e("doy_date", "SELECT y, dy, CASE WHEN dy >= 1 AND year(make_date(y, 1, 1) + (dy - 1)) = y THEN strftime(make_date(y, 1, 1) + (dy - 1), '%Y-%m-%d') ELSE '' END AS created FROM (SELECT DISTINCT CAST(2000 + point_idx % 25 AS INT) AS y, CAST(point_idx % 370 AS INT) AS dy FROM E) AS q")(lambda e: e.select((2000 + F.col("point_idx") % 25).cast("int").alias("y"), (F.col("point_idx") % 370).cast("int").alias("dy")).distinct().select("y", "dy", F.coalesce(F.date_format(exprs.doy_date(F.col("y"), F.col("dy")), "yyyy-MM-dd"), F.lit("")).alias("created")))
 _add("c_string", "SELECT n_nationkey, split_part(n_name || chr(0) || 'rest', chr(0), 1) AS s FROM nation", "")(lambda s, d: s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", exprs.c_string(F.concat("n_name", F.lit("\u0000rest"))).alias("s")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -66,38 +67,67 @@ def _array(v: np.ndarray, t: T.DataType) -> pa.Array:
     return pa.array(v.astype(kind))
 
 
+def _first_header(spark: SparkSession, path: str) -> lasfile.Header:
+    """The first file's header and records; a task cuts them out, so the points stay where they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw in b.column("content"):
+                h = lasfile.Header.read(memoryview(raw.as_buffer()))
+                late = [(r.user_id, r.record_id, r.description, r.data.hex()) for r in h.records if r.extended]
+                yield pa.RecordBatch.from_arrays([pa.array([bytes(memoryview(raw.as_buffer())[: h.offset])], pa.binary()), pa.array([json.dumps(late)])], ["head", "late"])
+                return
+
+    got = files(spark, path).select("content").mapInArrow(run, "head binary, late string").limit(1).collect()
+    if not got:
+        raise IncompatibleData(f"no LAS file at {path}")
+    h = lasfile.Header.read(bytes(got[0].head))
+    h.records += [lasfile.Record(u, i, d, bytes.fromhex(x), True) for u, i, d, x in json.loads(got[0].late)]
+    return h
+
+
+def load(spark: SparkSession, path: str, names: list[str] | None = None, where: tuple[tuple[float, ...], tuple[float, ...]] | None = None) -> PointCloud:
+    """The files as one cloud: its points with their index, and what the header and records say of them.
+
+    Filter, convert or append it, and write() it: format, scales, user dimensions and records go along.
+    """
+    h = _first_header(spark, path)
+    own = tuple(r for r in h.records if (r.user_id, r.record_id) != ("LASF_Spec", 4))
+    return PointCloud(read(spark, path, names, where), h.fmt, tuple(h.scales), tuple(h.offsets), h.version, h.extra, own)
+
+
 def read(spark: SparkSession, path: str, names: list[str] | None = None, where: tuple[tuple[float, ...], tuple[float, ...]] | None = None) -> DataFrame:
     """Points of all files, with the file's path and their index in it.
 
     names: dimensions to decode, all by default.  where: a box (mins, maxs); files whose header box lies outside are
-    not decoded, and points outside are left for the caller's filter.  All files have one point format.
+    not decoded, and points outside are left for the caller's filter.  All files have one point format; coordinates of files
+    with other scales than the first follow those.
     """
-    first = files(spark, path).select("content").limit(1).collect()
-    if not first:
-        raise IncompatibleData(f"no LAS file at {path}")
-    head = lasfile.Header.read(first[0].content)
+    head = _first_header(spark, path)
     schema = dims.point_schema(head.fmt, head.extra)
     pick = [f for f in schema.fields if f.name != "point_idx" and (names is None or f.name in names)]
     out = T.StructType([T.StructField("path", T.StringType()), schema["point_idx"], *pick])
     arrow = [f.name for f in out.fields]
-    fmt, kinds = head.fmt, [(f.name, f.dataType) for f in pick]
+    fmt, kinds, scales, offsets = head.fmt, [(f.name, f.dataType) for f in pick], tuple(head.scales), tuple(head.offsets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p, raw in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                buf = raw.as_buffer()
-                h = lasfile.Header.read(memoryview(buf)[: 1 << 20].tobytes() if len(buf) > 1 << 20 else bytes(buf))
+                buf = memoryview(raw.as_buffer())
+                h = lasfile.Header.read(buf)
                 if h.fmt != fmt:
                     raise IncompatibleData(f"{p} has point format {h.fmt}, others {fmt}")
                 if where and any(hi < lo2 or lo > hi2 for lo, hi, lo2, hi2 in zip(h.mins, h.maxs, *where, strict=False)):
                     continue
                 size = h.dtype.itemsize
-                data = lasfile.decompress(bytes(buf), h, 0, h.count) if h.compressed else memoryview(buf)[h.offset :]
+                data = lasfile.decompress(bytes(buf), h, 0, h.count) if h.compressed else buf[h.offset :]
                 n = min(h.count, len(data) // size)  # a file cut short gives what it has
                 pts = np.frombuffer(data, h.dtype, n)
                 for lo in range(0, n, BATCH):
                     own = pts[lo : lo + BATCH]
                     cols = lasfile.columns_of(own, fmt, [k for k, _ in kinds])
+                    if (tuple(h.scales), tuple(h.offsets)) != (scales, offsets):
+                        cols |= {a: np.rint((cols[a] * h.scales[k] + h.offsets[k] - offsets[k]) / scales[k]) for k, a in enumerate("XYZ") if a in cols}
                     yield pa.RecordBatch.from_arrays([pa.array([p] * len(own)), pa.array(np.arange(lo, lo + len(own))), *[_array(cols[k], t) for k, t in kinds]], arrow)
 
     return files(spark, path).select("path", "content").mapInArrow(run, out)
@@ -107,16 +137,19 @@ def write(cloud: PointCloud, path: str, records: list[lasfile.Record] | None = N
     """A folder with one complete LAS file a partition, in the store that path names.
 
     A task packs its points and the header of its own statistics, and writes the file through the Hadoop file system of
-    the path.  An empty cloud writes one empty file.
+    the path.  An empty cloud writes one empty file.  records: those of the cloud, by default; extended ones make the file 1.4.
     """
-    head = dict(fmt=cloud.fmt, version=cloud.version, scales=tuple(cloud.scales), offsets=tuple(cloud.offsets), extra=cloud.extra, records=list(records or []))
+    own = cloud.records if records is None else records
+    late = any(r.extended for r in own)
+    head = dict(fmt=cloud.fmt, version=max(cloud.version, "1.4") if late else cloud.version, scales=tuple(cloud.scales), offsets=tuple(cloud.offsets), extra=cloud.extra, records=list(own))
+    dims.check_version(head["version"], cloud.fmt)
     spark = cloud.df.sparkSession
     register(spark)
-    encoded(cloud.df, head).select("part", "content").write.format("las_parts").mode("append").option("path", path).save()
+    encoded(cloud.df, head).select("part", "content").write.format("las_parts").mode("append").option("path", _whole(spark, path)).save()
 
 
 def encoded(df: DataFrame, head: dict) -> DataFrame:
-    """(part, content, stats): complete LAS files as bytes, at most FILE_POINTS points each."""
+    """(part, content, stats): complete LAS files as bytes, about FILE_BYTES of points each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -127,7 +160,8 @@ def encoded(df: DataFrame, head: dict) -> DataFrame:
             h = lasfile.Header(**head)
             pts = np.concatenate(parts) if parts else np.zeros(0, h.dtype)
             s = lasfile.statistics(pts, h)
-            return pa.RecordBatch.from_arrays([pa.array([f"part-{part:05d}-{k:03d}.las"]), pa.array([lasfile.with_statistics(h, [s]).pack() + pts.tobytes()], pa.binary()), pa.array([json.dumps(s)])], ["part", "content", "stats"])
+            h = lasfile.with_statistics(h, [s])
+            return pa.RecordBatch.from_arrays([pa.array([f"part-{part:05d}-{k:03d}.las"]), pa.array([b"".join((h.pack(), memoryview(pts).cast("B") if len(pts) else b"", h.tail()))], pa.binary()), pa.array([json.dumps(s)])], ["part", "content", "stats"])
 
         for b in batches:
             h = lasfile.Header(**head)
@@ -136,7 +170,7 @@ def encoded(df: DataFrame, head: dict) -> DataFrame:
                 cols[name] = np.stack(v.to_numpy(zero_copy_only=False)) if pa.types.is_list(v.type) and len(v) else v.to_numpy(zero_copy_only=False)
             parts.append(lasfile.records_of(cols, h, len(b)))
             n += len(b)
-            if n >= FILE_POINTS:
+            if sum(p.nbytes for p in parts) >= FILE_BYTES:
                 yield out()
                 parts, n, k = [], 0, k + 1
         if n or part == 0 and k == 0:
@@ -145,8 +179,8 @@ def encoded(df: DataFrame, head: dict) -> DataFrame:
     return df.mapInArrow(run, "part string, content binary, stats string")
 
 
-#: Points in one written file.
-FILE_POINTS = 4_000_000
+#: Bytes of points in one written file, about.
+FILE_BYTES = 64 << 20
 
 
 class PartsSource(DataSource):
@@ -161,22 +195,51 @@ class PartsSource(DataSource):
 
 
 class PartsWriter(DataSourceWriter):
-    """Files get their names when they are whole, so a task that is run again leaves no half files."""
+    """Files get their names when the whole job has succeeded; one that fails takes its files away."""
 
     def __init__(self, path: str):
         self.path, self.prefix = path, uuid.uuid4().hex[:12] + "-"  # files of an earlier write stay beside these
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
+    def _store(self):
         from pyarrow import fs
 
-        store, folder = fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else f"file://{self.path}")
+        return fs.FileSystem.from_uri(self.path)
+
+    def write(self, rows: Iterator) -> WriterCommitMessage:
+        store, folder = self._store()
         store.create_dir(folder, recursive=True)
+        out = []
         for part, content in rows:
-            tmp = f"{folder}/_{part}.{uuid.uuid4().hex}"
+            tmp = f"{folder}/_{self.prefix}{part}.{uuid.uuid4().hex}"
             with store.open_output_stream(tmp) as f:
                 f.write(content)
-            store.move(tmp, f"{folder}/{self.prefix}{part}")
-        return WriterCommitMessage()
+            out.append((tmp, f"{folder}/{self.prefix}{part}"))
+        return PartsWritten(out)
+
+    def commit(self, messages: list[PartsWritten | None]) -> None:
+        store, _ = self._store()
+        for m in messages:
+            for tmp, final in m.files if m else ():
+                store.move(tmp, final)
+
+    def abort(self, messages: list[PartsWritten | None]) -> None:
+        store, _ = self._store()
+        for m in messages:
+            for tmp, _ in m.files if m else ():
+                store.delete_file(tmp)
+
+
+@dataclass
+class PartsWritten(WriterCommitMessage):
+    """Files of a task, by the names that they have and will get."""
+
+    files: list[tuple[str, str]]
+
+
+def _whole(spark: SparkSession, path: str) -> str:
+    """A path with its scheme: one without is below the session's default file system, as for Spark's own writers."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
 
 
 def register(spark: SparkSession) -> None:
