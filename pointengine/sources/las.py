@@ -1,4 +1,4 @@
-"""LAS files as DataFrames.  Spark lists, ships and splits the bytes; tasks decode them in Arrow batches."""
+"""LAS files as DataFrames.  Spark lists the files; tasks read ranges of them and decode these in Arrow batches."""
 
 from __future__ import annotations
 
@@ -6,10 +6,13 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
@@ -20,6 +23,10 @@ from . import lasfile
 
 #: Points decoded into one Arrow batch.
 BATCH = 1 << 17
+#: Bytes of a file's beginning that are read at once; header and records beyond are read after them.
+FIRST_BYTES = 1 << 16
+#: Bytes of points in one range of a file, about, and tasks that ranges are dealt to, at most.
+RANGE_BYTES, RANGE_TASKS = 64 << 20, 50000
 
 
 def files(spark: SparkSession, path: str, glob: str = "*.las") -> DataFrame:
@@ -27,18 +34,63 @@ def files(spark: SparkSession, path: str, glob: str = "*.las") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The store that a full path names, and the path in it."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(quote(path.replace("s3a:", "s3:", 1) if scheme == "s3a" else path, safe=":/@"))
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of the files; tasks then read the bytes they need.  Files of a store that only Spark reaches come
+    whole, as (path, length, content)."""
+    found = files(spark, path)
+    try:
+        store, at = _store(_whole(spark, path.split("*")[0]))
+        store.get_file_info(at)
+    except (pa.ArrowException, OSError, ImportError):
+        return found.select("path", "length", "content")
+    return found.select("path", "length")
+
+
+def _opened(batch: pa.RecordBatch) -> Iterator[tuple[int, str, pa.NativeFile]]:
+    """Row, path and open file of every row."""
+    whole = batch.column("content") if "content" in batch.schema.names else None
+    for k, p in enumerate(batch.column("path").to_pylist()):
+        if whole is None:
+            store, at = _store(p)
+            with store.open_input_file(at) as f:
+                yield k, p, f
+        else:
+            yield k, p, pa.BufferReader(whole[k].as_buffer())
+
+
+def _beginning(f: pa.NativeFile, records: bool) -> tuple[bytes, bytes]:
+    """The bytes before the first point, and those from the extended records on, if asked for."""
+    f.seek(0)
+    raw = f.read(FIRST_BYTES)
+    at = lasfile.Header.points_at(raw)
+    raw = raw[:at] if at <= len(raw) else raw + f.read(at - len(raw))
+    h = lasfile.Header.read(raw, b"")
+    if not records or not h.evlr_count or h.evlr_start >= f.size():
+        return raw, b""
+    f.seek(h.evlr_start)
+    return raw, f.read()
+
+
 def headers(spark: SparkSession, path: str) -> DataFrame:
-    """One row a file: what its header says, without decoding points."""
+    """One row a file: what its header says, without reading points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for p, raw in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                h = lasfile.Header.read(raw.as_py())
+            for _, p, f in _opened(b):
+                h = lasfile.Header.read(*_beginning(f, True))
                 rows.append({"path": p, "version": h.version, "point_format": h.fmt, "points": h.count, "scales": list(h.scales), "offsets": list(h.offsets), "mins": list(h.mins), "maxs": list(h.maxs), "returns": list(h.returns), "compressed": h.compressed, "crs": str(lasfile.crs_of(h.records) or ""), "software": h.software})
             yield pa.RecordBatch.from_pylist(rows, schema=_HEADERS)
 
-    return files(spark, path).select("path", "content").mapInArrow(run, "path string, version string, point_format int, points long, scales array<double>, offsets array<double>, mins array<double>, maxs array<double>, returns array<long>, compressed boolean, crs string, software string")
+    return _listed(spark, path).mapInArrow(run, "path string, version string, point_format int, points long, scales array<double>, offsets array<double>, mins array<double>, maxs array<double>, returns array<long>, compressed boolean, crs string, software string")
 
 
 _HEADERS = pa.schema([("path", pa.string()), ("version", pa.string()), ("point_format", pa.int32()), ("points", pa.int64()), *[(n, pa.list_(pa.float64())) for n in ("scales", "offsets", "mins", "maxs")], ("returns", pa.list_(pa.int64())), ("compressed", pa.bool_()), ("crs", pa.string()), ("software", pa.string())])
@@ -50,10 +102,10 @@ def vlrs(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([("path", pa.string()), ("user_id", pa.string()), ("record_id", pa.int32()), ("description", pa.string()), ("data", pa.binary())])
         for b in batches:
-            rows = [{"path": p, "user_id": r.user_id, "record_id": r.record_id, "description": r.description, "data": r.data} for p, raw in zip(b.column("path").to_pylist(), b.column("content"), strict=True) for r in lasfile.Header.read(raw.as_py()).records]
+            rows = [{"path": p, "user_id": r.user_id, "record_id": r.record_id, "description": r.description, "data": r.data} for _, p, f in _opened(b) for r in lasfile.Header.read(*_beginning(f, True)).records]
             yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
-    return files(spark, path).select("path", "content").mapInArrow(run, "path string, user_id string, record_id int, description string, data binary")
+    return _listed(spark, path).mapInArrow(run, "path string, user_id string, record_id int, description string, data binary")
 
 
 def _array(v: np.ndarray, t: T.DataType) -> pa.Array:
@@ -72,18 +124,15 @@ def _first_header(spark: SparkSession, path: str) -> lasfile.Header:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for raw in b.column("content"):
-                h = lasfile.Header.read(memoryview(raw.as_buffer()))
-                late = [(r.user_id, r.record_id, r.description, r.data.hex()) for r in h.records if r.extended]
-                yield pa.RecordBatch.from_arrays([pa.array([bytes(memoryview(raw.as_buffer())[: h.offset])], pa.binary()), pa.array([json.dumps(late)])], ["head", "late"])
+            for _, _, f in _opened(b):
+                head, late = _beginning(f, True)
+                yield pa.RecordBatch.from_arrays([pa.array([head], pa.binary()), pa.array([late], pa.binary())], ["head", "late"])
                 return
 
-    got = files(spark, path).select("content").mapInArrow(run, "head binary, late string").limit(1).collect()
+    got = _listed(spark, path).mapInArrow(run, "head binary, late binary").limit(1).collect()
     if not got:
         raise IncompatibleData(f"no LAS file at {path}")
-    h = lasfile.Header.read(bytes(got[0].head))
-    h.records += [lasfile.Record(u, i, d, bytes.fromhex(x), True) for u, i, d, x in json.loads(got[0].late)]
-    return h
+    return lasfile.Header.read(bytes(got[0].head), bytes(got[0].late))
 
 
 def load(spark: SparkSession, path: str, names: list[str] | None = None, where: tuple[tuple[float, ...], tuple[float, ...]] | None = None) -> PointCloud:
@@ -93,44 +142,79 @@ def load(spark: SparkSession, path: str, names: list[str] | None = None, where:
     """
     h = _first_header(spark, path)
     own = tuple(r for r in h.records if (r.user_id, r.record_id) != ("LASF_Spec", 4))
-    return PointCloud(read(spark, path, names, where), h.fmt, tuple(h.scales), tuple(h.offsets), h.version, h.extra, own)
+    return PointCloud(_points(spark, path, h, names, where), h.fmt, tuple(h.scales), tuple(h.offsets), h.version, h.extra, own)
 
 
 def read(spark: SparkSession, path: str, names: list[str] | None = None, where: tuple[tuple[float, ...], tuple[float, ...]] | None = None) -> DataFrame:
     """Points of all files, with the file's path and their index in it.
 
     names: dimensions to decode, all by default.  where: a box (mins, maxs); files whose header box lies outside are
-    not decoded, and points outside are left for the caller's filter.  All files have one point format; coordinates of files
-    with other scales than the first follow those.
+    not read, and points outside are left for the caller's filter.  All files have one point format; coordinates of files
+    with other scales than the first follow those.  A file cut short gives the points that it has.
+
+    Headers are read first and cut files into ranges (path, first, n) of about RANGE_BYTES, which tasks read on their own; a
+    file of compressed points is one range, as is one of a store that only Spark reaches.
     """
-    head = _first_header(spark, path)
+    return _points(spark, path, _first_header(spark, path), names, where)
+
+
+def _ranges(where: tuple[tuple[float, ...], tuple[float, ...]] | None):
+    """(path, first, n): the parts of every file whose box meets where."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            length = b.column("length").to_pylist()
+            for k, p, f in _opened(b):
+                h = lasfile.Header.read(*_beginning(f, False))
+                if where and any(hi < lo2 or lo > hi2 for lo, hi, lo2, hi2 in zip(h.mins, h.maxs, *where, strict=False)):
+                    continue
+                n = h.count if h.compressed else min(h.count, max(0, length[k] - h.offset) // h.record_size)
+                step = max(n, 1) if h.compressed or "content" in b.schema.names else max(1, RANGE_BYTES // h.record_size)
+                first = np.arange(0, n, step)
+                cols = [pa.array([p] * len(first), pa.string()), pa.array(first), pa.array(np.minimum(step, n - first))]
+                more = [pa.array([b.column("content")[k].as_py()] * len(first), pa.binary())] if "content" in b.schema.names else []
+                yield pa.RecordBatch.from_arrays(cols + more, ["path", "first", "n", "content"][: len(cols + more)])
+
+    return run
+
+
+def _points(spark: SparkSession, path: str, head: lasfile.Header, names: list[str] | None, where: tuple[tuple[float, ...], tuple[float, ...]] | None) -> DataFrame:
     schema = dims.point_schema(head.fmt, head.extra)
     pick = [f for f in schema.fields if f.name != "point_idx" and (names is None or f.name in names)]
     out = T.StructType([T.StructField("path", T.StringType()), schema["point_idx"], *pick])
     arrow = [f.name for f in out.fields]
-    fmt, kinds, scales, offsets = head.fmt, [(f.name, f.dataType) for f in pick], tuple(head.scales), tuple(head.offsets)
+    fmt, extra, kinds, scales, offsets = head.fmt, head.extra, [(f.name, f.dataType) for f in pick], tuple(head.scales), tuple(head.offsets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p, raw in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                buf = memoryview(raw.as_buffer())
-                h = lasfile.Header.read(buf)
+            start, count = b.column("first").to_pylist(), b.column("n").to_pylist()
+            for k, p, f in _opened(b):
+                h = lasfile.Header.read(*_beginning(f, False))
                 if h.fmt != fmt:
                     raise IncompatibleData(f"{p} has point format {h.fmt}, others {fmt}")
-                if where and any(hi < lo2 or lo > hi2 for lo, hi, lo2, hi2 in zip(h.mins, h.maxs, *where, strict=False)):
-                    continue
-                size = h.dtype.itemsize
-                data = lasfile.decompress(bytes(buf), h, 0, h.count) if h.compressed else buf[h.offset :]
-                n = min(h.count, len(data) // size)  # a file cut short gives what it has
-                pts = np.frombuffer(data, h.dtype, n)
-                for lo in range(0, n, BATCH):
-                    own = pts[lo : lo + BATCH]
-                    cols = lasfile.columns_of(own, fmt, [k for k, _ in kinds])
+                h.extra = h.extra or extra
+                size, end = h.dtype.itemsize, start[k] + count[k]
+                if h.compressed:
+                    f.seek(0)
+                    data = lasfile.decompress(f.read(), h, start[k], count[k])
+                for lo in range(start[k], end, BATCH):
+                    n = min(BATCH, end - lo)
+                    if h.compressed:
+                        own = np.frombuffer(data, h.dtype, n, (lo - start[k]) * size)
+                    else:
+                        f.seek(h.offset + lo * size)
+                        own = np.frombuffer(f.read(n * size), h.dtype)
+                    cols = lasfile.columns_of(own, fmt, [c for c, _ in kinds])
                     if (tuple(h.scales), tuple(h.offsets)) != (scales, offsets):
-                        cols |= {a: np.rint((cols[a] * h.scales[k] + h.offsets[k] - offsets[k]) / scales[k]) for k, a in enumerate("XYZ") if a in cols}
-                    yield pa.RecordBatch.from_arrays([pa.array([p] * len(own)), pa.array(np.arange(lo, lo + len(own))), *[_array(cols[k], t) for k, t in kinds]], arrow)
+                        cols |= {a: np.rint((cols[a] * h.scales[i] + h.offsets[i] - offsets[i]) / scales[i]) for i, a in enumerate("XYZ") if a in cols}
+                    yield pa.RecordBatch.from_arrays([pa.array([p] * n), pa.array(np.arange(lo, lo + n)), *[_array(cols[c], t) for c, t in kinds]], arrow)
 
-    return files(spark, path).select("path", "content").mapInArrow(run, out)
+    found = _listed(spark, path)
+    if "content" in found.columns:
+        return found.mapInArrow(_ranges(where), "path string, first long, n long, content binary").mapInArrow(run, out)
+    size = found.agg(F.sum("length")).first()[0] or 0
+    tasks = min(RANGE_TASKS, size // RANGE_BYTES + 1)  # of the listing alone; no byte of a file is read for it
+    return found.mapInArrow(_ranges(where), "path string, first long, n long").repartition(tasks).mapInArrow(run, out)
 
 
 def write(cloud: PointCloud, path: str, records: list[lasfile.Record] | None = None) -> None:
@@ -201,9 +285,7 @@ class PartsWriter(DataSourceWriter):
         self.path, self.prefix = path, uuid.uuid4().hex[:12] + "-"  # files of an earlier write stay beside these
 
     def _store(self):
-        from pyarrow import fs
-
-        return fs.FileSystem.from_uri(self.path)
+        return _store(self.path)
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         store, folder = self._store()

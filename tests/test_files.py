@@ -77,6 +77,27 @@ def test_files_of_other_scales_and_boxes(spark, tmp_path):
     assert las.read(spark, path, where=((0.0, 0.0, 0.0), (6.0, 99.0, 99.0))).count() == 1
 
 
+@pytest.mark.parametrize("whole", [False, True])
+def test_ranges_of_a_file(spark, tmp_path, monkeypatch, whole):
+    """Files are read in ranges, whatever their number, or whole where only Spark reaches the store; one cut short gives what it has."""
+    path = tmp_path / "a b"
+    las.write(PointCloud(points(spark, 1000).coalesce(1), 6, version="1.4", records=(lasfile.Record("me", 1, "", bytes(70000), True), lasfile.Record("me", 2, "", bytes(60000)), lasfile.Record("me", 3, "", bytes(60000)))), str(path))
+    monkeypatch.setattr(las, "RANGE_BYTES", 30 * 64)
+    monkeypatch.setattr(las, "BATCH", 50)
+    if whole:
+        monkeypatch.setattr(las, "_store", lambda p: (_ for _ in ()).throw(OSError(p)))
+    got = las.read(spark, str(path), names=["X", "Y"])
+    assert sorted((r.point_idx, r.X, r.Y) for r in got.collect()) == [(i, i, 2 * i) for i in range(1000)]
+    if not whole:
+        assert got.rdd.getNumPartitions() > 10
+    assert len(las.load(spark, str(path)).records) == 3 and las.headers(spark, str(path)).first().points == 1000
+    one = next(path.glob("*.las"))
+    raw = one.read_bytes()
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "x.las").write_bytes(raw[: lasfile.Header.points_at(raw) + 30 * 77 + 5])
+    assert las.read(spark, str(tmp_path / "cut")).count() == 77
+
+
 def test_a_failed_write_leaves_no_file(spark, tmp_path):
     bad = spark.range(4, numPartitions=2).select(F.col("id").cast("int").alias("X"), F.lit(0).alias("Y"), F.lit(0).alias("Z"), F.when(F.col("id") == 3, 99).otherwise(1).alias("return_number"))
     with pytest.raises(Exception, match="return_number"):
