@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from .common import documents, where_text
 from .sampling import labelled, with_text
 from .textbytes import Chunk, chunks
-from .textfeatures import LINE_FEATURES, Profile
+from .textfeatures import LINE_FEATURES, PROFILE_BYTES, Profile
 
 #: Documents of each label that the field is fitted on, at most, and the lines of a window; longer documents come as several windows.
 FIT_DOCS = 1000
@@ -151,7 +151,7 @@ def viterbi(field: LineField, x: np.ndarray, text: np.ndarray) -> np.ndarray:
 def _sample_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ys = batch.column("y").to_numpy()
-        for c in chunks(batch):
+        for c in chunks(batch, limit=PROFILE_BYTES):
             p = Profile(c)
             x, cut = p.lines().astype(np.float32), np.append(0, np.cumsum(p.n_lines))
             windows = [(i, lo, min(lo + FIT_LINES, int(cut[i + 1]))) for i in range(c.n) for lo in range(int(cut[i]), int(cut[i + 1]), FIT_LINES)]
@@ -200,7 +200,7 @@ def rule_documents(docs: DataFrame, field: LineField) -> DataFrame:
         names = [s.split()[0] for s in RULES_SCHEMA.split(", ")]
         for batch in batches:
             ids = batch.column("doc_id")
-            for c in chunks(batch):
+            for c in chunks(batch, limit=PROFILE_BYTES):
                 p = Profile(c)
                 y, good, failed, kept = _verdict(w, c, p)
                 cols = [p.n_words, p.word_chars, p.n_symbols, p.n_dup_lines, p.n_repeat_words, failed, kept, p.n_lines, c.per_text(p.ldoc[y == 1]), good]
@@ -215,7 +215,7 @@ def content_lines(docs: DataFrame, field: LineField) -> DataFrame:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
-            for c in chunks(batch):
+            for c in chunks(batch, limit=PROFILE_BYTES):
                 p = Profile(c)
                 y = viterbi(field, p.lines(), p.ldoc)
                 line = np.arange(len(p.ldoc)) - (np.cumsum(p.n_lines) - p.n_lines)[p.ldoc]
@@ -228,7 +228,7 @@ def kept_documents(docs: DataFrame, field: LineField) -> DataFrame:
     """The rows that the rules keep, with all their columns; each is judged by its own text, whatever its doc_id."""
 
     def accepts(batch: pa.RecordBatch) -> Iterator[list[bool]]:
-        for c in chunks(batch):
+        for c in chunks(batch, limit=PROFILE_BYTES):
             yield _verdict(field, c, Profile(c))[3].tolist()
 
     return where_text(docs, accepts)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import documents, fold, where_text
 from .sampling import FOLDS, labelled, smallest, with_text
 from .textbytes import Chunk, chunks
-from .textfeatures import TEXT_FEATURES, Profile
+from .textfeatures import TEXT_FEATURES, PROFILE_BYTES, Profile
 
 #: Trusted positives and unlabelled documents that the classifier is fitted on, at most.
 FIT_POSITIVE = 4000
@@ -117,7 +117,7 @@ def fit_network(pos: np.ndarray, unl: np.ndarray, prior: float | None = None) ->
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for c in chunks(batch):
+        for c in chunks(batch, limit=PROFILE_BYTES):
             x = Profile(c).texts().astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column("y").slice(c.row0, c.n), pa.array([r.tobytes() for r in x], pa.binary())], ["y", "x"])
 
@@ -151,7 +151,7 @@ def score_documents(docs: DataFrame, net: Network | None, threshold: float = THR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in chunks(batch):
+            for c in chunks(batch, limit=PROFILE_BYTES):
                 s = _scores(net, c)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(c.row0, c.n), batch.column("held_out").slice(c.row0, c.n), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -163,7 +163,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     net = fit(docs, labels)
 
     def accepts(batch: pa.RecordBatch) -> Iterator[list[bool]]:
-        for c in chunks(batch):
+        for c in chunks(batch, limit=PROFILE_BYTES):
             yield (_scores(net, c) >= THRESHOLD).tolist()
 
     return where_text(docs, accepts)

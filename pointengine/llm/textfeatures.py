@@ -16,6 +16,9 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _LEAD = (np.arange(256) & 0xC0) != 0x80
 
+#: Bytes of text profiled at once; the running counts take some 32 bytes for each of them.
+PROFILE_BYTES = 1 << 19
+
 #: Names of the columns of Profile.lines(), in order.
 LINE_FEATURES = ("symbols a character", "upper-case share of letters", "digits a character", "bars a word", "exclamations a word", "letters a character", "word length", "length", "repeats an earlier line", "repeated words", "ends a sentence")
 #: Names of the columns of Profile.texts(), in order.
@@ -30,7 +33,9 @@ class Profile:
         n = len(buf)
 
         def running(mask: np.ndarray) -> np.ndarray:
-            return np.append(np.int64(0), np.cumsum(mask, dtype=np.int64)) if n else np.zeros(1, np.int64)
+            out = np.zeros(n + 1, np.int32)  # a column of strings holds less than 2^31 bytes
+            np.cumsum(mask, dtype=np.int32, out=out[1:])
+            return out
 
         upper = _UPPER[buf]
         if n > 1:  # capitals of the Latin-1 block: 0xC3 and 0x80 to 0x9E
@@ -66,7 +71,7 @@ class Profile:
         self.ends = np.isin(lastbyte, np.frombuffer(b".?!\"'", np.uint8))
 
     def _between(self, what: str, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return self._sum[what][end] - self._sum[what][start]
+        return (self._sum[what][end] - self._sum[what][start]).astype(np.int64)
 
     def _ratios(self, s: np.ndarray, e: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
         chars, solid, alpha = self._between("chars", s, e), self._between("solid", s, e), self._between("alpha", s, e)
