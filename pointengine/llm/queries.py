@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, line_crf, near_dedup, nn_descent, piece_scan, quality_pu, suffix_dedup, toxicity_fm
+from . import byte_bpe, ctw, fill_middle, line_crf, near_dedup, nn_descent, piece_scan, quality_pu, suffix_dedup, toxicity_fm
 from .packing import pack
 from .sharding import shard_documents
 
@@ -58,6 +58,16 @@ def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.digest(_table(spark, sf_dir, "documents"), byte_bpe.ByteBpe.load(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_crf": op1_line_crf,
     "op2_nn_descent": op2_nn_descent,
@@ -69,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
     "op10_ctw": op10_ctw,
+    "op11_fill_middle": op11_fill_middle,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 #: Every 50-byte window in hex, the least document that holds it, the runs that later ones lose, and what is left of each text.
@@ -88,4 +100,16 @@ SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remove
 FROM d LEFT JOIN cut USING (rid)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_suffix_dedup": SUFFIX_SQL}
+#: Places of the cuts from the digest's groups; texts are cut and put together by code points.
+FILL_MIDDLE_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+r AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+      CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+      CASE WHEN t = '' OR t LIKE '%<P>%' OR t LIKE '%<S>%' OR t LIKE '%<M>%' OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM r)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+                   ELSE '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) END) AS output_sha256, sha256(t) AS restored_sha256 FROM c
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_suffix_dedup": SUFFIX_SQL, "op11_fill_middle": FILL_MIDDLE_SQL}
