@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, ctw, fill_middle, line_crf, near_dedup, nn_descent, piece_scan, quality_pu, suffix_dedup, toxicity_fm
+from . import byte_bpe, ctw, dual_tree, fill_middle, line_crf, near_dedup, nn_descent, piece_scan, quality_pu, suffix_dedup, toxicity_fm
 from .packing import pack
 from .sharding import shard_documents
 
@@ -62,6 +62,10 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(_table(spark, sf_dir, "documents"))
 
 
+def op12_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_ctw": op10_ctw,
     "op11_fill_middle": op11_fill_middle,
+    "op12_dual_tree": op12_dual_tree,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
@@ -112,4 +117,18 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
                    ELSE '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) END) AS output_sha256, sha256(t) AS restored_sha256 FROM c
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_suffix_dedup": SUFFIX_SQL, "op11_fill_middle": FILL_MIDDLE_SQL}
+#: Every anchor against every row, whole numbers throughout.
+HARD_NEGATIVE_SQL = """
+WITH e AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+      [CAST(floor(CAST(x AS DOUBLE) * 256) AS DOUBLE) FOR x IN embedding] AS v FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.rid AS arid, a.vec_id AS anchor_id, e.rid, e.vec_id, e.label = a.label AS same, CAST(list_inner_product(a.v, e.v) AS BIGINT) AS score
+      FROM e a JOIN e ON a.rid <> e.rid WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY arid ORDER BY score DESC, vec_id NULLS LAST) AS k FROM s WHERE same QUALIFY k <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+      CAST(row_number() OVER (PARTITION BY p.arid, p.k ORDER BY s.score DESC, s.vec_id NULLS LAST) AS INT) AS "rank"
+      FROM p JOIN s ON s.arid = p.arid AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, "rank", negative_id, positive_score, negative_score FROM n WHERE "rank" <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_suffix_dedup": SUFFIX_SQL, "op11_fill_middle": FILL_MIDDLE_SQL, "op12_dual_tree": HARD_NEGATIVE_SQL}
