@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import types as T
@@ -49,6 +50,18 @@ class ExtraDim:
             raise ValueError("more than three elements only as bytes")
 
 
+@dataclass(frozen=True)
+class FileMeta:
+    """What a file's header says beside format, scales and statistics; it travels with a cloud from file to file."""
+
+    encoding: int = 0
+    source_id: int = 0
+    guid: bytes = b"\0" * 16
+    system: str = ""
+    software: str = "pointengine"
+    created: dt.date | None = None
+
+
 def spark_type(kind: str, count: int = 1) -> T.DataType:
     return _SPARK[kind] if count == 1 else T.ArrayType(_SPARK[kind], containsNull=False)
 
@@ -99,6 +112,20 @@ def kind_range(kind: str) -> tuple[float, float]:
     return {"u": (0, 2**bits - 1), "i": (-(2 ** (bits - 1)), 2 ** (bits - 1) - 1), "f": (float("-inf"), float("inf"))}[kind[0]]
 
 
+def limits(name: str, kinds: dict[str, str], bits: dict[str, tuple[str, int]]) -> tuple[float, float]:
+    """Least and greatest value of a dimension or sub-field of a format."""
+    if name in bits:
+        mask = bits[name][1]
+        return 0, mask // (mask & -mask)
+    return kind_range(kinds[name])
+
+
+def type_limits(kind: T.DataType) -> tuple[float, float]:
+    """Least and greatest value of a column's type."""
+    wide = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}.get(type(kind))
+    return (-(2 ** (wide - 1)), 2 ** (wide - 1) - 1) if wide else (float("-inf"), float("inf"))
+
+
 def waveform_capable(fmt: int) -> bool:
     return any(n == "wavepacket_index" for n, _ in layout(fmt))
 

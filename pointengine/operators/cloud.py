@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,7 @@ class PointCloud:
     extra: tuple[dims.ExtraDim, ...] = ()
     #: Metadata records of the file, as the LAS reader gives and the writer takes them.
     records: tuple = ()
+    meta: dims.FileMeta = dims.FileMeta()
 
     def scaled(self) -> dict[str, tuple[Column, float, float]]:
         return {a.lower(): (F.col(a), s, o) for a, s, o in zip(AXES, self.scales, self.offsets, strict=True)}
@@ -80,17 +82,18 @@ class PointCloud:
         version = version or max(self.version, dims.preferred_version(fmt))
         dims.check_version(version, fmt)
         have, bits, kinds = self.fields(), dims.bit_fields(fmt), dict(dims.layout(fmt))
+        old, old_bits = dict(dims.layout(self.fmt)), dims.bit_fields(self.fmt)
         cols = []
         for n in dims.dimension_names(fmt):
             v = have.get(n, F.lit(0))
-            if n in bits:
-                top = bits[n][1] >> exprs.low_bit(bits[n][1])
-            else:
-                top = dims.kind_range(kinds[n])[1]
-            if n in have and n in ("classification", "return_number", "number_of_returns") and top < 255:
-                v = F.when(v <= top, v).otherwise(F.raise_error(F.lit(f"{n} above {top}")).cast("int"))
+            low, high = dims.limits(n, kinds, bits)
+            if n in have and math.isfinite(high):
+                was = dims.limits(n, old, old_bits) if n in old or n in old_bits else (-math.inf, math.inf)
+                typed = dims.type_limits(self.df.schema[n].dataType) if n in self.df.columns else was
+                if low > max(was[0], typed[0]) or high < max(was[1], typed[1]):  # not every value of the column fits
+                    v = F.when((v >= F.lit(int(low))) & (v <= F.lit(int(high))), v).when(v.isNotNull(), F.raise_error(F.lit(f"{n} outside {int(low)}..{int(high)}")).cast("int"))
             cols.append(v.cast(dims.spark_type(kinds.get(n, "u1"))).alias(n))
-        return PointCloud(self.df.select(*cols, *[F.col(e.name) for e in self.extra]), fmt, self.scales, self.offsets, version, self.extra, self.records)
+        return replace(self, df=self.df.select(*cols, *[F.col(e.name) for e in self.extra]), fmt=fmt, version=version)
 
     def rescaled(self, scales: tuple[float, float, float], offsets: tuple[float, float, float]) -> PointCloud:
         new = {a: exprs.unscale(exprs.scale(F.col(a), s, o), s2, o2) for a, s, o, s2, o2 in zip(AXES, self.scales, self.offsets, scales, offsets, strict=True)}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from urllib.parse import quote
 
@@ -42,6 +43,14 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(quote(path.replace("s3a:", "s3:", 1) if scheme == "s3a" else path, safe=":/@"))
 
 
+def reachable(path: str) -> None:
+    """Raises where tasks cannot open the store on their own."""
+    try:
+        _store(path)
+    except (pa.ArrowException, OSError, ImportError) as e:
+        raise IncompatibleData(f"{path}: no store that tasks can write to") from e
+
+
 def _listed(spark: SparkSession, path: str) -> DataFrame:
     """(path, length) of the files; tasks then read the bytes they need.  Files of a store that only Spark reaches come
     whole, as (path, length, content)."""
@@ -142,7 +151,7 @@ def load(spark: SparkSession, path: str, names: list[str] | None = None, where:
     """
     h = _first_header(spark, path)
     own = tuple(r for r in h.records if (r.user_id, r.record_id) != ("LASF_Spec", 4))
-    return PointCloud(_points(spark, path, h, names, where), h.fmt, tuple(h.scales), tuple(h.offsets), h.version, h.extra, own)
+    return PointCloud(_points(spark, path, h, names, where), h.fmt, tuple(h.scales), tuple(h.offsets), h.version, h.extra, own, h.meta())
 
 
 def read(spark: SparkSession, path: str, names: list[str] | None = None, where: tuple[tuple[float, ...], tuple[float, ...]] | None = None) -> DataFrame:
@@ -178,12 +187,36 @@ def _ranges(where: tuple[tuple[float, ...], tuple[float, ...]] | None):
     return run
 
 
+def decoded(f: pa.NativeFile, h: lasfile.Header, first: int, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(index of the first, packed records) of points of a file, BATCH at a time."""
+    size = h.dtype.itemsize
+    data = None
+    if h.compressed:
+        f.seek(0)
+        data = lasfile.decompress(f.read(), h, first, n)
+    for lo in range(first, first + n, BATCH):
+        m = min(BATCH, first + n - lo)
+        if data is not None:
+            yield lo, np.frombuffer(data, h.dtype, m, (lo - first) * size)
+        else:
+            f.seek(h.offset + lo * size)
+            yield lo, np.frombuffer(f.read(m * size), h.dtype)
+
+
+def columns_like(own: np.ndarray, h: lasfile.Header, first: lasfile.Header, names: list[str]) -> dict[str, np.ndarray]:
+    """Columns of packed records; coordinates follow the scales of the first file."""
+    cols = lasfile.columns_of(own, h.fmt, names)
+    if (tuple(h.scales), tuple(h.offsets)) != (tuple(first.scales), tuple(first.offsets)):
+        cols |= {a: np.rint((cols[a] * h.scales[i] + h.offsets[i] - first.offsets[i]) / first.scales[i]) for i, a in enumerate("XYZ") if a in cols}
+    return cols
+
+
 def _points(spark: SparkSession, path: str, head: lasfile.Header, names: list[str] | None, where: tuple[tuple[float, ...], tuple[float, ...]] | None) -> DataFrame:
     schema = dims.point_schema(head.fmt, head.extra)
     pick = [f for f in schema.fields if f.name != "point_idx" and (names is None or f.name in names)]
     out = T.StructType([T.StructField("path", T.StringType()), schema["point_idx"], *pick])
     arrow = [f.name for f in out.fields]
-    fmt, extra, kinds, scales, offsets = head.fmt, head.extra, [(f.name, f.dataType) for f in pick], tuple(head.scales), tuple(head.offsets)
+    fmt, extra, kinds, like = head.fmt, head.extra, [(f.name, f.dataType) for f in pick], head
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -193,21 +226,9 @@ def _points(spark: SparkSession, path: str, head: lasfile.Header, names: list[st
                 if h.fmt != fmt:
                     raise IncompatibleData(f"{p} has point format {h.fmt}, others {fmt}")
                 h.extra = h.extra or extra
-                size, end = h.dtype.itemsize, start[k] + count[k]
-                if h.compressed:
-                    f.seek(0)
-                    data = lasfile.decompress(f.read(), h, start[k], count[k])
-                for lo in range(start[k], end, BATCH):
-                    n = min(BATCH, end - lo)
-                    if h.compressed:
-                        own = np.frombuffer(data, h.dtype, n, (lo - start[k]) * size)
-                    else:
-                        f.seek(h.offset + lo * size)
-                        own = np.frombuffer(f.read(n * size), h.dtype)
-                    cols = lasfile.columns_of(own, fmt, [c for c, _ in kinds])
-                    if (tuple(h.scales), tuple(h.offsets)) != (scales, offsets):
-                        cols |= {a: np.rint((cols[a] * h.scales[i] + h.offsets[i] - offsets[i]) / scales[i]) for i, a in enumerate("XYZ") if a in cols}
-                    yield pa.RecordBatch.from_arrays([pa.array([p] * n), pa.array(np.arange(lo, lo + n)), *[_array(cols[c], t) for c, t in kinds]], arrow)
+                for lo, own in decoded(f, h, start[k], count[k]):
+                    cols = columns_like(own, h, like, [c for c, _ in kinds])
+                    yield pa.RecordBatch.from_arrays([pa.array([p] * len(own)), pa.array(np.arange(lo, lo + len(own))), *[_array(cols[c], t) for c, t in kinds]], arrow)
 
     found = _listed(spark, path)
     if "content" in found.columns:
@@ -220,53 +241,69 @@ def _points(spark: SparkSession, path: str, head: lasfile.Header, names: list[st
 def write(cloud: PointCloud, path: str, records: list[lasfile.Record] | None = None) -> None:
     """A folder with one complete LAS file a partition, in the store that path names.
 
-    A task packs its points and the header of its own statistics, and writes the file through the Hadoop file system of
-    the path.  An empty cloud writes one empty file.  records: those of the cloud, by default; extended ones make the file 1.4.
+    A task packs its points and the header of its own statistics, and writes the file through pyarrow; a store that pyarrow does not
+    reach is refused at once.  An empty cloud writes one empty file.  records: those of the cloud, by default; extended ones make the file 1.4.
     """
-    own = cloud.records if records is None else records
-    late = any(r.extended for r in own)
-    head = dict(fmt=cloud.fmt, version=max(cloud.version, "1.4") if late else cloud.version, scales=tuple(cloud.scales), offsets=tuple(cloud.offsets), extra=cloud.extra, records=list(own))
-    dims.check_version(head["version"], cloud.fmt)
+    head = head_of(cloud, records)
     spark = cloud.df.sparkSession
+    reachable(_whole(spark, path))
     register(spark)
     encoded(cloud.df, head).select("part", "content").write.format("las_parts").mode("append").option("path", _whole(spark, path)).save()
 
 
+def head_of(cloud: PointCloud, records: list[lasfile.Record] | None = None) -> dict:
+    """The fields of a header for the cloud's files, without statistics."""
+    own = cloud.records if records is None else records
+    late = any(r.extended for r in own)
+    version = max(cloud.version, "1.4") if late else cloud.version
+    dims.check_version(version, cloud.fmt)
+    return dict(fmt=cloud.fmt, version=version, scales=tuple(cloud.scales), offsets=tuple(cloud.offsets), extra=cloud.extra, records=list(own), **vars(cloud.meta))
+
+
+def arrays_of(b: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """Columns of a batch; vectors as matrices."""
+    return {name: np.stack(v.to_numpy(zero_copy_only=False)) if pa.types.is_list(v.type) and len(v) else v.to_numpy(zero_copy_only=False) for name, v in zip(b.schema.names, b.columns, strict=True)}
+
+
 def encoded(df: DataFrame, head: dict) -> DataFrame:
     """(part, content, stats): complete LAS files as bytes, about FILE_BYTES of points each."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    return df.mapInArrow(lambda batches: encode_batches(batches, head), "part string, content binary, stats string")
 
-        part, parts, n, k = TaskContext.get().partitionId(), [], 0, 0
 
-        def out() -> pa.RecordBatch:
-            h = lasfile.Header(**head)
-            pts = np.concatenate(parts) if parts else np.zeros(0, h.dtype)
-            s = lasfile.statistics(pts, h)
-            h = lasfile.with_statistics(h, [s])
-            return pa.RecordBatch.from_arrays([pa.array([f"part-{part:05d}-{k:03d}.las"]), pa.array([b"".join((h.pack(), memoryview(pts).cast("B") if len(pts) else b"", h.tail()))], pa.binary()), pa.array([json.dumps(s)])], ["part", "content", "stats"])
+def encode_batches(batches: Iterator[pa.RecordBatch], head: dict) -> Iterator[pa.RecordBatch]:
+    """(part, content, stats) of a task's points."""
+    from pyspark import TaskContext
 
-        for b in batches:
-            h = lasfile.Header(**head)
-            cols = {}
-            for name, v in zip(b.schema.names, b.columns, strict=True):
-                cols[name] = np.stack(v.to_numpy(zero_copy_only=False)) if pa.types.is_list(v.type) and len(v) else v.to_numpy(zero_copy_only=False)
-            parts.append(lasfile.records_of(cols, h, len(b)))
-            n += len(b)
-            if sum(p.nbytes for p in parts) >= FILE_BYTES:
-                yield out()
-                parts, n, k = [], 0, k + 1
-        if n or part == 0 and k == 0:
+    part, parts, n, k = TaskContext.get().partitionId(), [], 0, 0
+
+    def out() -> pa.RecordBatch:
+        h = lasfile.Header(**head)
+        pts = np.concatenate(parts) if parts else np.zeros(0, h.dtype)
+        s = lasfile.statistics(pts, h)
+        h = lasfile.with_statistics(h, [s])
+        return pa.RecordBatch.from_arrays([pa.array([f"part-{part:05d}-{k:03d}.las"]), pa.array([b"".join((h.pack(), memoryview(pts).cast("B") if len(pts) else b"", h.tail()))], pa.binary()), pa.array([json.dumps(s)])], ["part", "content", "stats"])
+
+    for b in batches:
+        h = lasfile.Header(**head)
+        parts.append(lasfile.records_of(arrays_of(b), h, len(b)))
+        n += len(b)
+        if sum(p.nbytes for p in parts) >= FILE_BYTES:
             yield out()
+            parts, n, k = [], 0, k + 1
+    if n or part == 0 and k == 0:
+        yield out()
 
-    return df.mapInArrow(run, "part string, content binary, stats string")
 
 
 #: Bytes of points in one written file, about.
 FILE_BYTES = 64 << 20
 
 
+#: Files renamed at a time when a write is committed.
+RENAMES = 32
+
+
 class PartsSource(DataSource):
     """Writer of whole files: rows (part, content) to a folder."""
 
@@ -300,9 +337,8 @@ class PartsWriter(DataSourceWriter):
 
     def commit(self, messages: list[PartsWritten | None]) -> None:
         store, _ = self._store()
-        for m in messages:
-            for tmp, final in m.files if m else ():
-                store.move(tmp, final)
+        with ThreadPoolExecutor(RENAMES) as pool:  # a rename waits for the store, not for this machine
+            list(pool.map(lambda x: store.move(*x), [f for m in messages if m for f in m.files]))
 
     def abort(self, messages: list[PartsWritten | None]) -> None:
         store, _ = self._store()
