@@ -146,6 +146,27 @@ def reachable(nodes: DataFrame, side: float, lo, hi, levels: range) -> DataFrame
     return met.where(F.col("_met") == F.col("level") + 1).select(*nodes.columns)
 
 
+def sampled_levels(df: DataFrame, xyz: list[Column], side: float, depth: int, cells: int, order: Column) -> DataFrame:
+    """Points with the octree level that they belong to, from 0 to depth: a level-of-detail sampling from the root down.
+
+    The nodes of level l are cut into ``cells`` grid cells an axis.  A point belongs to the first level at which it comes first, by ``order``, among all
+    points of its cell, and to the deepest where it never does; so every level and those above it hold exactly one point of every occupied
+    cell, until the deepest adds the rest.  As cells lie within cells, who is first in a coarse cell is first in every finer one: the finest cells'
+    first points are found by one aggregation of all points, and their levels by a second one over those.  Points alike in place and
+    order share a level.  No task holds a cell: both aggregations combine before they shuffle.
+    """
+    own = [F.floor(v / F.lit(side / 2.0**depth / cells)).cast("long").alias(f"_c{k}") for k, v in enumerate(xyz)]
+    keyed = df.withColumn("_first", order).select("*", *own)
+    at = ["_c0", "_c1", "_c2"]
+    best = keyed.groupBy(*at).agg(F.min("_first").alias("_first"))
+    up = best.select(*at, "_first", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("_up"))
+    up = up.select(*at, "_first", "_up", *[F.expr(f"shiftright({c}, _up)").alias(f"{c}u") for c in at])
+    heads = up.groupBy("_up", *[f"{c}u" for c in at]).agg(F.min(F.struct("_first", *at)).alias("_h"))
+    level = heads.groupBy("_h").agg(F.max("_up").alias("_up")).select("_h.*", (F.lit(depth) - F.col("_up")).cast("int").alias("level"))
+    out = keyed.join(level, [*at, "_first"], "left")
+    return out.withColumn("level", F.coalesce("level", F.lit(depth))).drop(*at, "_first")
+
+
 def levels_of(spacing: float, resolution: float) -> range:
     """Levels that a resolution asks for: from the root to the first that is as fine."""
     return range(0, max(1, math.ceil(math.log2(spacing / resolution)) + 1))
