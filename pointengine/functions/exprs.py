@@ -16,6 +16,15 @@ def low_bit(mask: int) -> int:
     return (mask & -mask).bit_length() - 1
 
 
+def lowest_bit(value: Column) -> Column:
+    """Number of the lowest set bit of a value above 0."""
+    return F.bit_count(value.bitwiseAND(-value) - 1).cast("int")
+
+
+def popcount(value: Column) -> Column:
+    return F.bit_count(value).cast("int")
+
+
 def unpack(container: Column, mask: int) -> Column:
     return F.shiftright(container.bitwiseAND(F.lit(mask)), low_bit(mask))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -118,12 +118,34 @@ def between_indices(df: DataFrame, first: int, n: int) -> DataFrame:
     return df.where(cond if n < 0 else cond & (F.col("point_idx") < first + n))
 
 
-def sliced(df: DataFrame, start: int, stop: int, step: int = 1) -> DataFrame:
+def seek(pos: int, whence: int, total: int) -> int:
+    """The index that a seek from the start (0), from ``here`` = 0 (1) or from the end (2) leads to; outside the points it raises."""
+    if whence not in (0, 1, 2):
+        raise ValueError(f"whence {whence}: 0, 1 or 2")
+    at = pos + total if whence == 2 else pos
+    if not 0 <= at <= total:
+        raise IndexError(f"point {at} of {total}")
+    return at
+
+
+def sliced(df: DataFrame, start: int | None, stop: int | None, step: int = 1, total: int | None = None) -> DataFrame:
+    """Points start, start + step, ... before stop; with the number of points, negative ends count from the end and are cut to it."""
+    if step < 1:
+        raise ValueError("points keep their order: a step is positive")
+    if total is not None:
+        start, stop, _ = slice(start, stop, step).indices(total)
+    elif start is None or stop is None or min(start, stop) < 0:
+        raise ValueError("open and negative ends need the number of points")
     return df.where((F.col("point_idx") >= start) & (F.col("point_idx") < stop) & ((F.col("point_idx") - start) % step == 0))
 
 
-def taken(df: DataFrame, indices: list[int]) -> DataFrame:
-    """The points of a given list, in its order and as often as it names them."""
+def taken(df: DataFrame, indices: list[int], total: int | None = None) -> DataFrame:
+    """The points of a given list, in its order and as often as it names them; with the number of points, negative indices count from the end and one
+    outside raises."""
+    if total is not None:
+        if bad := [i for i in indices if not -total <= i < total]:
+            raise IndexError(f"point {bad[0]} of {total}")
+        indices = [i % total for i in indices]
     want = df.sparkSession.createDataFrame([(k, int(i)) for k, i in enumerate(indices)], "pos long, point_idx long")
     return df.join(F.broadcast(want) if len(indices) <= TAKEN else want, "point_idx")
 
@@ -135,3 +157,24 @@ def resized(df: DataFrame, n: int, total: int) -> DataFrame:
         return kept
     pad = df.sparkSession.range(total, n).select(F.col("id").alias("point_idx"), *[F.lit(0).cast(t).alias(c) for c, t in df.dtypes if c != "point_idx"])
     return kept.unionByName(pad)
+
+
+def zeros_like(cloud: PointCloud) -> PointCloud:
+    """As many points, all zero."""
+    return replace(cloud, df=cloud.df.select(*[F.lit(0).cast(t).alias(n) if "array" not in t else F.transform(n, lambda x: x * 0).cast(t).alias(n) for n, t in cloud.df.dtypes]))
+
+
+def zeros(spark: SparkSession, n: int, fmt: int = 3, version: str | None = None) -> PointCloud:
+    """A new cloud of n zero points; version: the format's own by default."""
+    version = version or dims.preferred_version(fmt)
+    dims.check_version(version, fmt)
+    cols = dims.point_schema(fmt, index=False).fields
+    return PointCloud(spark.range(n).select(*[F.lit(0).cast(f.dataType).alias(f.name) for f in cols]), fmt, version=version)
+
+
+def with_lost_dimensions(pairs: DataFrame) -> DataFrame:
+    """Rows (from_format, to_format, ...) with the names that a conversion loses, joined by commas."""
+    formats = pairs.sparkSession.createDataFrame([(f, dims.dimension_names(f)) for f in dims.FORMATS], "f int, names array<string>")
+    old, new = (formats.select(F.col("f").alias(k), F.col("names").alias(n)) for k, n in (("from_format", "_old"), ("to_format", "_new")))
+    lost = F.array_join(F.array_sort(F.array_except("_old", "_new")), ",").alias("lost")
+    return pairs.join(F.broadcast(old), "from_format").join(F.broadcast(new), "to_format").select(*pairs.columns, lost)  # a row a format

@@ -43,44 +43,90 @@ def tiles_inclusive(df: DataFrame, size: int) -> DataFrame:
     return df.withColumn("tx", F.explode(cells("X"))).withColumn("ty", F.explode(cells("Y")))
 
 
-#: Cells at the finest scale of a neighbour search, along an axis, at most.
-FINEST = 1 << 20
-_AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+#: Cells at the finest scale of a neighbour search, along an axis, at most; and cells there for each point, along an axis of a square of even density.
+FINEST, FINER = 1 << 20, 64
+#: A query takes the finest scale at which the cells around it hold so many points for each one asked for.
+ENOUGH = 4
 
 
-def nearest(points: DataFrame, queries: DataFrame, k: int, cell: float) -> DataFrame:
-    """(query, id, rank, d2) of the k nearest points (id, x, y) of every query (query, x, y), ties to the smaller id.
+def nearest(points: DataFrame, queries: DataFrame, k: int, cell: float = 0.0) -> DataFrame:
+    """(query, id, rank, d2) of the k nearest points (id, x, y[, z]) of every query (query, x, y[, z]), ties to the smaller id; a query's own
+    id does not count.
 
-    Cells of side ``cell`` are counted once and summed up to ever coarser scales.  A query takes the finest scale at which
-    the nine cells around it hold k points beside itself: its k-th neighbour lies within 2.83 sides, so the nine cells
-    two scales up hold all that can matter.  Queries and points meet there, by one equi-join, without rounds.
+    Points are counted once in fine cells, whose counts are summed up to ever coarser scales, so that cells follow the density.  A query first
+    meets the points of its own cell and those around it, at the finest scale at which these hold enough.  If its k-th distance
+    reaches beyond them, it meets the cells within that distance too.  Both are equi-joins on cells, for all queries at once, without rounds.
+    Of points at one place only the k + 1 of smallest ids can count, so a place that many share is no hot key.  cell: the least side.
     """
-    x0, x1, y0, y1, n = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
-    if not n:
+    axes = [a for a in ("x", "y", "z") if a in points.columns]
+    near = [f"c{a}" for a in axes]
+    ends = points.agg(F.count(F.lit(1)).alias("n"), *[f(a).alias(f"{a}{m}") for a in axes for f, m in ((F.min, 0), (F.max, 1))]).first()
+    if not ends.n:
         return points.sparkSession.createDataFrame([], "query long, id long, rank int, d2 double")
-    extent = max(x1 - x0, y1 - y0, float(cell))
-    side = max(float(cell), extent / FINEST)
-    top = math.ceil(math.log2(extent / side)) + 1  # here the nine cells hold everything
-    at = lambda a, s: F.floor(F.col(a) / (F.lit(side) * F.pow(F.lit(2.0), s.cast("double")))).cast("long")
-    fine = points.groupBy(at("x", F.lit(0)).alias("cx"), at("y", F.lit(0)).alias("cy")).agg(F.count(F.lit(1)).alias("n"))
-    scales = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("s")
+    extent = max(*[ends[f"{a}1"] - ends[f"{a}0"] for a in axes], float(cell), 1e-300)
+    side = max(float(cell), extent / min(FINEST, FINER * ends.n ** (1 / len(axes))))
+    top = math.ceil(math.log2(extent / side)) + 1  # here the cells around hold everything
+    own = F.row_number().over(Window.partitionBy(*axes).orderBy("id"))
+    points = points.select("id", *axes).withColumn("_n", own).where(F.col("_n") <= k + 1).drop("_n")
+    at = lambda a, s: F.floor((F.col(a) - F.lit(ends[f"{a}0"])) / (F.lit(side) * F.pow(F.lit(2.0), s.cast("double")))).cast("long")
     up = lambda c: F.expr(f"shiftright({c}, s)").alias(c)
-    cells = fine.select(scales, "cx", "cy", "n").select("s", up("cx"), up("cy"), "n").groupBy("s", "cx", "cy").agg(F.sum("n").alias("n"))
-    nine = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _AROUND])).alias("d")
+    scales = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("s")
+    fine = points.groupBy(*[at(a, F.lit(0)).alias(c) for a, c in zip(axes, near, strict=True)]).agg(F.count(F.lit(1)).alias("n"))
+    cells = fine.select(scales, *near, "n").select("s", *map(up, near), "n").groupBy("s", *near).agg(F.sum("n").alias("n"))
+    asked = queries.select("query", *axes)
+    held_in = {a: F.greatest(F.least(F.col(a), F.lit(ends[f"{a}1"])), F.lit(ends[f"{a}0"])) for a in axes}
+    home = lambda a: F.floor((held_in[a] - F.lit(ends[f"{a}0"])) / (F.lit(side) * F.pow(F.lit(2.0), F.col("s").cast("double")))).cast("long")
+
+    def spread(q: DataFrame, low: str, high: str) -> DataFrame:
+        """Rows (..., s, bounds of each axis) once for every cell between the bounds."""
+        for a, c in zip(axes, near, strict=True):
+            q = q.withColumn(c, F.explode(F.sequence(F.expr(low.format(a=a)), F.expr(high.format(a=a)))))
+        return q
 
     def around(q: DataFrame) -> DataFrame:
-        q = q.select("query", "x", "y", "s", nine)
-        return q.select("query", "x", "y", "s", (at("x", F.col("s")) + F.col("d.i")).alias("cx"), (at("y", F.col("s")) + F.col("d.j")).alias("cy"))
-
-    held = around(queries.select("query", "x", "y", scales)).join(cells, ["s", "cx", "cy"]).groupBy("query", "s").agg(F.sum("n").alias("n"))
-    own = held.where(F.col("n") > k).groupBy("query").agg(F.min("s").alias("s"))
-    asked = queries.join(own, "query", "left").withColumn("s", F.coalesce("s", F.lit(top)) + 2)
-    used = [r.s for r in asked.select("s").distinct().collect()]  # scales, some dozens at most
-    dealt = points.select("id", F.col("x").alias("px"), F.col("y").alias("py"), "x", "y", F.explode(F.array(*map(F.lit, used or [top]))).alias("s"))
-    dealt = dealt.select("id", "px", "py", "s", at("x", F.col("s")).alias("cx"), at("y", F.col("s")).alias("cy"))
-    d2 = (F.col("px") - F.col("x")) * (F.col("px") - F.col("x")) + (F.col("py") - F.col("y")) * (F.col("py") - F.col("y"))
-    found = around(asked).join(dealt, ["s", "cx", "cy"]).where(F.col("query") != F.col("id")).select("query", "id", d2.alias("d2"))
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d2", "id"))).where(F.col("rank") <= k).select("query", "id", "rank", "d2")
+        return spread(q.withColumns({f"_{a}": home(a) for a in axes}), "_{a} - 1", "_{a} + 1")
+
+    held = around(asked.select("query", *axes, scales)).join(cells, ["s", *near]).groupBy("query", "s").agg(F.sum("n").alias("n"))
+    scale = held.where(F.col("n") > ENOUGH * k).groupBy("query").agg(F.min("s").alias("s"))
+    # a query outside the points' box starts from its border, with cells as large as its way there
+    away = sum((F.abs(F.col(a) - held_in[a]) for a in axes), F.lit(0.0))
+    least = F.when(away > side, F.least(F.ceil(F.log2(away / side)), F.lit(top))).otherwise(F.lit(0)).cast("int")
+    asked = asked.join(scale, "query", "left").withColumn("s", F.greatest(F.coalesce("s", F.lit(top)), least))
+
+    def met(cells_of: DataFrame) -> DataFrame:
+        """(query, id, d2) of the points in cells (query, axes, s, cells): by the fine cells that lie in them, so that no point is copied for scales
+        that nobody asks for."""
+        wanted = cells_of.select("s", *near).distinct()
+        inner = fine.select(*[F.col(c).alias(f"f{c}") for c in near], scales).select(*[f"f{c}" for c in near], "s", *[F.expr(f"shiftright(f{c}, s)").alias(c) for c in near])
+        inner = inner.join(wanted, ["s", *near])
+        placed = points.select("id", *[F.col(a).alias(f"p{a}") for a in axes], *[at(a, F.lit(0)).alias(f"f{c}") for a, c in zip(axes, near, strict=True)])
+        placed = placed.join(inner, [f"f{c}" for c in near]).select("id", *[f"p{a}" for a in axes], "s", *near)
+        d2 = None
+        for a in axes:
+            d = (F.col(f"p{a}") - F.col(a)) * (F.col(f"p{a}") - F.col(a))
+            d2 = d if d2 is None else d2 + d
+        return cells_of.join(placed, ["s", *near]).where(F.col("query") != F.col("id")).select("query", "id", d2.alias("d2"))
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d2", "id"))).where(F.col("rank") <= k)
+
+    first = best(met(around(asked))).select("query", "id", "d2")
+    reach = first.groupBy("query").agg(F.max("d2").alias("r"), F.count(F.lit(1)).alias("n"))
+    own_side = F.lit(side) * F.pow(F.lit(2.0), F.col("s").cast("double"))
+    rest = asked.where(F.col("s") < top).join(reach, "query").withColumns({"_r": F.sqrt("r") * (1 + 1e-12), "_side": own_side})
+    for a in axes:
+        rest = rest.withColumns({f"_{a}": home(a), f"_{a}0": F.floor((F.col(a) - F.lit(ends[f"{a}0"]) - F.col("_r")) / F.col("_side")).cast("long"), f"_{a}1": F.floor((F.col(a) - F.lit(ends[f"{a}0"]) + F.col("_r")) / F.col("_side")).cast("long")})
+    inside = lambda c, a: (F.col(c) >= F.col(f"_{a}") - 1) & (F.col(c) <= F.col(f"_{a}") + 1)
+    beyond, known = F.lit(False), F.lit(True)
+    for a, c in zip(axes, near, strict=True):
+        beyond = beyond | ~inside(f"_{a}0", a) | ~inside(f"_{a}1", a)
+        known = known & inside(c, a)
+    last = {a: F.floor((F.lit(ends[f"{a}1"]) - F.lit(ends[f"{a}0"])) / F.col("_side")).cast("long") for a in axes}
+    rest = rest.where(beyond).withColumns({f"_{a}0": F.greatest(f"_{a}0", F.lit(0)) for a in axes} | {f"_{a}1": F.greatest(F.least(F.col(f"_{a}1"), last[a]), F.lit(0)) for a in axes})
+    for a in axes:
+        rest = rest.withColumn(f"_{a}0", F.least(f"_{a}0", f"_{a}1"))
+    more = met(spread(rest, "_{a}0", "_{a}1").where(~known).select("query", *axes, "s", *near))
+    return best(first.unionByName(more)).select("query", "id", "rank", "d2")
 
 
 def recursive_tiles(df: DataFrame, most: int, side: float, depth: int = 16) -> DataFrame:
@@ -172,6 +218,11 @@ def levels_of(spacing: float, resolution: float) -> range:
     return range(0, max(1, math.ceil(math.log2(spacing / resolution)) + 1))
 
 
+def levels_needed(spacing: float, resolution: Column) -> Column:
+    """How many levels a resolution asks for, as levels_of() does: one more than there are halvings that are still coarser."""
+    return F.size(F.filter(F.sequence(F.lit(0), F.lit(62)), lambda k: F.lit(float(spacing)) / F.pow(F.lit(2.0), k.cast("double")) > resolution)) + 1
+
+
 def parse_levels(text: str) -> range:
     """``n``, ``a:b``, ``a..b`` or ``a..=b``."""
     for mark, more in (("..=", 1), ("..", 0), (":", 0)):
@@ -212,8 +263,11 @@ def query_octree(spark: SparkSession, path: str, side: float, lo, hi, levels: ra
 
     Cells of the box become partition filters, so other folders are not read; the index decides which nodes of them count.
     """
-    levels = levels or (levels_of(spacing, resolution) if resolution else range(0, 64))
-    nodes = spark.read.parquet(f"{path}/nodes").where((F.col("level") >= levels.start) | (F.col("level") < levels.stop))
+    if levels is not None and resolution is not None:
+        raise ValueError("levels or a resolution, not both")
+    if levels is None:
+        levels = levels_of(spacing, resolution) if resolution else range(0, 64)
+    nodes = spark.read.parquet(f"{path}/nodes").where(F.col("level") < levels.stop)
     cells = []
     for lv in range(0, KEY_LEVEL + 1):
         own = side / 2.0**lv

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from .fixtures import ROOT_SIDE, duck, events, octree, points
 from .functions import exprs
 from .operators import cloud, spatial, stats, waveform
 from .operators.cloud import PointCloud
-from .sources import las, lasfile, scratch
+from .sources import las, lasfile, lasformat, octreefile, onefile, scratch, wdp
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -61,7 +62,7 @@ def _o(name: str, sql: str, views: str = "O"):
 
 _p("scan_points", f"SELECT {_P_COLS} FROM P")(lambda c: c.df)
 _p("scan_empty", f"SELECT {_P_COLS} FROM P WHERE 1 = 0")(lambda c: c.df.where(F.lit(False)))
-_add("zeros", "SELECT CAST(range AS BIGINT) AS point_idx, 0 AS X, 0 AS Y, 0 AS Z, 0 AS intensity, CAST(0 AS DOUBLE) AS gps_time FROM range(1000)", "")(lambda s, d: s.range(1000).select(F.col("id").alias("point_idx"), *[F.lit(0).alias(n) for n in ("X", "Y", "Z", "intensity")], F.lit(0.0).alias("gps_time")))
+_p("zeros", "SELECT 0 AS X, 0 AS Y, 0 AS Z, 0 AS intensity, CAST(0 AS DOUBLE) AS gps_time FROM P")(lambda c: cloud.zeros_like(c).df.select("X", "Y", "Z", "intensity", "gps_time"))
 _p("project_dims", f"SELECT X, Y, intensity, {_CLS} AS classification FROM P")(lambda c: c.select("X", "Y", "intensity", "classification"))
 _p("alias_project", f"SELECT {_RN} AS return_num, (bit_fields & 56) >> 3 AS num_returns, point_source_id AS pt_src_id, bit_fields AS flag_byte FROM P")(lambda c: c.select("return_num", "num_returns", "pt_src_id", "flag_byte"))
 _p("selective_projection", f"SELECT X, Y, {_RN} AS return_number, {_CLS} AS classification, intensity FROM P")(lambda c: c.select("X", "Y", "return_number", "classification", "intensity"))
@@ -79,7 +80,7 @@ _p("cmp_scaled_raw", "SELECT X, Y FROM P WHERE X >= 1001")(lambda c: c.df.where(
 _p("ground_points", f"SELECT X, Y, Z FROM P WHERE {_CLS} = 2")(lambda c: c.filter("classification == 2").df.select("X", "Y", "Z"))
 _p("last_return", f"SELECT X, Y, Z FROM P WHERE {_RN} = (bit_fields & 56) >> 3")(lambda c: c.df.where(c.column("return_number") == c.column("number_of_returns")).select("X", "Y", "Z"))
 _MASKS = sorted({m for b in (dims.OLD_BITS, dims.NEW_BITS) for _, m in b.values()})
-_add("mask_bits", "SELECT m AS mask, CAST(bit_count((m & (-m)) - 1) AS INT) AS lsb, CAST(bit_count(m) AS INT) AS bits FROM (SELECT CAST(unnest([" + ", ".join(map(str, _MASKS)) + "]) AS INT) AS m) AS q", "")(lambda s, d: s.createDataFrame([(m,) for m in _MASKS], "mask int").select("mask", F.bit_count(F.col("mask").bitwiseAND(-F.col("mask")) - 1).cast("int").alias("lsb"), F.bit_count("mask").cast("int").alias("bits")))
+_p("mask_bits", "SELECT DISTINCT v, CAST(bit_count((v & (-v)) - 1) AS INT) AS lsb, CAST(bit_count(v) AS INT) AS bits, " + ", ".join(f"CAST(bit_count(v & {m}) AS INT) AS m{m}" for m in _MASKS) + " FROM (SELECT bit_fields AS v FROM P UNION ALL SELECT raw_classification FROM P) AS q WHERE v > 0")(lambda c: c.df.select("bit_fields").union(c.df.select("raw_classification")).toDF("v").where("v > 0").distinct().select("v", exprs.lowest_bit(F.col("v")).alias("lsb"), exprs.popcount(F.col("v")).alias("bits"), *[exprs.popcount(F.col("v").bitwiseAND(F.lit(m))).alias(f"m{m}") for m in _MASKS]))
 _e("format_flags", "SELECT b, CASE WHEN (b & 192) = 128 THEN 1 ELSE 0 END AS compressed, b & 63 AS plain, b | 128 AS marked FROM (SELECT DISTINCT CAST(point_idx % 256 AS INT) AS b FROM E) AS q")(lambda e: e.select((F.col("point_idx") % 256).cast("int").alias("b")).distinct().select("b", exprs.is_compressed_format(F.col("b")).alias("compressed"), exprs.plain_format(F.col("b")).alias("plain"), exprs.mark_compressed(F.col("b")).alias("marked")))
 _e("encoding_flags", "SELECT g, " + ", ".join(f"CASE WHEN (g & {b}) <> 0 THEN 1 ELSE 0 END AS {n}" for n, b in exprs.ENCODING_BITS.items()) + " FROM (SELECT DISTINCT CAST(point_idx % 128 AS INT) AS g FROM E) AS q")(lambda e: e.select((F.col("point_idx") % 128).cast("int").alias("g")).distinct().select("g", *[exprs.encoding_flag(F.col("g"), n).alias(n) for n in exprs.ENCODING_BITS]))
 
@@ -118,10 +119,12 @@ _add("scaled_vector", "SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 2 + 10 AS s
 _add("vector_element", "SELECT vec_id, embedding[1] AS e0, embedding[64] AS e63 FROM embeddings", "")(lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.get("embedding", F.lit(0)).alias("e0"), F.get("embedding", F.lit(63)).alias("e63")))
 _p("dim_arithmetic", "SELECT X + Y AS a, X - Y AS b, intensity * 3 AS c, (intensity + 250) % 256 AS wrapped, CAST(floor(CAST(Z AS DOUBLE) / 7) AS BIGINT) AS q FROM P")(lambda c: c.df.select((F.col("X") + F.col("Y")).alias("a"), (F.col("X") - F.col("Y")).alias("b"), (F.col("intensity") * 3).alias("c"), exprs.wrap_unsigned(F.col("intensity") + 250, 8).alias("wrapped"), F.floor(F.col("Z").cast("double") / 7).cast("long").alias("q")))
 _p("convert_format", f"SELECT X, Y, Z, intensity, {_RN} AS return_number, (raw_classification & 32) >> 5 AS synthetic, 0 AS overlap, 0 AS scanner_channel, {_CLS} AS classification, user_data, 0 AS scan_angle, point_source_id, gps_time, red FROM P")(lambda c: c.convert(7).df.select("X", "Y", "Z", "intensity", *[F.col(n).cast("int").alias(n) for n in ("return_number", "synthetic", "overlap", "scanner_channel", "classification", "user_data", "scan_angle")], "point_source_id", "gps_time", "red"))
-_add("lost_dimensions", "SELECT * FROM (VALUES (1, 0, 'gps_time'), (2, 0, 'blue,green,red'), (3, 0, 'blue,gps_time,green,red'), (0, 1, ''), (8, 7, 'nir')) AS t(from_format, to_format, lost)", "")(lambda s, d: s.createDataFrame([(a, b, dims.dimension_names(a), dims.dimension_names(b)) for a, b in ((1, 0), (2, 0), (3, 0), (0, 1), (8, 7))], "from_format int, to_format int, a array<string>, b array<string>").select("from_format", "to_format", F.array_join(F.array_sort(F.array_except("a", "b")), ",").alias("lost")))
+_LOST = ", ".join(f"({a}, {b}, '{','.join(sorted(dims.lost_dimensions(a, b)))}')" for a in dims.FORMATS for b in dims.FORMATS)
+_e("lost_dimensions", f"SELECT from_format, to_format, lost, COUNT(*) AS n FROM (SELECT CAST(point_idx % 11 AS INT) AS from_format, CAST(point_idx // 11 % 11 AS INT) AS to_format FROM E) AS q JOIN (VALUES {_LOST}) AS t(a, b, lost) ON a = from_format AND b = to_format GROUP BY 1, 2, 3")(lambda e: cloud.with_lost_dimensions(e.select((F.col("point_idx") % 11).cast("int").alias("from_format"), (F.floor(F.col("point_idx") / 11) % 11).cast("int").alias("to_format")).groupBy("from_format", "to_format").agg(F.count(F.lit(1)).alias("n"))).select("from_format", "to_format", "lost", "n"))
 _RESCALE = [("X", 0.01, 100, 0.05, 20), ("Y", 0.001, 0, 0.01, -5), ("Z", 0.01, 0, 0.1, 7)]
 _p("change_scaling", "SELECT " + ", ".join(f"CAST(round_even((({a} * CAST({s} AS DOUBLE) + CAST({o} AS DOUBLE)) - CAST({o2} AS DOUBLE)) / CAST({s2} AS DOUBLE), 0) AS INT) AS {a}" for a, s, o, s2, o2 in _RESCALE) + " FROM P")(lambda c: c.rescaled((0.05, 0.01, 0.1), (20.0, -5.0, 7.0)).df.select("X", "Y", "Z"))
-_p("union_rescaled", "SELECT X, Y, Z FROM P UNION ALL SELECT " + ", ".join(f"CAST(round_even((({a} * CAST(0.5 AS DOUBLE) + CAST(10 AS DOUBLE)) - CAST({o} AS DOUBLE)) / CAST({s} AS DOUBLE), 0) AS INT) AS {a}" for a, s, o in (("X", 0.01, 100), ("Y", 0.001, 0), ("Z", 0.01, 0))) + " FROM P WHERE X < 20000 AND Y < 20000 AND Z < 2000000")(lambda c: c.append(PointCloud(c.df.where("X < 20000 AND Y < 20000 AND Z < 2000000"), 3, (0.5, 0.5, 0.5), (10.0, 10.0, 10.0))).df.select("X", "Y", "Z"))
+_SECOND = ((0.02, 0.002, 0.02), (110.0, 1.0, 10.0))  # scales that hold all rows
+_p("union_rescaled", "SELECT X, Y, Z FROM P UNION ALL SELECT " + ", ".join(f"CAST(round_even((({a} * CAST({s2} AS DOUBLE) + CAST({o2} AS DOUBLE)) - CAST({o} AS DOUBLE)) / CAST({s} AS DOUBLE), 0) AS INT) AS {a}" for a, s, o, s2, o2 in zip("XYZ", (0.01, 0.001, 0.01), (100, 0, 0), *_SECOND, strict=True)) + " FROM P")(lambda c: c.append(PointCloud(c.df, 3, *_SECOND)).df.select("X", "Y", "Z"))
 _p("append_union", f"SELECT {_P_COLS} FROM P WHERE {_CLS} = 2 UNION ALL SELECT {_P_COLS} FROM P WHERE {_CLS} <> 2")(lambda c: c.filter("classification == 2").append(c.filter("classification != 2")).df)
 
 
@@ -180,7 +183,7 @@ _KNN = "(a.gps_time - b.gps_time) * (a.gps_time - b.gps_time) + (CAST(a.Z AS DOU
 @_add("knn_k5", f'SELECT query, id, "rank", d2 FROM (SELECT a.point_idx AS query, b.point_idx AS id, {_KNN} AS d2, CAST(row_number() OVER (PARTITION BY a.point_idx ORDER BY {_KNN}, b.point_idx) AS INT) AS "rank" FROM E a JOIN E b ON a.point_idx <> b.point_idx WHERE a.point_idx % 50 = 0) AS q WHERE "rank" <= 5', "E")
 def _knn(s: SparkSession, d: str) -> DataFrame:
     e = events(s, d).select(F.col("point_idx").alias("id"), F.col("gps_time").alias("x"), F.col("Z").cast("double").alias("y"))
-    return spatial.nearest(e, e.where("id % 50 = 0").withColumnRenamed("id", "query"), 5, 4.0)
+    return spatial.nearest(e, e.where("id % 50 = 0").withColumnRenamed("id", "query"), 5)
 
 
 _e("topk_nearest", "SELECT point_idx, sqrt((X - CAST(30000 AS DOUBLE)) * (X - CAST(30000 AS DOUBLE)) + (Y - CAST(5000 AS DOUBLE)) * (Y - CAST(5000 AS DOUBLE))) AS d FROM E ORDER BY d, point_idx LIMIT 5")(lambda e: e.select("point_idx", spatial.distance({"X": 30000, "Y": 5000}).alias("d")).orderBy("d", "point_idx").limit(5))
@@ -189,7 +192,7 @@ _o("octree_index", "SELECT level, COUNT(*) AS nodes, CAST(sum(point_count) AS BI
 _o("voxel_children", "SELECT CAST(level + 1 AS INT) AS level, CAST(vx * 2 + (k & 1) AS INT) AS vx, CAST(vy * 2 + ((k >> 1) & 1) AS INT) AS vy, CAST(vz * 2 + ((k >> 2) & 1) AS INT) AS vz FROM O, range(8) AS r(k)")(lambda o: spatial.children(o))
 _SIDE = "(CAST(2097152 AS DOUBLE) / power(CAST(2 AS DOUBLE), CAST(level AS DOUBLE)))"
 _o("voxel_bounds", "SELECT level, vx, vy, vz, " + ", ".join(f"v{a} * {_SIDE} AS {a}_min, (v{a} + 1) * {_SIDE} AS {a}_max" for a in "xyz") + " FROM O")(lambda o: spatial.node_bounds(o, ROOT_SIDE))
-_add("resolution_levels", "SELECT r AS resolution, CAST(greatest(1, ceil(log2(CAST(100 AS DOUBLE) / r)) + 1) AS INT) AS levels FROM (SELECT CAST(unnest([200, 100, 50, 30, 12, 1]) AS DOUBLE) AS r) AS q", "")(lambda s, d: s.createDataFrame([(float(r), len(spatial.levels_of(100.0, r))) for r in (200, 100, 50, 30, 12, 1)], "resolution double, levels int"))
+_e("resolution_levels", "SELECT r AS resolution, CAST(1 + len(list_filter(range(0, 63), lambda k: CAST(100 AS DOUBLE) / power(CAST(2 AS DOUBLE), k) > r)) AS INT) AS levels, COUNT(*) AS n FROM (SELECT CAST(point_idx % 997 + 1 AS DOUBLE) / 8 AS r FROM E) AS q GROUP BY 1, 2")(lambda e: e.select(((F.col("point_idx") % 997 + 1).cast("double") / 8).alias("resolution")).groupBy("resolution").agg(F.count(F.lit(1)).alias("n")).select("resolution", spatial.levels_needed(100.0, F.col("resolution")).alias("levels"), "n"))
 _BOX = ((0.0, 0.0, 0.0), (150000.0, 90000.0, 600000.0))
 _HIT = " AND ".join(f"v{a} * {_SIDE} <= {hi} AND (v{a} + 1) * {_SIDE} >= {lo}" for a, lo, hi in zip("xyz", *_BOX, strict=True))
 _REACH = f"(WITH RECURSIVE r AS (SELECT * FROM O WHERE level = 0 AND {_HIT} UNION ALL SELECT c.* FROM r JOIN (SELECT * FROM O WHERE {_HIT}) c ON c.level = r.level + 1 AND c.vx >> 1 = r.vx AND c.vy >> 1 = r.vy AND c.vz >> 1 = r.vz) SELECT * FROM r)"
@@ -243,16 +246,16 @@ _e("waveform_repack", f"SELECT point_idx, wavepacket_index, CAST(COALESCE(n * wa
 
 _add("class_lookup", f"SELECT p.classification, COALESCE(substr(n_name, 1, 15), '') AS label, n FROM (SELECT {_CLS} AS classification, COUNT(*) AS n FROM P GROUP BY 1) p LEFT JOIN nation ON n_nationkey = classification", "P")(lambda s, d: (lambda c: stats.counts(c.df, c.column("classification"), "classification").join(s.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("classification"), F.substring("n_name", 1, 15).alias("label")), "classification", "left").select("classification", F.coalesce("label", F.lit("")).alias("label"), "n"))(points(s, d)))
 _add("class_label_clean", "SELECT n_nationkey, substr(regexp_replace(n_name || '_#' || n_nationkey, '[^A-Za-z0-9 ]', '', 'g'), 1, 15) AS label FROM nation", "")(lambda s, d: s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", exprs.class_label(F.concat("n_name", F.lit("_#"), F.col("n_nationkey").cast("string"))).alias("label")))
-_VLRS = [("LASF_Spec", 0, "classes"), ("LASF_Spec", 3, "text"), ("LASF_Projection", 2112, "wkt"), ("LASF_Projection", 34735, "keys"), ("copc", 1, "info"), ("LASF_Spec", 100, "wave")]
 
 
-@_add("vlr_lookup", "SELECT * FROM (VALUES " + ", ".join(map(str, _VLRS)) + ") AS t(user_id, record_id, description) WHERE user_id = 'LASF_Spec' AND record_id BETWEEN 0 AND 99", "")
+@_add("vlr_lookup", "SELECT CASE WHEN n_regionkey % 2 = 0 THEN 'LASF_Spec' ELSE 'LASF_Projection' END AS user_id, CAST(n_nationkey * 7 AS INT) AS record_id, n_name AS description, n_regionkey >= 3 AS late FROM nation WHERE n_regionkey % 2 = 0 AND n_nationkey * 7 BETWEEN 0 AND 99", "")
 def _vlrs(s: SparkSession, d: str) -> DataFrame:
-    """Records of a file that is written with all of them, the last as an extended one."""
+    """Records made of the nations, written to files, some of them as extended ones, and looked up by user and range of ids."""
     path = scratch.folder(s, "vlrs")
-    empty = PointCloud(s.createDataFrame([], "X int, Y int, Z int"), 6, version="1.4")
-    las.write(empty, path, [lasfile.Record(u, i, t, b"", extended=k == len(_VLRS) - 1) for k, (u, i, t) in enumerate(_VLRS)])
-    return las.vlrs(s, path).where("user_id = 'LASF_Spec' AND record_id BETWEEN 0 AND 99").select("user_id", "record_id", "description")
+    rows = s.read.parquet(f"{d}/nation.parquet").limit(1 << 15).collect()  # a header is made on the driver; so many records it holds at most
+    records = [lasfile.Record("LASF_Spec" if r.n_regionkey % 2 == 0 else "LASF_Projection", r.n_nationkey * 7, r.n_name, r.n_name.encode(), r.n_regionkey >= 3) for r in rows]
+    las.write(PointCloud(s.createDataFrame([], "X int, Y int, Z int"), 6, version="1.4"), path, records)
+    return las.vlrs(s, path).where("user_id = 'LASF_Spec' AND record_id BETWEEN 0 AND 99").select("user_id", "record_id", "description", "late")
 
 
 @_add("file_filter_convert", f"SELECT X, Y, Z, intensity, {_RN} AS return_number, {_CLS} AS classification, gps_time, red FROM P WHERE {_CLS} IN (2, 3) AND intensity > 20", "P")
@@ -269,3 +272,54 @@ _p("recursive_tiles", "SELECT * FROM (WITH RECURSIVE t AS (SELECT X, Y, 0 AS lv,
 _e("set_encoding_flags", "SELECT DISTINCT CAST(point_idx % 128 AS INT) AS g, CAST(point_idx % 128 AS INT) | 65 AS with_offset, CAST(point_idx % 128 AS INT) & 65519 AS no_wkt FROM E")(lambda e: e.select((F.col("point_idx") % 128).cast("int").alias("g")).distinct().select("g", exprs.set_encoding_flag(F.col("g"), "gps_offset").alias("with_offset"), exprs.set_encoding_flag(F.col("g"), "wkt", False).alias("no_wkt")))
 _e("doy_date", "SELECT y, dy, CASE WHEN dy >= 1 AND year(make_date(y, 1, 1) + (dy - 1)) = y THEN strftime(make_date(y, 1, 1) + (dy - 1), '%Y-%m-%d') ELSE '' END AS created FROM (SELECT DISTINCT CAST(2000 + point_idx % 25 AS INT) AS y, CAST(point_idx % 370 AS INT) AS dy FROM E) AS q")(lambda e: e.select((2000 + F.col("point_idx") % 25).cast("int").alias("y"), (F.col("point_idx") % 370).cast("int").alias("dy")).distinct().select("y", "dy", F.coalesce(F.date_format(exprs.doy_date(F.col("y"), F.col("dy")), "yyyy-MM-dd"), F.lit("")).alias("created")))
 _add("c_string", "SELECT n_nationkey, split_part(n_name || chr(0) || 'rest', chr(0), 1) AS s FROM nation", "")(lambda s, d: s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", exprs.c_string(F.concat("n_name", F.lit("\u0000rest"))).alias("s")))
+
+
+# --------------------------------------------------------------------------------------------------- file formats
+
+
+def _numbered_events(s: SparkSession, d: str) -> PointCloud:
+    """E in order of its ids, with the id as a user dimension."""
+    e = events(s, d).withColumn("event", F.col("point_idx")).orderBy("point_idx").drop("point_idx", "extra0")
+    records = tuple(lasfile.pack_wave_descriptor(k, 16, 64, 1000) for k in range(1, 8))
+    return PointCloud(e, 4, (0.001, 0.01, 1.0), version="1.3", extra=(dims.ExtraDim("event", "i8"),), records=records)
+
+
+@_add("las_pushdown", "SELECT point_idx, X, Y, Z FROM (SELECT row_number() OVER (ORDER BY point_idx) - 1 AS point_idx, X, Y, Z FROM E) AS q WHERE point_idx >= 100 AND X BETWEEN 2000 AND 9000", "E")
+def _pushdown(s: SparkSession, d: str) -> DataFrame:
+    """One file, read by the las format with filters on an index and a coordinate that reach the source."""
+    path = f"{scratch.folder(s, 'las')}/e.las"
+    onefile.write_file(_numbered_events(s, d), path)
+    return lasformat.table(s, path, "point_idx", "X", "Y", "Z").where("point_idx >= 100 AND X BETWEEN 2000 AND 9000").select("point_idx", "X", "Y", "Z")
+
+
+@_add("one_file_append", f"SELECT X, Y, Z, intensity, gps_time FROM P UNION ALL SELECT {', '.join(f'CAST(round_even((({a} * CAST({s2} AS DOUBLE) + CAST({o2} AS DOUBLE)) - CAST({o} AS DOUBLE)) / CAST({sc} AS DOUBLE), 0) AS INT)' for a, sc, o, s2, o2 in zip('XYZ', (0.01, 0.001, 0.01), (100, 0, 0), *_SECOND, strict=True))}, intensity, gps_time FROM P WHERE {_CLS} = 2", "P")
+def _one_file(s: SparkSession, d: str) -> DataFrame:
+    """One file of all points, then ground points of other scales behind them, in the file."""
+    c, path = points(s, d).unpacked(), f"{scratch.folder(s, 'las')}/p.las"
+    onefile.write_file(c, path)
+    onefile.append_file(PointCloud(c.filter("classification == 2").df, 3, *_SECOND), path)
+    return las.load(s, path).df.select("X", "Y", "Z", "intensity", "gps_time")
+
+
+_SAMPLE = "CAST(floor((CAST(COALESCE(embedding[{}], -1) AS DOUBLE) + 1) * 1000) AS INT)"
+
+
+@_add("payload_gather", f"SELECT event, wavepacket_offset, s0, s63 FROM (SELECT e.point_idx AS event, CAST(COALESCE(n * 128, 0) AS BIGINT) AS wavepacket_offset, CASE WHEN n IS NULL THEN 0 ELSE {_SAMPLE.format(1)} END AS s0, CASE WHEN n IS NULL THEN 0 ELSE {_SAMPLE.format(64)} END AS s63 FROM E e LEFT JOIN (SELECT packet, row_number() OVER (ORDER BY packet) - 1 AS n FROM (SELECT DISTINCT point_idx % 500 AS packet FROM E WHERE wavepacket_index <> 0) AS a) AS b ON wavepacket_index <> 0 AND packet = e.point_idx % 500 LEFT JOIN embeddings ON vec_id = packet) AS q", "E")
+def _payload(s: SparkSession, d: str) -> DataFrame:
+    """Events and embeddings, as samples of 16 bits, to a file and its payload, and back."""
+    c, path = _numbered_events(s, d), f"{scratch.folder(s, 'las')}/e.las"
+    df = c.df.withColumns({"wavepacket_offset": F.col("event") % 500 * 128, "wavepacket_size": F.lit(128).cast("long")})
+    waves = s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("packet"), F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 1000).cast("int")).alias("waveform"))
+    wdp.write(replace(c, df=df), waves, path)
+    return wdp.load(s, path).df.select("event", "wavepacket_offset", F.col("waveform")[0].alias("s0"), F.col("waveform")[63].alias("s63"))
+
+
+_e("sampled_levels", "SELECT point_idx, CAST(min(lv) AS INT) AS level FROM (SELECT point_idx, lv, row_number() OVER (PARTITION BY lv, floor(X / (1048576 / power(2, lv) / 8)), floor(Y / (1048576 / power(2, lv) / 8)), floor(Z / (1048576 / power(2, lv) / 8)) ORDER BY point_idx * 7919 % 1000003, point_idx) AS rn FROM E, range(7) AS r(lv)) AS q WHERE rn = 1 OR lv = 6 GROUP BY 1")(lambda e: spatial.sampled_levels(e.select("point_idx", "X", "Y", "Z"), [F.col(a) for a in "XYZ"], 1048576.0, 6, 8, F.struct((F.col("point_idx") * 7919 % 1000003).alias("a"), "point_idx")).select("point_idx", "level"))
+
+
+@_add("octree_file_query", "SELECT X, Y, Z, intensity FROM P WHERE X BETWEEN 5000 AND 90000 AND Y BETWEEN 1000 AND 50000 AND Z BETWEEN 100000 AND 3000000", "P")
+def _octree_file(s: SparkSession, d: str) -> DataFrame:
+    """An octree file of all points, whose pages and nodes under a box alone are read."""
+    path = f"{scratch.folder(s, 'las')}/p.las"
+    octreefile.write(points(s, d).unpacked().convert(7), path, 6)
+    return octreefile.query(s, path, (150.0, 1.0, 1000.0), (1000.0, 50.0, 30000.0), names=["intensity"]).df.select("X", "Y", "Z", "intensity")

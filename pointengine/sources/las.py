@@ -109,12 +109,12 @@ def vlrs(spark: SparkSession, path: str) -> DataFrame:
     """One row a metadata record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("path", pa.string()), ("user_id", pa.string()), ("record_id", pa.int32()), ("description", pa.string()), ("data", pa.binary())])
+        kind = pa.schema([("path", pa.string()), ("user_id", pa.string()), ("record_id", pa.int32()), ("description", pa.string()), ("data", pa.binary()), ("late", pa.bool_())])
         for b in batches:
-            rows = [{"path": p, "user_id": r.user_id, "record_id": r.record_id, "description": r.description, "data": r.data} for _, p, f in _opened(b) for r in lasfile.Header.read(*_beginning(f, True)).records]
+            rows = [{"path": p, "user_id": r.user_id, "record_id": r.record_id, "description": r.description, "data": r.data, "late": r.extended} for _, p, f in _opened(b) for r in lasfile.Header.read(*_beginning(f, True)).records]
             yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
-    return _listed(spark, path).mapInArrow(run, "path string, user_id string, record_id int, description string, data binary")
+    return _listed(spark, path).mapInArrow(run, "path string, user_id string, record_id int, description string, data binary, late boolean")
 
 
 def _array(v: np.ndarray, t: T.DataType) -> pa.Array:

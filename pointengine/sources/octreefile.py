@@ -52,8 +52,9 @@ def write(cloud: PointCloud, path: str, depth: int, cells: int = 32, priority: s
     lo = [0, 0, 0] if lo[0] is None else lo
     hi = lo if hi[0] is None else hi
     low = [min(a * s, b * s) + o for a, b, s, o in zip(lo, hi, cloud.scales, cloud.offsets, strict=True)]
-    side = max(max(abs(b - a) * s for a, b, s in zip(lo, hi, cloud.scales, strict=True)), min(cloud.scales)) * (1 + 2.0**-20)
-    own = {a: F.col(a) * F.lit(s) + F.lit(o - at) for a, s, o, at in zip(AXES, cloud.scales, cloud.offsets, low, strict=True)}
+    side = max(max((b - a) * abs(s) for a, b, s in zip(lo, hi, cloud.scales, strict=True)), min(map(abs, cloud.scales))) * (1 + 2.0**-20)
+    # from the root's corner, in whole numbers first: the point at the corner is at 0 and not just below
+    own = {a: (F.col(a).cast("long") - F.lit(x if s > 0 else y)) * F.lit(s) for a, s, x, y in zip(AXES, cloud.scales, lo, hi, strict=True)}
     order = F.col(priority) if priority else F.xxhash64(*AXES)
     levelled = spatial.sampled_levels(cloud.df.withColumns({f"_{a}": v for a, v in own.items()}), [F.col(f"_{a}") for a in AXES], side, depth, cells, order)
     keyed = levelled.select("*", *spatial.voxel(F.col("level"), *[F.col(f"_{a}") for a in AXES], side))
@@ -188,7 +189,8 @@ def _box(info: dict, lo, hi) -> tuple[list[float], list[float], float]:
     """The box from the root's corner."""
     corner = [c - info["halfsize"] for c in info["center"]]
     full = (tuple(lo) + (-math.inf,))[:3], (tuple(hi) + (math.inf,))[:3]  # a box of two axes holds every height
-    return [a - c for a, c in zip(full[0], corner, strict=True)], [b - c for b, c in zip(full[1], corner, strict=True)], 2 * info["halfsize"]
+    room = 1e-9 * (info["halfsize"] + max(map(abs, info["center"])))  # for rounding
+    return [a - c - room for a, c in zip(full[0], corner, strict=True)], [b - c + room for b, c in zip(full[1], corner, strict=True)], 2 * info["halfsize"]
 
 
 def index(spark: SparkSession, path: str, box: tuple | None = None, stop: int | None = None) -> DataFrame:

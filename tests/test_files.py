@@ -156,6 +156,23 @@ def test_nearest_is_exact(spark):
     assert spatial.nearest(p.limit(0), p.withColumnRenamed("id", "query"), 3, 1.0).count() == 0
 
 
+@pytest.mark.parametrize("k", [1, 3, 600])
+def test_nearest_in_space(spark, k):
+    """Three axes, clusters of very different density, a place that many points share, fewer points than are asked for."""
+    rng = random.Random(5)
+    rows = [(i, rng.gauss(0, 1e-4), rng.gauss(0, 1e-4), rng.gauss(0, 1e-4)) for i in range(200)] + [(200 + i, rng.uniform(0, 1000), rng.uniform(0, 1000), rng.uniform(0, 10)) for i in range(200)] + [(400 + i, 7.0, 7.0, 7.0) for i in range(100)]
+    p = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    outside = [(10000 + 10 * i, x, y, z) for i, (x, y, z) in enumerate([(-1e5, 3.0, 3.0), (1001.0, 1001.0, 10.5), (-0.01, 0.0, 0.0), (500.0, 1e7, 5.0), (999.0, -3.0, 4.0)])]
+    q = spark.createDataFrame([r for r in rows if r[0] % 10 == 0] + outside, "query long, x double, y double, z double")
+    got = {}
+    for r in spatial.nearest(p, q, k).collect():
+        got.setdefault(r.query, []).append((r["rank"], r.id, r.d2))
+    for q, x, y, z in rows + outside:
+        if q % 10 == 0:
+            best = sorted(((a - x) * (a - x) + (b - y) * (b - y) + (c - z) * (c - z), i) for i, a, b, c in rows if i != q)[:k]
+            assert [(i, d) for _, i, d in sorted(got[q])] == [(i, d) for d, i in best]
+
+
 def test_ranks_and_runs(spark):
     v = [-5, -4, 0, 7, 8, 9, 10**12]
     df = spark.createDataFrame([(x,) for x in reversed(v)], "v long")

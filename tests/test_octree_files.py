@@ -12,12 +12,15 @@ from pointengine.operators.cloud import PointCloud
 from pointengine.sources import las, lasfile, lasformat, octreefile, onefile
 
 
+SCALES = (0.5, 0.5, 0.5)
+
+
 def made(spark, n=4000, fmt=7, seed=4):
     rng = random.Random(seed)
     rows = [(rng.randrange(4096), rng.randrange(4096), rng.randrange(256), i, float(i)) for i in range(n)] + [(5, 5, 5, n + i, 1.0) for i in range(300)]
     df = spark.createDataFrame(rows, "X int, Y int, Z int, intensity int, gps_time double")
     zero = [F.lit(0).alias(d) for d in dims.dimension_names(fmt) if d not in ("X", "Y", "Z", "intensity", "gps_time")]
-    return rows, PointCloud(df.select("*", *zero), fmt, (0.5, 0.5, 0.5), (10.0, 20.0, 30.0), "1.4", records=(lasfile.Record("me", 1, "", b"abc"), lasfile.Record("me", 2, "", b"late" * 50, True)))
+    return rows, PointCloud(df.select("*", *zero), fmt, SCALES, (10.0, 20.0, 30.0), "1.4", records=(lasfile.Record("me", 1, "", b"abc"), lasfile.Record("me", 2, "", b"late" * 50, True)))
 
 
 def test_sampled_levels(spark):
@@ -121,3 +124,13 @@ def test_no_octree_file(spark, tmp_path):
     assert octreefile.query(spark, path).df.count() == 0
     with pytest.raises(IncompatibleData):
         octreefile.write(PointCloud(cloud.df, 3), path, 3)
+
+
+def test_corners(spark, tmp_path):
+    """Scales and offsets that binary fractions do not hold: points at the root's borders are in it."""
+    rows = [(x, y, 91444 + z, x + y) for x in (1, 50, 19907) for y in (1, 9007) for z in (0, 77, 10408374)]
+    cloud = PointCloud(spark.createDataFrame(rows, "X int, Y int, Z int, intensity int").withColumn("gps_time", F.lit(1.0)), 6, (0.01, 0.001, -0.01), (100.0, 0.0, 0.1), "1.4")
+    path = str(tmp_path / "c.las")
+    octreefile.write(cloud, path, 4)
+    assert sorted((r.X, r.Y, r.Z) for r in octreefile.query(spark, path).df.collect()) == sorted(r[:3] for r in rows)
+    assert min(min(r.vx, r.vy, r.vz) for r in octreefile.index(spark, path).collect()) == 0
