@@ -1,8 +1,8 @@
 """Operator 2: approximate nearest neighbours by NN-descent and greedy graph search.
 
-Equal vectors are one node.  A first graph comes from random-projection leaves of bounded size; NN-descent then
-joins every node's neighbours, forward and backward, with each other and keeps each node's best, until hardly a link
-changes.  Queries walk the graph greedily: they open the best nodes not yet opened until their best list holds no such
+Equal vectors are one node.  Three small random-projection trees give a first graph, which holds few true neighbours; NN-descent then
+joins every node's neighbours, forward and backward, with each other and keeps each node's best, round after round, until hardly a link
+changes: that is where the graph comes from.  Queries walk the graph greedily: they open the best nodes not yet opened until their best list holds no such
 node.  The recall of a sample of queries is measured against brute force; while it is too low, lists are widened and the
 walks go on from where they stand.  Scores on the way use half-precision copies; what is returned is measured again in
 double precision on the original vectors.
@@ -10,6 +10,7 @@ double precision on the original vectors.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,20 +21,17 @@ from pyspark.sql.window import Window
 
 from .common import discard, join_counted, materialise
 
-NEIGHBOURS = 32
-#: Trees: a number for each doubling of the nodes beyond TREES_FROM, and LEAST_TREES at least; without structure to follow, as
-#: among independent normal vectors, a graph needs more of them the more nodes there are.
-TREES, TREES_FROM, LEAST_TREES = 4, 640, 12
-#: Nodes of a leaf, at most; small tables have smaller leaves, so that the descent has its part at any size.
-LEAF, LEAST_LEAF = 2048, 64
+NEIGHBOURS = 48
+#: Trees of the start, and nodes of a leaf, at most; in small tables leaves are a START-th of all, so that trees measure few of the pairs at any size.
+TREES, LEAF, LEAST_LEAF, START = 3, 128, 12, 32
 #: Rounds of the descent, at most, and the share of changed links from which on there is no further one.
-ITERATIONS, CHANGED = 5, 0.03
+ITERATIONS, CHANGED = 10, 0.05
 #: Neighbours, forward and backward, that a node brings together in a round; the backward ones are a sample by hash.
-FORWARD, BACKWARD = 20, 12
+FORWARD, BACKWARD = 30, 24
 #: Partners that each of them keeps from one such meeting.
 PARTNERS = 10
 #: Nodes in a query's list, and how many of the best of them are opened, to begin with.
-BEAM, OPENED = 96, 48
+BEAM, OPENED = 256, 128
 #: Queries whose recall is measured, and what it has to reach; until then the lists are doubled.
 MEASURED, RECALL = 64, 0.92
 
@@ -145,10 +143,9 @@ def _merged(old: DataFrame | None, new: DataFrame) -> tuple[DataFrame, float]:
 
 def build_graph(vecs: DataFrame, n: int, dim: int) -> DataFrame:
     """(node, ids, scores): the neighbours of every node (node, vec), best first."""
-    leaf = min(LEAF, max(LEAST_LEAF, n // 16))
+    leaf = min(LEAF, max(LEAST_LEAF, n // START))
     depth = max(0, int(np.ceil(np.log2(max(n, 1) / leaf))))
-    trees = max(LEAST_TREES, round(TREES * np.log2(max(n, 1) / TREES_FROM)))
-    planes = np.random.default_rng(17).normal(size=(trees if depth else 1, depth, dim)).astype(np.float32)
+    planes = np.random.default_rng(17).normal(size=(TREES if depth else 1, depth, dim)).astype(np.float32)
     dealt = vecs.mapInArrow(_leaves(planes), "tree int, leaf long, node long, vec binary")
     size = dealt.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(2.0 * leaf)).cast("int").alias("parts"))
     split = dealt.join(size, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
@@ -162,11 +159,17 @@ def build_graph(vecs: DataFrame, n: int, dim: int) -> DataFrame:
         old = graph
         graph, changed = _merged(old, met.select("met").mapInArrow(_meet, _LISTS))
         discard(old)
+        _release(graph)
         if changed < CHANGED:
             break
     return graph
 
 
+def _release(df: DataFrame) -> None:
+    """Lets Spark's cleaner drop the shuffle files of rounds whose result is written; it waits for the driver's garbage collection."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 _STATE = "query long, qvec binary, ids array<long>, scores array<float>, open array<long>"
 
 
@@ -213,7 +216,10 @@ def search(graph: DataFrame, vecs: DataFrame, queries: DataFrame, truth: DataFra
         front = materialise(state.select("query", F.explode(F.array_except(F.slice("ids", 1, opened), "open")).alias("node")))
         if not front.limit(1).count():
             held = state.agg(F.sum(F.size("open"))).first()[0] or 0
-            if truth is None or _recall(state, truth) >= RECALL or held == met:
+            recall = 1.0 if truth is None else _recall(state, truth)
+            if recall < RECALL and held == met:
+                warnings.warn(f"walks have opened all they reach, with a recall of {recall:.3f} and not {RECALL}", stacklevel=2)
+            if recall >= RECALL or held == met:
                 return state.select("query", "ids")
             met, beam, opened = held, 2 * beam, 2 * opened  # wider lists that open nothing more are the end
             continue
@@ -224,6 +230,7 @@ def search(graph: DataFrame, vecs: DataFrame, queries: DataFrame, truth: DataFra
         old = state
         state = materialise(old.join(found, "query", "left").mapInArrow(_advance(beam, opened), _STATE))
         discard(old, front)
+        _release(state)
 
 
 def exact_neighbours(nodes: DataFrame, asked: list[tuple[int, list[float]]], k: int) -> DataFrame:

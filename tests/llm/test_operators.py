@@ -9,6 +9,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from pointengine.llm import ctw, line_crf, near_dedup, nn_descent, packing, piece_scan, quality_pu, sharding, suffix_dedup, toxicity_fm
 from pointengine.llm.textbytes import Chunk
 
@@ -266,9 +268,36 @@ def test_neighbours(spark):
         assert [v for _, v, _ in sorted(found)] == want
 
 
-def test_nearest_over_many_leaves(spark, monkeypatch):
+def test_the_descent_makes_the_graph(spark, monkeypatch):
+    """Links and search with and without its rounds; the trees of the start measure few of the pairs."""
+    n = 3000
+    x = np.random.default_rng(6).normal(size=(n, 24)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    best = np.argsort(-s, 1)[:, :20]
+    vecs = spark.createDataFrame([(i, v.astype(np.float16).tobytes()) for i, v in enumerate(x)], "node long, vec binary").cache()
+    asked = vecs.where("node % 20 = 0").select(F.col("node").alias("query"), F.col("vec").alias("qvec"), "node")
+    monkeypatch.setattr(nn_descent, "BEAM", 24)
+    monkeypatch.setattr(nn_descent, "OPENED", 4)
+
+    def recalls():
+        graph = nn_descent.build_graph(vecs, n, 24)
+        links = np.mean([len(set(r.ids[:20]) & set(best[r.node].tolist())) for r in graph.collect()]) / 20
+        walks = np.mean([len(set(r.ids[:20]) & set(best[r.query].tolist())) for r in nn_descent.search(graph, vecs, asked).collect()]) / 20
+        return links, walks
+
+    links, walks = recalls()
+    monkeypatch.setattr(nn_descent, "ITERATIONS", 0)
+    links0, walks0 = recalls()
+    assert links >= 0.9 and walks >= 0.9 and links0 < 0.35 and walks0 < 0.75
+    for size in (500, 2000, 10_000, 51_282, 10**7):
+        leaf = min(nn_descent.LEAF, max(nn_descent.LEAST_LEAF, size // nn_descent.START))
+        assert nn_descent.TREES * leaf < 0.1 * size
+
+
+def test_nearest_over_many_leaves(spark):
     """More rows than a leaf takes, so trees, descent and search all have their part: recall against brute force."""
-    monkeypatch.setattr(nn_descent, "LEAF", 256)
     x = np.random.default_rng(4).normal(size=(3000, 24)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
