@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
 
@@ -40,6 +40,9 @@ class ExtraDim:
     offsets: tuple[float, ...] | None = None
     no_data: float | None = None
     description: str = ""
+    #: Raw extremes of each element, no-data left out, as files keep them; a cloud's own operations do not follow them.
+    mins: tuple[float, ...] | None = field(default=None, compare=False)
+    maxs: tuple[float, ...] | None = field(default=None, compare=False)
 
     def __post_init__(self) -> None:
         if len(self.name.encode()) > 32 or len(self.description.encode()) > 32:

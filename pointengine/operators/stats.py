@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..dims import ExtraDim
 from ..functions import exprs
 from .cloud import AXES, PointCloud
 
@@ -37,6 +39,29 @@ def without(value: Column, no_data: Iterable[float] | float) -> Column:
     return F.nullif(value, F.lit(no_data))
 
 
+def vector_extremes(df: DataFrame, dims_of: tuple[ExtraDim, ...]) -> DataFrame:
+    """One row with name__k__lo and name__k__hi of every element of user dimensions, raw, no-data and NaN left out: one aggregation."""
+    cols = []
+    for e in dims_of:
+        for k in range(e.count):
+            v = F.get(e.name, F.lit(k)) if e.count > 1 else F.col(e.name)
+            v = F.when(v != F.lit(e.no_data), v) if e.no_data is not None else v
+            v = F.when(~F.isnan(v), v) if e.kind[0] == "f" else v
+            cols += [F.min(v).alias(f"{e.name}__{k}__lo"), F.max(v).alias(f"{e.name}__{k}__hi")]
+    return df.agg(*cols)
+
+
+def extra_extremes(cloud: PointCloud) -> tuple[ExtraDim, ...]:
+    """The cloud's user dimensions with their extremes; none where an element has no value, or for more than three elements."""
+    few = tuple(e for e in cloud.extra if e.count <= 3 and e.name in cloud.df.columns)
+    if not few:
+        return cloud.extra
+    r = vector_extremes(cloud.df, few).first()
+    ends = {e.name: [tuple(r[f"{e.name}__{k}__{m}"] for k in range(e.count)) for m in ("lo", "hi")] for e in few}
+    full = {n for n, (lo, _) in ends.items() if None not in lo}
+    return tuple(replace(e, mins=ends[e.name][0] if e.name in full else None, maxs=ends[e.name][1] if e.name in full else None) for e in cloud.extra)
+
+
 def counts(df: DataFrame, key: Column, name: str) -> DataFrame:
     return df.groupBy(key.alias(name)).agg(F.count(F.lit(1)).alias("n"))
 

@@ -323,3 +323,14 @@ def _octree_file(s: SparkSession, d: str) -> DataFrame:
     path = f"{scratch.folder(s, 'las')}/p.las"
     octreefile.write(points(s, d).unpacked().convert(7), path, 6)
     return octreefile.query(s, path, (150.0, 1.0, 1000.0), (1000.0, 50.0, 30000.0), names=["intensity"]).df.select("X", "Y", "Z", "intensity")
+
+
+@_add("extra_dim_record", " UNION ALL ".join(f"SELECT '{n}' AS name, {k} AS element, CAST(min({v}) AS DOUBLE) AS lo, CAST(max({v}) AS DOUBLE) AS hi FROM E" for n, k, v in (("extra0", 0, "nullif(extra0, -10000)"), ("v", 0, "point_idx % 100"), ("v", 1, "Y % 77"), ("v", 2, "nullif(Z, 5)"))), "E")
+def _extremes(s: SparkSession, d: str) -> DataFrame:
+    """Extremes of a scalar and of a vector dimension with no-data values, as the records of written files have them."""
+    third = F.when(F.col("Z") == 5, -1).otherwise(F.col("Z"))
+    e = events(s, d).withColumn("v", F.array(F.col("point_idx") % 100 + 0, F.col("Y") % 77, third).cast("array<int>"))
+    user = (dims.ExtraDim("extra0", "i4", no_data=-10000), dims.ExtraDim("v", "i4", 3, no_data=-1))
+    path = scratch.folder(s, "las")
+    las.write(PointCloud(e.drop("point_idx"), 4, version="1.3", extra=user), path)
+    return las.extra_dims(s, path).groupBy("name", "element").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))

@@ -117,6 +117,21 @@ def vlrs(spark: SparkSession, path: str) -> DataFrame:
     return _listed(spark, path).mapInArrow(run, "path string, user_id string, record_id int, description string, data binary, late boolean")
 
 
+def extra_dims(spark: SparkSession, path: str) -> DataFrame:
+    """One row a file, user dimension and element: its extremes as the file's record has them, raw and without no-data, null where it has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("path", pa.string()), ("name", pa.string()), ("element", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64())])
+        for b in batches:
+            rows = []
+            for _, p, f in _opened(b):
+                for e in lasfile.Header.read(*_beginning(f, True)).extra:
+                    rows += [{"path": p, "name": e.name, "element": k, "lo": float(e.mins[k]) if e.mins else None, "hi": float(e.maxs[k]) if e.maxs else None} for k in range(e.count)]
+            yield pa.RecordBatch.from_pylist(rows, schema=kind)
+
+    return _listed(spark, path).mapInArrow(run, "path string, name string, element int, lo double, hi double")
+
+
 def _array(v: np.ndarray, t: T.DataType) -> pa.Array:
     if isinstance(t, T.ArrayType):
         flat = _array(np.ascontiguousarray(v).reshape(-1), t.elementType)
@@ -212,6 +227,13 @@ def columns_like(own: np.ndarray, h: lasfile.Header, first: lasfile.Header, name
 
 
 def _points(spark: SparkSession, path: str, head: lasfile.Header, names: list[str] | None, where: tuple[tuple[float, ...], tuple[float, ...]] | None) -> DataFrame:
+    found = _listed(spark, path)
+    size = found.agg(F.sum("length")).first()[0] or 0  # of the listing alone; no byte of a file is read for it
+    return points_of(found, head, names, where, min(RANGE_TASKS, size // RANGE_BYTES + 1))
+
+
+def points_of(found: DataFrame, head: lasfile.Header, names: list[str] | None, where: tuple[tuple[float, ...], tuple[float, ...]] | None, tasks: int) -> DataFrame:
+    """Points of the files (path, length) of a table or a stream."""
     schema = dims.point_schema(head.fmt, head.extra)
     pick = [f for f in schema.fields if f.name != "point_idx" and (names is None or f.name in names)]
     out = T.StructType([T.StructField("path", T.StringType()), schema["point_idx"], *pick])
@@ -230,11 +252,8 @@ def _points(spark: SparkSession, path: str, head: lasfile.Header, names: list[st
                     cols = columns_like(own, h, like, [c for c, _ in kinds])
                     yield pa.RecordBatch.from_arrays([pa.array([p] * len(own)), pa.array(np.arange(lo, lo + len(own))), *[_array(cols[c], t) for c, t in kinds]], arrow)
 
-    found = _listed(spark, path)
     if "content" in found.columns:
         return found.mapInArrow(_ranges(where), "path string, first long, n long, content binary").mapInArrow(run, out)
-    size = found.agg(F.sum("length")).first()[0] or 0
-    tasks = min(RANGE_TASKS, size // RANGE_BYTES + 1)  # of the listing alone; no byte of a file is read for it
     return found.mapInArrow(_ranges(where), "path string, first long, n long").repartition(tasks).mapInArrow(run, out)
 
 
@@ -282,6 +301,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], head: dict) -> Iterator[pa
         pts = np.concatenate(parts) if parts else np.zeros(0, h.dtype)
         s = lasfile.statistics(pts, h)
         h = lasfile.with_statistics(h, [s])
+        h.extra = lasfile.with_extremes(h.extra, pts)
         return pa.RecordBatch.from_arrays([pa.array([f"part-{part:05d}-{k:03d}.las"]), pa.array([b"".join((h.pack(), memoryview(pts).cast("B") if len(pts) else b"", h.tail()))], pa.binary()), pa.array([json.dumps(s)])], ["part", "content", "stats"])
 
     for b in batches:

@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from .. import dims
 from ..errors import IncompatibleData
+from ..operators import stats
 from ..operators.cloud import PointCloud
 from . import las, lasfile, scratch
 
@@ -121,6 +122,7 @@ def write_file(cloud: PointCloud, path: str, records: list[lasfile.Record] | Non
     head = las.head_of(cloud, records)
     made = pieces(cloud.df, head)
     h = lasfile.with_statistics(lasfile.Header(**head), [statistics_of(made)])
+    h.extra = stats.extra_extremes(cloud)
     front, size = h.pack(), h.dtype.itemsize
     tmp = f"{target}.{uuid.uuid4().hex}.tmp"
     os.makedirs(os.path.dirname(target), exist_ok=True)
@@ -158,14 +160,14 @@ def append_file(cloud: PointCloud, path: str) -> None:
     cloud = like(cloud, PointCloud(cloud.df, old.fmt, tuple(old.scales), tuple(old.offsets)))
     size, base = old.dtype.itemsize, old.offset + old.count * old.record_size
     made = pieces(cloud.df, las.head_of(replace(cloud, extra=old.extra, version=old.version, records=())))
-    stats = statistics_of(made)
-    if not stats["n"]:
+    own = statistics_of(made)
+    if not own["n"]:
         return
     if size != old.record_size or os.path.getsize(target) < base:
         raise IncompatibleData("the file is cut short, or its records hold more than its header names")
     head = front[: dims.HEADER_SIZES[old.version]]
     if old.evlr_count:
-        start = max(base + stats["n"] * size, os.path.getsize(target))  # behind the new points, and behind itself
+        start = max(base + own["n"] * size, os.path.getsize(target))  # behind the new points, and behind itself
         with open(target, "r+b") as f:
             f.seek(start)
             f.write(late)
@@ -175,13 +177,17 @@ def append_file(cloud: PointCloud, path: str) -> None:
             f.write(old.patched(head))
             os.fsync(f.fileno())
     put(placed(made, "n").withColumn("at", F.col("at") * size + base), target)
-    new = lasfile.with_statistics(replace(old), [stats])
+    new = lasfile.with_statistics(replace(old), [own])
     if old.count:
         new.mins = tuple(map(min, old.mins, new.mins))
         new.maxs = tuple(map(max, old.maxs, new.maxs))
         new.gps = (min(old.gps[0], new.gps[0]), max(old.gps[1], new.gps[1]))
     new.returns = tuple(a + b for a, b in zip(old.returns, new.returns, strict=True))
     new.count += old.count
+    new.extra = lasfile.merged_extremes(old.extra, stats.extra_extremes(replace(cloud, extra=old.extra)), old.count)
     with open(target, "r+b") as f:
         f.write(new.patched(head))
+        if old.extra and (place := front.find(lasfile.pack_extra_dims(old.extra))) >= 0:
+            f.seek(place)
+            f.write(lasfile.pack_extra_dims(new.extra))
         os.fsync(f.fileno())

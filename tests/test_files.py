@@ -1,18 +1,16 @@
 """LAS files with their headers and records, octree tables, tiles, ranks, arriving files."""
 
-import math
 import random
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pointengine import dims
 from pointengine.errors import IncompatibleData
 from pointengine.functions import exprs
-from pointengine.operators import cloud, ranks, spatial, waveform
+from pointengine.operators import cloud, ranks, spatial, stats, waveform
 from pointengine.operators.cloud import PointCloud
-from pointengine.sources import las, lasfile
+from pointengine.sources import las, lasfile, onefile
 from pointengine.streaming import arriving
 
 EXTRA = (dims.ExtraDim("height", "i4", scales=(0.5,), offsets=(10.0,)), dims.ExtraDim("v", "i2", 3, (1.0, 2.0, 3.0), (10.0, 20.0, 30.0)))
@@ -210,22 +208,48 @@ def test_small_things(spark):
 
 
 def test_arriving_files(spark, tmp_path):
+    """Points of files that come, every file once; a batch that is run again, or that is empty, changes no figure."""
     path, out = str(tmp_path / "in"), str(tmp_path / "out")
     c = PointCloud(spark.createDataFrame([(1, 2, 3), (4, 5, 6)], "X int, Y int, Z int"), 0, (1.0, 1.0, 1.0))
     las.write(c, path)
-    seen = arriving.files(spark, path).select("path", "content")
-
-    def decoded(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            for raw in b.column("content").to_pylist():
-                h = lasfile.Header.read(raw)
-                p = np.frombuffer(raw[h.offset :], h.dtype, h.count)
-                yield pa.RecordBatch.from_arrays([pa.array(p[a].astype(np.int32)) for a in "XYZ"], ["X", "Y", "Z"])
-
-    for _ in range(2):
-        arriving.header_figures(seen.mapInArrow(decoded, "X int, Y int, Z int"), out, str(tmp_path / "cp"), c).awaitTermination()
-        las.write(PointCloud(spark.createDataFrame([(9, 9, 9)], "X int, Y int, Z int"), 0, (1.0, 1.0, 1.0)), path)
-    got = arriving.merged(spark, out).first()
-    assert (got.n, got.x_min, got.x_max) == (3 + len([r for r in spark.read.parquet(out).collect() if math.isnan(r.x_min or 0.0)]), 1.0, 9.0)
+    seen = []
+    for k in range(3):
+        stream = arriving.points(spark, path, c, ["X", "Y", "Z"])
+        arriving.header_figures(stream, out, str(tmp_path / "cp"), c).awaitTermination()
+        seen.append(arriving.merged(spark, out).first())
+        if k == 0:
+            las.write(PointCloud(spark.createDataFrame([(9, 9, 9), (7, 7, -7)], "X int, Y int, Z int"), 0, (1.0, 1.0, 1.0)), path)
+    points = spark.read.parquet(out)
+    assert (seen[0].n, seen[0].x_min, seen[0].x_max) == (2, 1.0, 4.0)
+    assert seen[1] == seen[2] and (seen[1].n, seen[1].x_min, seen[1].z_min, seen[1].z_max) == (4, 1.0, -7.0, 9.0)
+    assert points.where("n = 0").count() == 0
+    # the last batch, run once more, and one without points
+    again = {}
+    writer = type("W", (), {"__getattr__": lambda self, n: lambda *a, **k: again.update({n: a}) or self})()
+    arriving.header_figures(type("D", (), {"writeStream": writer})(), out, "x", c)
+    batch = again["foreachBatch"][0]
+    batch(spark.createDataFrame([(9, 9, 9), (7, 7, -7)], "X int, Y int, Z int"), 1)
+    batch(spark.createDataFrame([], "X int, Y int, Z int"), 7)
+    assert arriving.merged(spark, out).first() == seen[2]
+
+
+def test_extremes_of_user_dimensions(spark, tmp_path):
+    """Element by element, no-data and NaN left out, in one aggregation; files keep them, also after an append."""
+    user = (dims.ExtraDim("h", "i4", no_data=-9999), dims.ExtraDim("v", "i2", 3, (1.0,) * 3, (0.0,) * 3), dims.ExtraDim("f", "f8", 2), dims.ExtraDim("none", "u1", no_data=0), dims.ExtraDim("raw", "u1", 5))
+    rows = [(k, k, k, -9999 if k % 3 == 0 else k - 50, [k, -k, 7], [float("nan") if k == 4 else k / 2, -1.5], 0, [1] * 5) for k in range(100)]
+    df = spark.createDataFrame(rows, "X int, Y int, Z int, h int, v array<smallint>, f array<double>, none smallint, raw array<smallint>")
+    c = PointCloud(df, 0, extra=user)
+    r = stats.vector_extremes(df, user[:3]).first()
+    assert (r.h__0__lo, r.h__0__hi, r.v__1__lo, r.v__2__hi, r.f__0__hi, r.f__1__lo) == (-49, 48, -99, 7, 49.5, -1.5)
+    path = str(tmp_path / "x.las")
+    onefile.write_file(c, path)
+    known = {e.name: (e.mins, e.maxs) for e in las.load(spark, path).extra}
+    assert known == {"h": ((-49,), (48,)), "v": ((0, -99, 7), (99, 0, 7)), "f": ((0.0, -1.5), (49.5, -1.5)), "none": (None, None), "raw": (None, None)}
+    more = spark.createDataFrame([(1, 1, 1, 500, [-5, 0, 0], [0.0, 0.0], 3, [2] * 5)], df.schema)
+    onefile.append_file(PointCloud(more, 0, extra=user), path)
+    known = {e.name: (e.mins, e.maxs) for e in las.load(spark, path).extra}
+    assert known["h"] == ((-49,), (500,)) and known["v"] == ((-5, -99, 0), (99, 0, 7)) and known["none"] == (None, None)
+    las.write(c, str(tmp_path / "parts"))
+    got = las.extra_dims(spark, str(tmp_path / "parts")).groupBy("name", "element").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
+    assert {(g.name, g.element): (g.lo, g.hi) for g in got}["v", 1] == (-99.0, 0.0)
+    assert sorted(map(tuple, (r.v for r in las.load(spark, path).df.select("v").collect())))[0] == (-5, 0, 0)
