@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from .. import dims
-from ..errors import IncompatibleData
+from ..errors import CodecError, IncompatibleData
 from ..operators.cloud import PointCloud
 from . import lasfile
 
@@ -30,7 +30,7 @@ FIRST_BYTES = 1 << 16
 RANGE_BYTES, RANGE_TASKS = 64 << 20, 50000
 
 
-def files(spark: SparkSession, path: str, glob: str = "*.las") -> DataFrame:
+def files(spark: SparkSession, path: str, glob: str = "*.la[sz]") -> DataFrame:
     """(path, length, content) of one file or the files of a folder, through Spark's own readers, so any store works."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
 
@@ -165,7 +165,8 @@ def load(spark: SparkSession, path: str, names: list[str] | None = None, where:
     Filter, convert or append it, and write() it: format, scales, user dimensions and records go along.
     """
     h = _first_header(spark, path)
-    own = tuple(r for r in h.records if (r.user_id, r.record_id) != ("LASF_Spec", 4))
+    codecs = {(c.record.user_id, c.record.record_id) for c in lasfile.CODECS.values() if isinstance(c, lasfile.Codec)}
+    own = tuple(r for r in h.records if (r.user_id, r.record_id) not in {("LASF_Spec", 4), *codecs})
     return PointCloud(_points(spark, path, h, names, where), h.fmt, tuple(h.scales), tuple(h.offsets), h.version, h.extra, own, h.meta())
 
 
@@ -177,12 +178,12 @@ def read(spark: SparkSession, path: str, names: list[str] | None = None, where:
     with other scales than the first follow those.  A file cut short gives the points that it has.
 
     Headers are read first and cut files into ranges (path, first, n) of about RANGE_BYTES, which tasks read on their own; a
-    file of compressed points is one range, as is one of a store that only Spark reaches.
+    file of compressed points is cut at its chunks, or is one range where its codec knows none, as is one of a store that only Spark reaches.
     """
     return _points(spark, path, _first_header(spark, path), names, where)
 
 
-def _ranges(where: tuple[tuple[float, ...], tuple[float, ...]] | None):
+def _ranges(where: tuple[tuple[float, ...], tuple[float, ...]] | None, codecs: dict):
     """(path, first, n): the parts of every file whose box meets where."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,6 +196,15 @@ def _ranges(where: tuple[tuple[float, ...], tuple[float, ...]] | None):
                 n = h.count if h.compressed else min(h.count, max(0, length[k] - h.offset) // h.record_size)
                 step = max(n, 1) if h.compressed or "content" in b.schema.names else max(1, RANGE_BYTES // h.record_size)
                 first = np.arange(0, n, step)
+                if h.compressed and (codec := lasfile.codec_of(h, codecs)) and "content" not in b.schema.names:
+                    chunks, first, held = codec.chunks(f, h), [], RANGE_BYTES
+                    for at, _, _, size in chunks:  # whole chunks, up to RANGE_BYTES
+                        if held + size > RANGE_BYTES:
+                            first.append(at)
+                            held = 0
+                        held += size
+                    first = np.array(first, np.int64)
+                    step = np.diff(np.append(first, n))
                 cols = [pa.array([p] * len(first), pa.string()), pa.array(first), pa.array(np.minimum(step, n - first))]
                 more = [pa.array([b.column("content")[k].as_py()] * len(first), pa.binary())] if "content" in b.schema.names else []
                 yield pa.RecordBatch.from_arrays(cols + more, ["path", "first", "n", "content"][: len(cols + more)])
@@ -202,13 +212,22 @@ def _ranges(where: tuple[tuple[float, ...], tuple[float, ...]] | None):
     return run
 
 
-def decoded(f: pa.NativeFile, h: lasfile.Header, first: int, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(index of the first, packed records) of points of a file, BATCH at a time."""
+def decoded(f: pa.NativeFile, h: lasfile.Header, first: int, n: int, codecs: dict | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(index of the first, packed records) of points of a file, BATCH or a compressed chunk at a time."""
     size = h.dtype.itemsize
     data = None
+    codecs = lasfile.CODECS if codecs is None else codecs
+    if h.compressed and (codec := lasfile.codec_of(h, codecs)):
+        for at, m, place, packed in codec.chunks(f, h):
+            if at + m > first and at < first + n:
+                f.seek(place)
+                own = np.frombuffer(codec.unpack(f.read(packed), h, m), h.dtype, m)
+                lo, hi = max(at, first), min(at + m, first + n)
+                yield lo, own[lo - at : hi - at]
+        return
     if h.compressed:
         f.seek(0)
-        data = lasfile.decompress(f.read(), h, first, n)
+        data = lasfile.decompress(f.read(), h, first, n, codecs)
     for lo in range(first, first + n, BATCH):
         m = min(BATCH, first + n - lo)
         if data is not None:
@@ -238,6 +257,7 @@ def points_of(found: DataFrame, head: lasfile.Header, names: list[str] | None, w
     pick = [f for f in schema.fields if f.name != "point_idx" and (names is None or f.name in names)]
     out = T.StructType([T.StructField("path", T.StringType()), schema["point_idx"], *pick])
     arrow = [f.name for f in out.fields]
+    codecs = dict(lasfile.CODECS)
     fmt, extra, kinds, like = head.fmt, head.extra, [(f.name, f.dataType) for f in pick], head
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,26 +268,33 @@ def points_of(found: DataFrame, head: lasfile.Header, names: list[str] | None, w
                 if h.fmt != fmt:
                     raise IncompatibleData(f"{p} has point format {h.fmt}, others {fmt}")
                 h.extra = h.extra or extra
-                for lo, own in decoded(f, h, start[k], count[k]):
+                for lo, own in decoded(f, h, start[k], count[k], codecs):
                     cols = columns_like(own, h, like, [c for c, _ in kinds])
                     yield pa.RecordBatch.from_arrays([pa.array([p] * len(own)), pa.array(np.arange(lo, lo + len(own))), *[_array(cols[c], t) for c, t in kinds]], arrow)
 
     if "content" in found.columns:
-        return found.mapInArrow(_ranges(where), "path string, first long, n long, content binary").mapInArrow(run, out)
-    return found.mapInArrow(_ranges(where), "path string, first long, n long").repartition(tasks).mapInArrow(run, out)
+        return found.mapInArrow(_ranges(where, codecs), "path string, first long, n long, content binary").mapInArrow(run, out)
+    return found.mapInArrow(_ranges(where, codecs), "path string, first long, n long").repartition(tasks).mapInArrow(run, out)
 
 
-def write(cloud: PointCloud, path: str, records: list[lasfile.Record] | None = None) -> None:
+def write(cloud: PointCloud, path: str, records: list[lasfile.Record] | None = None, codec: str | None = None) -> None:
     """A folder with one complete LAS file a partition, in the store that path names.
 
     A task packs its points and the header of its own statistics, and writes the file through pyarrow; a store that pyarrow does not
     reach is refused at once.  An empty cloud writes one empty file.  records: those of the cloud, by default; extended ones make the file 1.4.
+    codec: the name of a registered codec that packs the points in chunks; files are then named .laz.
     """
     head = head_of(cloud, records)
+    packer = None
+    if codec is not None:
+        packer = lasfile.CODECS.get(codec)
+        if not isinstance(packer, lasfile.Codec):
+            raise CodecError(f"no codec {codec!r} that writes is registered")
+        head |= {"compressed": True, "records": [*(r for r in head["records"] if (r.user_id, r.record_id) != (packer.record.user_id, packer.record.record_id)), packer.record]}
     spark = cloud.df.sparkSession
     reachable(_whole(spark, path))
     register(spark)
-    encoded(cloud.df, head).select("part", "content").write.format("las_parts").mode("append").option("path", _whole(spark, path)).save()
+    encoded(cloud.df, head, packer).select("part", "content").write.format("las_parts").mode("append").option("path", _whole(spark, path)).save()
 
 
 def head_of(cloud: PointCloud, records: list[lasfile.Record] | None = None) -> dict:
@@ -284,13 +311,13 @@ def arrays_of(b: pa.RecordBatch) -> dict[str, np.ndarray]:
     return {name: np.stack(v.to_numpy(zero_copy_only=False)) if pa.types.is_list(v.type) and len(v) else v.to_numpy(zero_copy_only=False) for name, v in zip(b.schema.names, b.columns, strict=True)}
 
 
-def encoded(df: DataFrame, head: dict) -> DataFrame:
+def encoded(df: DataFrame, head: dict, codec: lasfile.Codec | None = None) -> DataFrame:
     """(part, content, stats): complete LAS files as bytes, about FILE_BYTES of points each."""
 
-    return df.mapInArrow(lambda batches: encode_batches(batches, head), "part string, content binary, stats string")
+    return df.mapInArrow(lambda batches: encode_batches(batches, head, codec), "part string, content binary, stats string")
 
 
-def encode_batches(batches: Iterator[pa.RecordBatch], head: dict) -> Iterator[pa.RecordBatch]:
+def encode_batches(batches: Iterator[pa.RecordBatch], head: dict, codec: lasfile.Codec | None = None) -> Iterator[pa.RecordBatch]:
     """(part, content, stats) of a task's points."""
     from pyspark import TaskContext
 
@@ -302,7 +329,11 @@ def encode_batches(batches: Iterator[pa.RecordBatch], head: dict) -> Iterator[pa
         s = lasfile.statistics(pts, h)
         h = lasfile.with_statistics(h, [s])
         h.extra = lasfile.with_extremes(h.extra, pts)
-        return pa.RecordBatch.from_arrays([pa.array([f"part-{part:05d}-{k:03d}.las"]), pa.array([b"".join((h.pack(), memoryview(pts).cast("B") if len(pts) else b"", h.tail()))], pa.binary()), pa.array([json.dumps(s)])], ["part", "content", "stats"])
+        body = memoryview(pts).cast("B") if len(pts) else b""
+        if codec:
+            body = codec.body(pts, h, len(h.pack()))
+        content = b"".join((h.pack(len(body)), body, h.tail()))
+        return pa.RecordBatch.from_arrays([pa.array([f"part-{part:05d}-{k:03d}.{'laz' if codec else 'las'}"]), pa.array([content], pa.binary()), pa.array([json.dumps(s)])], ["part", "content", "stats"])
 
     for b in batches:
         h = lasfile.Header(**head)

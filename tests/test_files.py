@@ -1,12 +1,14 @@
 """LAS files with their headers and records, octree tables, tiles, ranks, arriving files."""
 
 import random
+import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from pointengine import dims
-from pointengine.errors import IncompatibleData
+from pointengine.errors import CodecError, IncompatibleData
 from pointengine.functions import exprs
 from pointengine.operators import cloud, ranks, spatial, stats, waveform
 from pointengine.operators.cloud import PointCloud
@@ -253,3 +255,44 @@ def test_extremes_of_user_dimensions(spark, tmp_path):
     got = las.extra_dims(spark, str(tmp_path / "parts")).groupBy("name", "element").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
     assert {(g.name, g.element): (g.lo, g.hi) for g in got}["v", 1] == (-99.0, 0.0)
     assert sorted(map(tuple, (r.v for r in las.load(spark, path).df.select("v").collect())))[0] == (-5, 0, 0)
+
+
+def zip_codec(chunk):
+    """A codec of chunks of zlib, with a plain table."""
+    return lasfile.Codec(
+        lasfile.Record("toy zip", 1, "chunks of zlib"),
+        lambda raw, h: zlib.compress(raw),
+        lambda raw, h, n: zlib.decompress(raw),
+        lambda t: struct.pack("<I", len(t)) + b"".join(struct.pack("<II", *x) for x in t),
+        lambda raw: [struct.unpack_from("<II", raw, 4 + 8 * k) for k in range(struct.unpack_from("<I", raw)[0])],
+        chunk,
+    )
+
+
+def test_a_codec_of_chunks(spark, tmp_path, monkeypatch):
+    """Written and read chunk by chunk; one file is read by several tasks, which read their chunks' bytes alone."""
+    path = str(tmp_path / "z")
+    late = lasfile.Record("me", 9, "late", bytes(500), True)
+    c = PointCloud(points(spark, 1000).coalesce(1), 6, (0.5,) * 3, version="1.4", records=(late,))
+    with pytest.raises(CodecError):
+        las.write(c, path, codec="zip")
+    monkeypatch.setitem(lasfile.CODECS, "zip", zip_codec(70))
+    las.write(c, path, codec="zip")
+    (one,) = (tmp_path / "z").glob("*.laz")
+    raw = one.read_bytes()
+    h = lasfile.Header.read(raw)
+    assert h.compressed and h.count == 1000 and len(raw) < 1000 * h.record_size and [r.data for r in h.records if r.extended] == [bytes(500)]
+    monkeypatch.setattr(las, "RANGE_BYTES", 900)
+    back = las.load(spark, path)
+    got = back.df.select("point_idx", "X", "Y", F.spark_partition_id().alias("part")).collect()
+    assert sorted((r.point_idx, r.X, r.Y) for r in got) == [(i, i, 2 * i) for i in range(1000)]
+    ranges = las._listed(spark, path).mapInArrow(las._ranges(None, dict(lasfile.CODECS)), "path string, first long, n long").collect()
+    assert len(ranges) > 3 and all(r.first % 70 == 0 for r in ranges) and sum(r.n for r in ranges) == 1000
+    assert not [r for r in back.records if r.user_id == "toy zip"]
+    las.write(back.filter("X < 10"), str(tmp_path / "plain"))
+    assert las.load(spark, str(tmp_path / "plain")).df.count() == 10 and not las.headers(spark, str(tmp_path / "plain")).first().compressed
+    las.write(c.filter("X < 0"), str(tmp_path / "none"), codec="zip")
+    assert las.load(spark, str(tmp_path / "none")).df.count() == 0
+    monkeypatch.delitem(lasfile.CODECS, "zip")
+    with pytest.raises(Exception, match="no codec"):
+        las.load(spark, path).df.collect()
