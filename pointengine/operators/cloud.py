@@ -112,6 +112,25 @@ class PointCloud:
         self.df.withColumn(name, self.column(name)).write.partitionBy(name).parquet(path)
 
 
+def differences(a: PointCloud, b: PointCloud) -> DataFrame:
+    """(point_idx, names): points at one index that differ, with the dimensions that do, or null where only one cloud has the index.
+
+    Clouds of other formats or user dimensions differ as a whole and raise; nulls and NaN equal themselves.
+    """
+    names = [c for c in a.df.columns if c not in ("point_idx", "path")]
+    if a.fmt != b.fmt or sorted(names) != sorted(c for c in b.df.columns if c not in ("point_idx", "path")):
+        raise IncompatibleData("clouds of other dimensions")
+    row = lambda c, k: c.df.select("point_idx", F.struct(*[F.col(n).alias(n) for n in names]).alias(k))
+    both = row(a, "_a").join(row(b, "_b"), "point_idx", "full")
+    odd = F.array_compact(F.array(*[F.when(~F.col(f"_a.{n}").eqNullSafe(F.col(f"_b.{n}")), F.lit(n)) for n in names]))
+    return both.select("point_idx", F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), odd).alias("names")).where(F.col("names").isNull() | (F.size("names") > 0))
+
+
+def equal(a: PointCloud, b: PointCloud) -> bool:
+    """Whether both clouds have the same points at the same indices, scales and offsets included."""
+    return (tuple(a.scales), tuple(a.offsets)) == (tuple(b.scales), tuple(b.offsets)) and differences(a, b).isEmpty()
+
+
 def between_indices(df: DataFrame, first: int, n: int) -> DataFrame:
     """n points from an index on; a negative n means all that follow."""
     cond = F.col("point_idx") >= first
@@ -119,9 +138,9 @@ def between_indices(df: DataFrame, first: int, n: int) -> DataFrame:
 
 
 def seek(pos: int, whence: int, total: int) -> int:
-    """The index that a seek from the start (0), from ``here`` = 0 (1) or from the end (2) leads to; outside the points it raises."""
-    if whence not in (0, 1, 2):
-        raise ValueError(f"whence {whence}: 0, 1 or 2")
+    """The index that a seek from the start (whence 0) or from the end (2) leads to; outside the points it raises."""
+    if whence not in (0, 2):
+        raise ValueError(f"whence {whence}: 0 or 2")
     at = pos + total if whence == 2 else pos
     if not 0 <= at <= total:
         raise IndexError(f"point {at} of {total}")

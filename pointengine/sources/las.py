@@ -6,7 +6,7 @@ import json
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from urllib.parse import quote
 
 import numpy as np
@@ -96,13 +96,13 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
             rows = []
             for _, p, f in _opened(b):
                 h = lasfile.Header.read(*_beginning(f, True))
-                rows.append({"path": p, "version": h.version, "point_format": h.fmt, "points": h.count, "scales": list(h.scales), "offsets": list(h.offsets), "mins": list(h.mins), "maxs": list(h.maxs), "returns": list(h.returns), "compressed": h.compressed, "crs": str(lasfile.crs_of(h.records) or ""), "software": h.software})
+                rows.append({"path": p, "version": h.version, "point_format": h.fmt, "points": h.count, "scales": list(h.scales), "offsets": list(h.offsets), "mins": list(h.mins), "maxs": list(h.maxs), "returns": list(h.returns), "compressed": h.compressed, "crs": str(lasfile.crs_of(h.records) or ""), "software": h.software, "system": h.system, "guid": str(uuid.UUID(bytes_le=bytes(h.guid))), "source_id": h.source_id, "encoding": h.encoding, "created": h.created})
             yield pa.RecordBatch.from_pylist(rows, schema=_HEADERS)
 
-    return _listed(spark, path).mapInArrow(run, "path string, version string, point_format int, points long, scales array<double>, offsets array<double>, mins array<double>, maxs array<double>, returns array<long>, compressed boolean, crs string, software string")
+    return _listed(spark, path).mapInArrow(run, "path string, version string, point_format int, points long, scales array<double>, offsets array<double>, mins array<double>, maxs array<double>, returns array<long>, compressed boolean, crs string, software string, system string, guid string, source_id int, encoding int, created date")
 
 
-_HEADERS = pa.schema([("path", pa.string()), ("version", pa.string()), ("point_format", pa.int32()), ("points", pa.int64()), *[(n, pa.list_(pa.float64())) for n in ("scales", "offsets", "mins", "maxs")], ("returns", pa.list_(pa.int64())), ("compressed", pa.bool_()), ("crs", pa.string()), ("software", pa.string())])
+_HEADERS = pa.schema([("path", pa.string()), ("version", pa.string()), ("point_format", pa.int32()), ("points", pa.int64()), *[(n, pa.list_(pa.float64())) for n in ("scales", "offsets", "mins", "maxs")], ("returns", pa.list_(pa.int64())), ("compressed", pa.bool_()), ("crs", pa.string()), ("software", pa.string()), ("system", pa.string()), ("guid", pa.string()), ("source_id", pa.int32()), ("encoding", pa.int32()), ("created", pa.date32())])
 
 
 def vlrs(spark: SparkSession, path: str) -> DataFrame:
@@ -277,6 +277,12 @@ def points_of(found: DataFrame, head: lasfile.Header, names: list[str] | None, w
     return found.mapInArrow(_ranges(where, codecs), "path string, first long, n long").repartition(tasks).mapInArrow(run, out)
 
 
+def with_crs(cloud: PointCloud, epsg: int | None = None, wkt: str | None = None, geographic: bool = False) -> PointCloud:
+    """The cloud with another reference system; its header says whether that is a WKT text."""
+    flags = cloud.meta.encoding & ~16 | (16 if cloud.fmt >= 6 else 0)
+    return replace(cloud, records=lasfile.with_crs(cloud.records, cloud.fmt, epsg, wkt, geographic), meta=replace(cloud.meta, encoding=flags))
+
+
 def write(cloud: PointCloud, path: str, records: list[lasfile.Record] | None = None, codec: str | None = None) -> None:
     """A folder with one complete LAS file a partition, in the store that path names.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pointengine import dims
 from pointengine.errors import IncompatibleData
+from pointengine.operators import cloud
 from pointengine.operators.cloud import PointCloud
 from pointengine.sources import las, lasfile, lasformat, onefile, wdp
 
@@ -218,3 +219,44 @@ def test_payload_errors(spark, tmp_path):
     none = PointCloud(df.withColumn("wavepacket_index", F.lit(0)), 9, version="1.4", records=(one,))
     wdp.write(none, waves(spark, 10, 8, 255), path)
     assert (tmp_path / "w.wdp").stat().st_size == 0 and not las.load(spark, path).meta.encoding & 4
+
+
+def test_reference_systems(spark, tmp_path):
+    """A new one takes the old one's place; keys give their numbers and texts."""
+    keys = struct.pack("<4H", 1, 1, 0, 4) + struct.pack("<4H", 1024, 0, 1, 1) + struct.pack("<4H", 2057, 34736, 1, 1) + struct.pack("<4H", 2049, 34737, 6, 3) + struct.pack("<4H", 2062, 34736, 2, 0)
+    old = (lasfile.Record("LASF_Projection", 34735, "", keys), lasfile.Record("LASF_Projection", 34736, "", struct.pack("<2d", 1.5, 6378137.0)), lasfile.Record("LASF_Projection", 34737, "", b"ab|WGS84|\0"), lasfile.Record("me", 1, "", b"x"))
+    assert lasfile.geo_keys(old) == {1024: 1, 2057: 6378137.0, 2049: "WGS84", 2062: (1.5, 6378137.0)} and lasfile.geo_keys(()) == {}
+    c = PointCloud(points(spark, 5, 3), 3, records=old, meta=META)
+    new = las.with_crs(c, epsg=2154)
+    assert [(r.user_id, r.record_id) for r in new.records] == [("me", 1), ("LASF_Projection", 34735)] and lasfile.crs_of(list(new.records)) == 2154
+    wkt = las.with_crs(new.convert(6), wkt="LOCAL")
+    assert lasfile.crs_of(list(wkt.records)) == "LOCAL" and wkt.meta.encoding == META.encoding | 16
+    las.write(wkt, str(tmp_path / "w"))
+    h = las.headers(spark, str(tmp_path / "w")).first()
+    assert (h.crs, h.system, h.source_id, h.encoding, h.created) == ("LOCAL", "scanner", 77, 17, META.created) and h.guid == "03020100-0504-0706-0809-0a0b0c0d0e0f"
+
+
+def test_equality(spark):
+    df = points(spark, 30, 3).withColumn("point_idx", F.col("X").cast("long"))
+    a = PointCloud(df, 3)
+    assert cloud.equal(a, PointCloud(df.repartition(3), 3)) and not cloud.equal(a, PointCloud(df, 3, (1.0,) * 3))
+    b = PointCloud(df.where("X < 29").withColumn("red", F.when(F.col("X") == 4, 9).otherwise(F.col("red"))), 3)
+    assert sorted((r.point_idx, r.names) for r in cloud.differences(a, b).collect()) == [(4, ["red"]), (29, None)]
+    with pytest.raises(IncompatibleData):
+        cloud.differences(a, PointCloud(df.drop("red"), 3))
+
+
+def test_positions(spark):
+    e = spark.range(10).withColumnRenamed("id", "point_idx")
+    idx = lambda df: sorted(r.point_idx for r in df.collect())
+    assert idx(cloud.sliced(e, -4, None, 2, total=10)) == [6, 8] and idx(cloud.sliced(e, 2, 100, 3, total=10)) == [2, 5, 8] == idx(cloud.sliced(e, 2, 10, 3))
+    assert idx(cloud.taken(e, [-1, 0, -1], total=10)) == [0, 9, 9]
+    assert (cloud.seek(3, 0, 10), cloud.seek(-3, 2, 10), cloud.seek(0, 2, 10)) == (3, 7, 10)
+    for bad in (lambda: cloud.taken(e, [10], total=10), lambda: cloud.taken(e, [-11], total=10), lambda: cloud.seek(11, 0, 10), lambda: cloud.seek(1, 2, 10)):
+        with pytest.raises(IndexError):
+            bad()
+    for bad in (lambda: cloud.sliced(e, -1, 5), lambda: cloud.sliced(e, 0, 5, -1), lambda: cloud.seek(0, 3, 10)):
+        with pytest.raises(ValueError):
+            bad()
+    z = cloud.zeros(spark, 4, 6)
+    assert z.df.count() == 4 and z.version == "1.4" and z.df.agg(F.max("X"), F.max("gps_time")).first() == (0, 0.0)
