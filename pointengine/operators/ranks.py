@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Ranges that the values are dealt to; one row each is sorted in one task and broadcast.
-RANGES = 4096
+from ..sources import scratch
 
 
 def running(df: DataFrame, by: str, what: str, out: str) -> DataFrame:
     """The sum of ``what`` over all rows up to this one, in order of ``by``, whose values are distinct.
 
-    Equal ranges of values get their own sums first; what stands before a range is added to the sum within it.
+    Spark deals the rows to ranges of about equal size, however the values lie, and they are written so: what a range holds stands fast
+    then.  Ranges get their own sums first; what stands before a range, of which there are as many as shuffle partitions, is added to the sum within it.
     """
-    lo, hi = df.agg(F.min(by), F.max(by)).first()
-    width = max(1, -(-(int(hi or 0) - int(lo or 0) + 1) // RANGES))
-    dealt = df.withColumn("_range", F.expr(f"({by} - {int(lo or 0)}) div {width}"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
+    spark = df.sparkSession
+    path = scratch.folder(spark, "ranges")
+    df.repartitionByRange(by).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     sums = dealt.groupBy("_range").agg(F.sum(what).alias("_sum")).select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
     within = Window.partitionBy("_range").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
     return dealt.withColumn("_own", F.sum(what).over(within)).join(F.broadcast(sums), "_range").withColumn(out, (F.col("_base") + F.col("_own")).cast("long")).drop("_range", "_own", "_base")
