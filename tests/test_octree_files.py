@@ -44,7 +44,7 @@ def test_sampled_levels(spark):
         assert len(cells) == len(set(cells)) == len({tuple(v // (64 / 2**lv / 2) for v in r[:3]) for r in rows})
 
 
-@pytest.mark.parametrize("page_levels", [1, 2, 3])
+@pytest.mark.parametrize("page_levels", [1, 3])
 def test_file(spark, tmp_path, page_levels, monkeypatch):
     monkeypatch.setattr(onefile, "PIECE_BYTES", 5000)
     rows, cloud = made(spark)
