@@ -23,7 +23,7 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % n, F.lit(0))
 
 
-def documents(df: DataFrame, *extra: str) -> DataFrame:
+def documents(df: DataFrame, *extra: str | Column) -> DataFrame:
     """doc_id and text alone (and extra): a table's other columns cannot clash with an operator's own."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)
 
@@ -122,14 +122,15 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 4096)
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def numbered(df: DataFrame, key: str, tie: list[Column], out: str, n_keys: int) -> DataFrame:
+def numbered(df: DataFrame, key: str, tie: list[Column], out: str, n_keys: int, sub: Column | None = None) -> DataFrame:
     """Add a gapless number from 0 within each key, without sorting a whole key in one task.
 
     Rows of a key fall into NUMBER_RANGES sub-ranges by a hash of the tie columns; counts of (key, sub-range)
     give each sub-range its first number, and only its own rows are sorted.  n_keys bounds the keys,
     so at most n_keys * NUMBER_RANGES offsets are broadcast.  Rows alike in all tie columns are interchangeable.
+    Where sub gives other sub-ranges (at most twice as many), ascending with the tie columns, numbers follow these alone.
     """
-    df = df.withColumn("_sub", F.pmod(F.xxhash64(*tie), F.lit(NUMBER_RANGES)).cast("int"))
+    df = df.withColumn("_sub", F.pmod(F.xxhash64(*tie), F.lit(NUMBER_RANGES)).cast("int") if sub is None else sub)
     count = df.groupBy(key, "_sub").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
     first = count.select(key, "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))

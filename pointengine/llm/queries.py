@@ -131,4 +131,23 @@ n AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.
 SELECT anchor_id, positive_id, "rank", negative_id, positive_score, negative_score FROM n WHERE "rank" <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_suffix_dedup": SUFFIX_SQL, "op11_fill_middle": FILL_MIDDLE_SQL, "op12_dual_tree": HARD_NEGATIVE_SQL}
+#: The histogram, the least padding of its first bins for 1 to 16 buckets, the boundaries from the last one back, and rows by MD5.
+PACKING_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS n_tokens, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS o FROM documents),
+p AS (SELECT n_tokens, length(bin(n_tokens)) - 1 AS e FROM d),
+b AS (SELECT n_tokens, CASE WHEN n_tokens <= 8192 THEN n_tokens ELSE 8192 + e * 256 + CAST(floor((n_tokens - pow(2, e)) / pow(2, e) * 256) AS BIGINT) END AS b FROM p),
+g AS (SELECT b, max(n_tokens) AS l, count(*) AS n, CAST(sum(n_tokens) AS BIGINT) AS t FROM b GROUP BY b),
+h AS MATERIALIZED (SELECT row_number() OVER (ORDER BY b) AS j, l, CAST(sum(n) OVER (ORDER BY b) AS BIGINT) AS n, CAST(sum(t) OVER (ORDER BY b) AS BIGINT) AS t FROM g),
+f(k, j, v) AS (SELECT 1, j, l * n - t FROM h UNION ALL
+  SELECT f.k + 1, h.j, min(CASE WHEN f.j = h.j THEN f.v ELSE f.v + h.l * (h.n - i.n) - (h.t - i.t) END) FROM f JOIN h i ON i.j = f.j JOIN h ON h.j >= f.j WHERE f.k < 16 GROUP BY f.k, h.j),
+m AS MATERIALIZED (SELECT j, v, min(k) AS k FROM f GROUP BY j, v),
+back(k, j, v) AS (SELECT k, j, v FROM m WHERE j = (SELECT max(j) FROM h) AND v = (SELECT min(v) FROM f WHERE j = (SELECT max(j) FROM h)) UNION ALL
+  SELECT m.k, m.j, m.v FROM (SELECT min(f.j) AS j, arg_min(f.v, f.j) AS v FROM back JOIN h ON h.j = back.j JOIN f ON f.k = back.k - 1 AND f.j < back.j JOIN h i ON i.j = f.j
+                             WHERE f.v + h.l * (h.n - i.n) - (h.t - i.t) = back.v) x JOIN m ON m.j = x.j AND m.v = x.v),
+bounds AS (SELECT CAST(row_number() OVER (ORDER BY l) - 1 AS INT) AS bucket, l AS boundary, coalesce(lag(l) OVER (ORDER BY l), -1) AS below FROM back JOIN h USING (j)),
+r AS (SELECT doc_id, n_tokens, bucket, boundary, greatest(65536 // boundary, 1) AS fit, row_number() OVER (PARTITION BY bucket ORDER BY o) - 1 AS place
+      FROM d JOIN bounds ON n_tokens <= boundary AND n_tokens > below)
+SELECT doc_id, n_tokens, bucket, boundary, CAST(place // fit AS BIGINT) AS batch, CAST(place % fit AS INT) AS slot FROM r
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_packing": PACKING_SQL, "op3_suffix_dedup": SUFFIX_SQL, "op11_fill_middle": FILL_MIDDLE_SQL, "op12_dual_tree": HARD_NEGATIVE_SQL}

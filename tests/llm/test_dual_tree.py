@@ -118,7 +118,7 @@ def test_intervals_hold():
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
-@pytest.mark.parametrize("name", ["op11_fill_middle", "op12_dual_tree"])
+@pytest.mark.parametrize("name", ["op8_packing", "op11_fill_middle", "op12_dual_tree"])
 def test_twins(spark, name):
     con, sf = duckdb.connect(), "/root/testdata/sf0.01"
     for t in ("documents", "embeddings"):

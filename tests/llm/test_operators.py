@@ -147,6 +147,23 @@ def test_packing(docs, rows):
         assert sorted(r.slot for r in own) == list(range(len(own))) and (len(own) == 1 or len(own) * own[0].boundary <= 4096)
 
 
+def test_padding_is_least_over_raw_lengths(spark, docs, rows):
+    got = packing.pack(docs, 3, 4096).collect()
+    sizes = sorted(len((t or "").encode()) + 1 for _, t in rows)
+    edges = sorted(set(sizes))
+    pad = lambda cut: sum(min(b for b in cut if b >= n) - n for n in sizes)
+    best = min(pad([*c, edges[-1]]) for k in range(3) for c in itertools.combinations(edges[:-1], k))
+    assert sum(r.boundary - r.n_tokens for r in got) == best and {r.boundary for r in got} <= set(edges)
+    own = spark.createDataFrame([(i, n) for i, n in enumerate([7, 7, 9, 100, 101, None, 0])], "doc_id long, n int").withColumn("text", F.lit("x"))
+    assert sorted({(r.boundary, r.bucket) for r in packing.pack(own, 3, 64, length="n").collect()}) == [(0, 0), (9, 1), (101, 2)]
+
+
+def test_bins_ascend_with_lengths(spark):
+    sizes = sorted({x + d for e in range(13, 40) for x in (2**e, 2**e * 5 // 4) for d in (-1, 0, 1)} | set(range(8000, 9000)))
+    bins = [r[0] for r in spark.createDataFrame([(n,) for n in sizes], "n long").coalesce(1).select(packing._bin(F.col("n"))).collect()]
+    assert bins == sorted(bins) and len(set(bins)) < 15000
+
+
 def test_boundaries_are_optimal():
     rng = np.random.default_rng(3)
     for _ in range(20):
@@ -157,6 +174,12 @@ def test_boundaries_are_optimal():
         bounds, pad = packing.optimal_boundaries(edge, count, sums, 3)
         cost = lambda cut: sum(count[i] * min(b for b in cut if b >= edge[i]) for i in range(n)) - sums.sum()  # noqa: B023, E731
         assert pad == cost(bounds) == min(cost([*c, edge[-1]]) for k in range(3) for c in itertools.combinations(edge[:-1], k))
+    n = 400
+    edge, count = np.cumsum(rng.integers(1, 9, n)), rng.integers(1, 99, n)
+    docs, best = np.append(0, np.cumsum(count)), edge * np.cumsum(count)
+    for _ in range(9):
+        best = np.array([min([best[j], *(best[i] + edge[j] * (docs[j + 1] - docs[i + 1]) for i in range(j))]) for j in range(n)])
+    assert packing.optimal_boundaries(edge, count, edge * count, 10)[1] == best[-1] - (edge * count).sum()
 
 
 def test_sharding(docs, rows):
