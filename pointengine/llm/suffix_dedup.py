@@ -4,7 +4,9 @@ A byte goes if it lies in a WIDTH-byte string that also starts in a document wit
 
 1. Prefilter.  Every WIDTH-byte window has an anchor: its 16-byte string of least hash.  Neighbouring windows with one
    anchor are a fragment.  Equal windows have equal anchors, and SIDE equal bytes on one side of it at least, so a fragment is
-   asked for only if its anchor and one such side occur in another document too.  This step settles nothing.
+   asked for only if its anchor and one such side occur in another document too.  Fragments of one anchor meet in a shard;
+   those of hot anchors meet by anchor and side, of which a task passes on its least and largest document alone.  This step
+   settles nothing.
 2. Suffix arrays.  The bytes of the fragments that are asked for are dealt to shards by anchor.  Each shard builds a suffix
    array by Larsson-Sadakane refinement and common prefixes by Kasai's method; windows with a common prefix of WIDTH
    bytes form groups, settled by their least document.
@@ -31,6 +33,11 @@ WIDTH = 50
 GRAM = 16
 #: Bytes of text whose anchors make a shard of the prefilter, and bytes of text a task, at least.
 SHARD_BYTES, TASK_BYTES = 2 << 20, 64 << 20
+#: One text in so many tells which anchors are hot: those with so many fragments there, and of these the commonest at most.  That
+#: decides where fragments meet and never what is found.
+TOLD, HOT_TOLD, HOT_LIST = 64, 256, 1 << 20
+#: Sides of hot anchors that a task gathers before it passes them on.
+HELD = 1 << 20
 #: Fragments of one anchor in a shard of suffixes, about, and all fragments of one suffix array.
 HOT_ANCHOR, ARRAY_PARTS = 2048, 1 << 13
 #: Keys that are sent to all tasks, at most; with more of them a join takes their place.
@@ -201,29 +208,102 @@ def _unpack(blobs: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(o) for o in out]
 
 
-def _anchors(shards: int, tasks: int):
-    """Each block's fragments, one row a shard; of equal texts of a batch only that of the least document."""
+def _anchor_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for c in chunks(batch):
+            a, n = np.unique(fragments(c)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(n)], ["a", "n"])
+
+
+def _hot_anchors(texts: DataFrame) -> np.ndarray:
+    """Anchors whose fragments would fill a shard of their own, ascending; 8 MB at most."""
+    some = texts.where(F.pmod(F.xxhash64("doc", "h"), F.lit(TOLD)) == 0).select("text")
+    count = some.mapInArrow(_anchor_counts, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_TOLD)
+    top = count.orderBy(F.desc("n"), "a").limit(HOT_LIST).toArrow()
+    return np.sort(top.column("a").to_numpy().view(np.uint64))
+
+
+def _side_key(cols: list[np.ndarray]) -> np.ndarray:
+    """Anchor and tag of entries with one tag."""
+    left, right = cols[5].astype(np.uint64), cols[6].astype(np.uint64)
+    return mix(cols[0] + (left + (right << np.uint64(16))) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _sides(cols: list[np.ndarray]) -> list[np.ndarray]:
+    """Entries of one tag each of some fragments: those with a left tag, then those with a right one."""
+    own = [np.flatnonzero(cols[5]), np.flatnonzero(cols[6])]
+    out = [np.concatenate([x[at] for at in own]) for x in cols]
+    out[5][len(own[0]) :] = 0
+    out[6][: len(own[0])] = 0
+    return out
+
+
+def _combined(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(entries whose key occurs in several documents of these, entries to pass on).
+
+    What others need of a key that is known to be shared is its least and largest document; entries of other keys all go on.
+    """
+    key, doc = _side_key(cols), cols[1]
+    order = np.lexsort((doc, key))
+    head = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])[: len(key)])
+    tail = np.append(head[1:], len(key)) - 1
+    shared = np.repeat(doc[order[head]] < doc[order[tail]], tail - head + 1)
+    ends = np.zeros(len(key), bool)
+    ends[head] = ends[tail] = True
+    return order[shared], order[~shared | ends]
+
+
+def _dealt(cols: list[np.ndarray], shard: np.ndarray, tasks: int) -> pa.RecordBatch:
+    """One row a shard."""
+    order = np.argsort(shard, kind="stable")
+    cols, shard = [np.ascontiguousarray(x[order], t) for x, (_, t) in zip(cols, _ENTRY, strict=True)], shard[order]
+    cut = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])[: len(shard)]), len(shard))
+    own = shard[cut[:-1]]
+    blobs = [b"".join(x[lo:hi].tobytes() for x in cols) for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array((own % tasks).astype(np.int32)), pa.array(own), pa.array(blobs, pa.binary())], ["task", "shard", "entries"])
+
+
+def _anchors(shards: int, tasks: int, hot: np.ndarray):
+    """Each block's fragments, one row a shard; a text that a document holds in several rows of a batch counts once.
+
+    Shards below 0 hold sides of hot anchors that a task knows to be shared.
+    """
+
+    def passed(held: list[list[np.ndarray]], last: bool) -> Iterator[pa.RecordBatch]:
+        """What is known to be shared; the rest goes on at the end, and where holding it would take too much."""
+        cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+        asked, rest = _combined(cols)
+        known, cols = [x[asked] for x in cols], [x[rest] for x in cols]
+        held[:] = [cols]
+        if len(asked):
+            yield _dealt(known, -1 - (known[2] & 0xFFFF), tasks)
+        if last or len(rest) > HELD // 2:
+            held.clear()
+            yield _dealt(cols, (_side_key(cols) % np.uint64(shards)).astype(np.int64), tasks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
         for batch in batches:
             if not len(batch):
                 continue
             docs, hs = batch.column("doc").to_numpy(), batch.column("h").to_numpy()
             order = np.lexsort((docs, hs))
-            batch = batch.take(pa.array(np.sort(order[np.append(True, hs[order][1:] != hs[order][:-1])])))
+            batch = batch.take(pa.array(np.sort(order[np.append(True, (hs[order][1:] != hs[order][:-1]) | (docs[order][1:] != docs[order][:-1]))])))
             docs, hs = batch.column("doc").to_numpy(), batch.column("h").to_numpy()
             for c in chunks(batch):
                 a, s, e, text, left, right = fragments(c)
-                if not len(a):
-                    continue
-                shard = (a % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                cols = [np.ascontiguousarray(x[order], t) for x, (_, t) in zip((a, docs[c.row0 + text], hs[c.row0 + text], s - c.offs[text], e - s, left, right), _ENTRY, strict=True)]
-                shard = shard[order]
-                cut = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard))
-                own = shard[cut[:-1]]
-                blobs = [b"".join(x[lo:hi].tobytes() for x in cols) for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array((own % tasks).astype(np.int32)), pa.array(own), pa.array(blobs, pa.binary())], ["task", "shard", "entries"])
+                cols = [a, docs[c.row0 + text], hs[c.row0 + text], s - c.offs[text], e - s, left, right]
+                if len(hot) and len(a):
+                    is_hot = hot[np.minimum(np.searchsorted(hot, a), len(hot) - 1)] == a
+                    if is_hot.any():
+                        held.append(_sides([x[is_hot] for x in cols]))
+                        cols = [x[~is_hot] for x in cols]
+                        if sum(len(x[0]) for x in held) > HELD:
+                            yield from passed(held, False)
+                if len(cols[0]):
+                    yield _dealt(cols, (cols[0] % np.uint64(shards)).astype(np.int64), tasks)
+        if held:
+            yield from passed(held, True)
 
     return run
 
@@ -242,9 +322,10 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The fragments whose anchor and one of its sides occur in several documents; one shard at a time."""
     for batch in whole_groups(batches, "shard", 1):
         a, doc, h, start, size, left, right = _unpack(batch.column("entries").to_pylist())
-        some = np.flatnonzero(_shared(a, doc)) if len(a) else np.zeros(0, int)
-        ask = np.zeros(len(some), bool)
-        for tag in (left[some], right[some]):
+        known = batch.column("shard")[0].as_py() < 0
+        some = np.flatnonzero(_shared(a, doc)) if len(a) and not known else np.arange(len(a) if known else 0)
+        ask = np.full(len(some), known)
+        for tag in (left[some], right[some]) if not known else ():
             own = np.flatnonzero(tag)
             if len(own):
                 ask[own] |= _shared(mix(a[some[own]] + tag[own] * np.uint64(0x9E3779B97F4A7C15)), doc[some[own]])
@@ -277,7 +358,10 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = batch.column("asked")
         n = lists.value_lengths().to_numpy(zero_copy_only=False)
         row, flat = np.repeat(np.arange(len(batch)), n), lists.flatten()
-        start, end = flat.field("start").to_numpy().astype(np.int64), flat.field("end").to_numpy().astype(np.int64)
+        start = flat.field("start").to_numpy().astype(np.int64)
+        one = np.unique(row << 32 | start, return_index=True)[1]  # a side of a hot anchor may be asked for more than once
+        row, start, flat = row[one], start[one], flat.take(pa.array(one))
+        end = flat.field("end").to_numpy().astype(np.int64)
         cut = np.append(0, np.cumsum(end - start))
         lo = 0
         while lo < len(row):
@@ -392,7 +476,7 @@ def _covered_runs(texts: DataFrame, total: int) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(1, -(-total // SHARD_BYTES))
     tasks = max(min(parts, shards), -(-total // TASK_BYTES))
-    prints = texts.mapInArrow(_anchors(shards, tasks), "task int, shard long, entries binary")
+    prints = texts.mapInArrow(_anchors(shards, tasks, _hot_anchors(texts)), "task int, shard long, entries binary")
     asked = materialise(prints.repartition(tasks, "task").sortWithinPartitions("shard").mapInArrow(_ask, _ASKED))
     many = asked.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(HOT_ANCHOR))).cast("int").alias("ways")).where("ways > 1")
     many = materialise(many)

@@ -9,6 +9,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 
@@ -302,6 +304,48 @@ def test_far_ids_and_hot_anchors(spark, monkeypatch):
     assert got == _want(rows)
 
 
+def test_copies_are_settled_by_arrays_too(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "COMMON_TEXTS", 1)  # as in a table so large that no text is among the commonest
+    rng = random.Random(26)
+    rows = [(i, text(rng, 40)) for i in range(6)]
+    rows += [(10 + i, t) for i, t in rows] + [(20, rows[0][1]), (20, rows[0][1]), (None, rows[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_documents(docs).collect())
+    assert got == _want(rows)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_sides_of_hot_anchors(spark, monkeypatch, parts):
+    monkeypatch.setattr(suffix_dedup, "TOLD", 1)
+    monkeypatch.setattr(suffix_dedup, "HOT_TOLD", 2)
+    rng = random.Random(25)
+    passage, line = text(rng, 60), text(rng, 8)
+    rows = [(i, text(rng, 15) + " " + (passage[i:] if i % 3 else line) + " " + text(rng, 15)) for i in range(40)]
+    rows += [(None, passage), (3, line * 3), (50, line), (51, passage[:49]), (52, passage[7:57]), (None, line + passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    assert len(suffix_dedup._hot_anchors(docs.selectExpr("coalesce(doc_id, -1L) AS doc", "xxhash64(text) AS h", "text"))) > 5
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_documents(docs).collect())
+    assert got == _want(rows)
+
+
+@pytest.mark.parametrize("held", [1, 40, 1 << 20])
+def test_a_task_passes_on_few_sides_of_a_hot_anchor(monkeypatch, held):
+    monkeypatch.setattr(suffix_dedup, "HELD", held)
+    rng = random.Random(27)
+    passage = text(rng, 30)
+    texts = [text(rng, 5) + " " + passage + " " + text(rng, 5) for _ in range(200)]
+    hot = np.unique(suffix_dedup.fragments(chunk(passage))[0])
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 20)), pa.array(range(i, i + 20)), pa.array(texts[i : i + 20])], ["doc", "h", "text"]) for i in range(0, 200, 20)]
+    out = pa.Table.from_batches(list(suffix_dedup._anchors(3, 2, hot)(iter(batches))))
+    on = suffix_dedup._unpack([b for b, n in zip(out.column("entries").to_pylist(), out.column("shard").to_pylist(), strict=True) if n >= 0])
+    a = suffix_dedup._unpack(out.filter(pc.less(out.column("shard"), 0)).column("entries").to_pylist())[0]
+    inner = [x for x in hot if (a == x).sum() >= 200]
+    assert inner
+    if held == 1 << 20:  # one least and one largest document a side; sides that one text alone has go on
+        sides = Counter((x, l, r) for x, l, r in zip(on[0].tolist(), on[5].tolist(), on[6].tolist(), strict=True) if x in set(hot.tolist()))
+        assert max(sides.values()) == 2
+
+
 def test_kept_passages_keep_any_column(spark):
     rng = random.Random(16)
     passage = text(rng, 30)
