@@ -390,33 +390,48 @@ def _named(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _covered(doc: np.ndarray, h: np.ndarray, row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Windows that start at these places of the texts of some rows (doc, h), as runs."""
+def _covered(doc: np.ndarray, h: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ranges of the texts of some rows (doc, h), as runs."""
     name = _named(doc, h)
     one = np.empty(len(doc), np.int64)
     one[name] = np.arange(len(doc))
-    t, s, e = _runs(name[row], start, start + WIDTH)
+    t, s, e = _runs(name[row], start, end)
     return doc[one[t]], h[one[t]], s, e
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffix arrays over whole shards: runs that are covered, and a holder of each window of an anchor with several shards."""
+    """Suffix arrays over whole shards: runs that are covered, and a holder of each window of an anchor with several shards.
+
+    Fragments of equal bytes are one string of the array, held by the least of their documents; those of other documents are
+    covered whole.
+    """
     for batch in whole_groups(batches, "shard", ARRAY_PARTS):
-        doc, h, at = batch.column("doc").to_numpy(), batch.column("h").to_numpy(), batch.column("start").to_numpy()
-        split = batch.column("split").to_numpy(zero_copy_only=False)
-        buf, offs = column(batch, "part")
+        docs, hs, places = batch.column("doc").to_numpy(), batch.column("h").to_numpy(), batch.column("start").to_numpy().astype(np.int64)
+        splits = batch.column("split").to_numpy(zero_copy_only=False)
         for lo in range(0, len(batch), ARRAY_PARTS + HOT_ANCHOR * 4):  # whole groups are smaller but for a freak of dealing
             hi = min(len(batch), lo + ARRAY_PARTS + HOT_ANCHOR * 4)
-            text = buf[offs[lo] : offs[hi]]
-            start = offs[lo:hi] - offs[lo]
-            place, part, group, least = window_groups(text, start, np.diff(offs[lo : hi + 1]), doc[lo:hi])
-            own, where = part + lo, place - start[part]
-            gone = doc[own] > least
-            yield _settled(*_covered(doc[lo:hi], h[lo:hi], part[gone], at[own[gone]] + where[gone]))
-            ask = np.flatnonzero(~gone & (split[own] | (hi - lo < len(batch))))
+            doc, h, at, split = (x[lo:hi] for x in (docs, hs, places, splits))
+            coded = batch.column("part").slice(lo, hi - lo).dictionary_encode()
+            code = coded.indices.to_numpy()
+            buf, offs = column(pa.RecordBatch.from_arrays([coded.dictionary], ["part"]), "part")
+            text, head, size = buf[offs[0] : offs[-1]], offs[:-1] - offs[0], np.diff(offs)
+            first = np.full(len(size), np.iinfo(np.int64).max)
+            np.minimum.at(first, code, doc)
+            place, part, _, least = window_groups(text, head, size, first)
+            by = np.argsort(part, kind="stable")
+            cut = np.searchsorted(part[by], np.arange(len(size) + 1))
+            later, own = np.flatnonzero(doc > first[code]), np.flatnonzero(doc == first[code])
+            n = np.diff(cut)[code[own]]
+            row = np.repeat(own, n)
+            win = by[np.repeat(cut[code[own]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            start = at[row] + place[win] - head[part[win]]
+            gone = doc[row] > least[win]
+            ends = np.append(at[later] + size[code[later]], start[gone] + WIDTH)
+            yield _settled(*_covered(doc, h, np.append(later, row[gone]), np.append(at[later], start[gone]), ends))
+            ask = np.flatnonzero(~gone & (split[row] | (hi - lo < len(batch))))
             if len(ask):
                 data = text.tobytes()
-                yield _settled(doc[own[ask]], h[own[ask]], at[own[ask]] + where[ask], at[own[ask]] + where[ask] + WIDTH, [data[p : p + WIDTH] for p in place[ask].tolist()])
+                yield _settled(doc[row[ask]], h[row[ask]], start[ask], start[ask] + WIDTH, [data[p : p + WIDTH] for p in place[win[ask]].tolist()])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,7 +447,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     least = np.full(len(merged), np.iinfo(np.int64).max)
     np.minimum.at(least, at, doc)
     gone = doc > least[at]
-    yield _settled(*_covered(doc, h, np.flatnonzero(gone), start[gone].astype(np.int64)))
+    start = start[gone].astype(np.int64)
+    yield _settled(*_covered(doc, h, np.flatnonzero(gone), start, start + WIDTH))
 
 
 # ---------------------------------------------------------------------------------------------------- results
