@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import struct
@@ -270,6 +271,19 @@ def test_dealt_chunks_give_the_same_ids(spark, monkeypatch):
     assert piece_scan.digest(docs.limit(0), v).count() == 0
 
 
+# --------------------------------------------------------------------------------------- classifiers, held out
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+@pytest.mark.parametrize("model,name", [(toxicity_fm, "toxic"), (quality_pu, "quality")])
+def test_held_out_labels(spark, model, name):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = model.score_documents(docs, model.fit(docs, labels)).where("held_out").join(labels.selectExpr("doc_id", f"CAST({name} AS int) AS y"), "doc_id").where("y IS NOT NULL").toPandas()
+    good, bad = (got.score[got.y == k].to_numpy() for k in (1, 0))
+    assert len(good) and len(bad)
+    assert ((good[:, None] > bad).mean() + (good[:, None] == bad).mean() / 2) > 0.9  # area under the curve
+
+
 # -------------------------------------------------------------------------------------------- repeated passages
 
 
