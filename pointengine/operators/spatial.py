@@ -240,43 +240,53 @@ def parse_bounds(text: str) -> tuple[tuple[float, ...], tuple[float, ...]]:
     return tuple(v[: len(v) // 2]), tuple(v[len(v) // 2 :])
 
 
-#: Level whose cells part the files of an octree table.
-KEY_LEVEL = 2
+#: Deepest level whose cells part the files of an octree table, and cells of all levels together that have a folder, at most.
+KEY_LEVEL, FOLDERS = 2, 256
 
 
-def _cell(level: Column, keys: list[Column]) -> Column:
-    deep = F.greatest(level - F.lit(KEY_LEVEL), F.lit(0))
-    return F.concat_ws("_", *[F.floor(v / F.pow(F.lit(2.0), deep.cast("double"))).cast("int").cast("string") for v in keys])
+def _cell(keys: list[Column], up: int) -> Column:
+    """The name of the cell that parts a node's files: its level and keys.  It lies ``up`` levels above the node's cell of KEY_LEVEL, or above the
+    node itself where that is coarser; levels below 0 are wider than the root's cube."""
+    deep = F.greatest(F.col("level") - F.lit(KEY_LEVEL), F.lit(0)) + F.lit(up)
+    return F.concat_ws("_", (F.col("level") - deep).cast("string"), *[F.floor(v / F.pow(F.lit(2.0), deep.cast("double"))).cast("long").cast("string") for v in keys])
 
 
 def write_octree(df: DataFrame, level: Column, xyz: tuple[Column, Column, Column], side: float, path: str) -> None:
-    """points/: Parquet parted by level and coarse cell, sorted by key inside; nodes/: the index with its point counts."""
+    """points/: Parquet parted by level and coarse cell, sorted by key inside; nodes/: the index with its point counts.
+
+    Cells are as fine as FOLDERS allows, so that the number of files follows the tasks and not the ground that the points cover.  Spark deals the points
+    to ranges of keys of about equal size; a hash of the coordinates splits a node that has many.
+    """
+    keys = ("vx", "vy", "vz")
     keyed = df.withColumn("level", level.cast("int"))
-    keyed = keyed.select("*", *voxel(F.col("level"), *xyz, side)).withColumn("cell", _cell(F.col("level"), [F.col(v) for v in ("vx", "vy", "vz")]))
-    keyed.repartition("level", "cell", F.pmod(F.xxhash64("vx", "vy", "vz"), F.lit(8))).sortWithinPartitions("level", "cell", "vx", "vy", "vz").write.partitionBy("level", "cell").parquet(f"{path}/points")
+    keyed = keyed.select("*", *voxel(F.col("level"), *xyz, side), F.xxhash64(*xyz).alias("_split"))
+    fine = keyed.select("level", *[F.floor(F.col(k) / F.pow(F.lit(2.0), F.greatest(F.col("level") - F.lit(KEY_LEVEL), F.lit(0)).cast("double"))).cast("long").alias(k) for k in keys]).distinct()
+    tried = fine.select("level", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("up"), *keys).select("level", "up", *[F.expr(f"shiftright({k}, up)").alias(k) for k in keys]).distinct()
+    counts = tried.groupBy("up").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each of 33 widths
+    up = min((r.up for r in counts if r.n <= FOLDERS), default=32)
+    keyed = keyed.withColumn("cell", _cell([F.col(k) for k in keys], up))
+    keyed.repartitionByRange("level", "cell", *keys, "_split").sortWithinPartitions("level", "cell", *keys).drop("_split").write.partitionBy("level", "cell").parquet(f"{path}/points")
     table = df.sparkSession.read.parquet(f"{path}/points")
-    table.groupBy("level", "vx", "vy", "vz").agg(F.count(F.lit(1)).alias("point_count")).write.parquet(f"{path}/nodes")
+    table.groupBy("level", *keys).agg(F.count(F.lit(1)).alias("point_count")).write.parquet(f"{path}/nodes")
 
 
 def query_octree(spark: SparkSession, path: str, side: float, lo, hi, levels: range | None = None, resolution: float | None = None, spacing: float = 0.0) -> DataFrame:
     """Points of the nodes that a box reaches, at given levels or at a resolution; the caller's filter tests the points themselves.
 
-    Cells of the box become partition filters, so other folders are not read; the index decides which nodes of them count.
+    Cells that the box misses become partition filters, so their folders are not read; the index decides which nodes of the others count.
     """
     if levels is not None and resolution is not None:
         raise ValueError("levels or a resolution, not both")
     if levels is None:
         levels = levels_of(spacing, resolution) if resolution else range(0, 64)
     nodes = spark.read.parquet(f"{path}/nodes").where(F.col("level") < levels.stop)
-    cells = []
-    for lv in range(0, KEY_LEVEL + 1):
-        own = side / 2.0**lv
-        spans = [range(max(0, int(a // own) - 1), int(b // own) + 1) for a, b in zip(lo, hi, strict=True)]
-        cells.append([f"{x}_{y}_{z}" for x in spans[0] for y in spans[1] for z in spans[2] if x < 2**lv and y < 2**lv and z < 2**lv])
-    pruned = F.lit(False)
-    for lv, names in enumerate(cells):
-        pruned = pruned | ((F.col("level") >= lv if lv == KEY_LEVEL else F.col("level") == lv) & F.col("cell").isin(names))
-    table = spark.read.parquet(f"{path}/points").where((F.col("level") >= levels.start) & (F.col("level") < levels.stop) & pruned)
+    name = F.split("cell", "_")
+    own = F.lit(float(side)) / F.pow(F.lit(2.0), F.get(name, F.lit(0)).cast("double"))
+    wanted = (F.col("level") >= levels.start) & (F.col("level") < levels.stop)
+    for k, (a, b) in enumerate(zip(lo, hi, strict=True), 1):
+        at = F.get(name, F.lit(k)).cast("double")
+        wanted = wanted & (at * own <= F.lit(float(b))) & ((at + 1) * own >= F.lit(float(a)))
+    table = spark.read.parquet(f"{path}/points").where(wanted).where(overlaps(side, lo, hi))
     return table.join(reachable(nodes, side, lo, hi, levels).select("level", "vx", "vy", "vz"), ["level", "vx", "vy", "vz"], "left_semi")
 
 

@@ -129,6 +129,22 @@ def test_octree_table(spark, tmp_path):
     assert {r.level for r in fine.select("level").distinct().collect()} <= {0, 1}
 
 
+def test_octree_table_over_much_ground(spark, tmp_path):
+    """However far the points lie apart, and below the origin too, folders and files stay few; the box still opens only some of them."""
+    rng = random.Random(5)
+    rows = [(rng.randrange(-3000, 60000), rng.randrange(-3000, 60000), rng.randrange(2000), k % 5) for k in range(6000)] + [(7, 7, 7, 0), (None, 7, 7, 1)]
+    df = spark.createDataFrame(rows, "X int, Y int, Z int, lv int")
+    spatial.write_octree(df, F.col("lv"), (F.col("X"), F.col("Y"), F.col("Z")), 1024.0, str(tmp_path / "o"))
+    folders = list((tmp_path / "o" / "points").rglob("cell=*"))
+    assert 5 < len(folders) <= 257 and len(list((tmp_path / "o").rglob("*.parquet"))) < 512
+    lo, hi = (-2000.0, -2000.0, 0.0), (9000.0, 9000.0, 900.0)
+    got = spatial.query_octree(spark, str(tmp_path / "o"), 1024.0, lo, hi, range(0, 3))
+    nodes = {(lv, *(int(v // (1024 / 2**lv)) for v in r)) for *r, lv in rows if r[0] is not None}
+    hits = lambda lv, *v: all(c * 1024 / 2**lv <= b and (c + 1) * 1024 / 2**lv >= a for c, a, b in zip(v, lo, hi))
+    reached = lambda lv, *v: all((lv - u, *(c >> u for c in v)) in nodes and hits(lv - u, *(c >> u for c in v)) for u in range(lv + 1))
+    want = sorted((*r, lv) for *r, lv in rows if r[0] is not None and lv < 3 and reached(lv, *(int(v // (1024 / 2**lv)) for v in r)))
+    assert sorted((r.X, r.Y, r.Z, r.lv) for r in got.collect()) == want and len({r[3] for r in want}) > 1
+
 def test_tiles_are_split_until_small(spark):
     rng = random.Random(2)
     rows = [(rng.randrange(64), rng.randrange(64)) for _ in range(300)] + [(5, 5)] * 40
