@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import base64
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -12,10 +12,11 @@ from urllib.parse import quote
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.serializers import CloudPickleSerializer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from .. import dims
 from ..errors import CodecError, IncompatibleData
@@ -300,7 +301,8 @@ def write(cloud: PointCloud, path: str, records: list[lasfile.Record] | None = N
     spark = cloud.df.sparkSession
     reachable(_whole(spark, path))
     register(spark)
-    encoded(cloud.df, head, packer).select("part", "content").write.format("las_parts").mode("append").option("path", _whole(spark, path)).save()
+    how = base64.b64encode(CloudPickleSerializer().dumps((head, packer))).decode()  # options are texts
+    cloud.df.write.format("las_parts").mode("append").option("path", _whole(spark, path)).option("how", how).save()
 
 
 def head_of(cloud: PointCloud, records: list[lasfile.Record] | None = None) -> dict:
@@ -317,42 +319,37 @@ def arrays_of(b: pa.RecordBatch) -> dict[str, np.ndarray]:
     return {name: np.stack(v.to_numpy(zero_copy_only=False)) if pa.types.is_list(v.type) and len(v) else v.to_numpy(zero_copy_only=False) for name, v in zip(b.schema.names, b.columns, strict=True)}
 
 
-def encoded(df: DataFrame, head: dict, codec: lasfile.Codec | None = None) -> DataFrame:
-    """(part, content, stats): complete LAS files as bytes, about FILE_BYTES of points each."""
-
-    return df.mapInArrow(lambda batches: encode_batches(batches, head, codec), "part string, content binary, stats string")
-
-
-def encode_batches(batches: Iterator[pa.RecordBatch], head: dict, codec: lasfile.Codec | None = None) -> Iterator[pa.RecordBatch]:
-    """(part, content, stats) of a task's points."""
+def encode_batches(batches: Iterator[pa.RecordBatch], head: dict, codec: lasfile.Codec | None = None) -> Iterator[tuple[str, list]]:
+    """(name, buffers) of a task's files, about FILE_BYTES of points each; points are held once, and a file's buffers only until the next is asked for."""
     from pyspark import TaskContext
 
-    part, parts, n, k = TaskContext.get().partitionId(), [], 0, 0
+    part, parts, size, k = TaskContext.get().partitionId(), [], 0, 0
 
-    def out() -> pa.RecordBatch:
+    def out() -> tuple[str, list]:
         h = lasfile.Header(**head)
-        pts = np.concatenate(parts) if parts else np.zeros(0, h.dtype)
-        s = lasfile.statistics(pts, h)
-        h = lasfile.with_statistics(h, [s])
-        h.extra = lasfile.with_extremes(h.extra, pts)
-        body = memoryview(pts).cast("B") if len(pts) else b""
+        h = lasfile.with_statistics(h, [lasfile.statistics(p, h) for p in parts] or [lasfile.statistics(np.zeros(0, h.dtype), h)])
+        h.extra = lasfile.with_extremes(h.extra, parts)
+        body = [memoryview(p).cast("B") for p in parts]
+        front = h.pack()
         if codec:
-            body = codec.body(pts, h, len(h.pack()))
-        content = b"".join((h.pack(len(body)), body, h.tail()))
-        return pa.RecordBatch.from_arrays([pa.array([f"part-{part:05d}-{k:03d}.{'laz' if codec else 'las'}"]), pa.array([content], pa.binary()), pa.array([json.dumps(s)])], ["part", "content", "stats"])
+            body = [codec.body(np.concatenate(parts) if parts else np.zeros(0, h.dtype), h, len(front))]
+            front = h.pack(len(body[0]))
+        return f"part-{part:05d}-{k:03d}.{'laz' if codec else 'las'}", [front, *body, h.tail()]
 
+    h = lasfile.Header(**head)
     for b in batches:
-        h = lasfile.Header(**head)
-        parts.append(lasfile.records_of(arrays_of(b), h, len(b)))
-        n += len(b)
-        if sum(p.nbytes for p in parts) >= FILE_BYTES:
-            yield out()
-            parts, n, k = [], 0, k + 1
-    if n or part == 0 and k == 0:
+        if len(b):
+            parts.append(lasfile.records_of(arrays_of(b), h, len(b)))
+            size += parts[-1].nbytes
+        if size >= FILE_BYTES:
+            own = out()
+            yield own
+            own[1].clear()
+            parts, size, k = [], 0, k + 1
+    if size or part == 0 and k == 0:
         yield out()
 
 
-
 #: Bytes of points in one written file, about.
 FILE_BYTES = 64 << 20
 
@@ -362,33 +359,34 @@ RENAMES = 32
 
 
 class PartsSource(DataSource):
-    """Writer of whole files: rows (part, content) to a folder."""
+    """Writer of points to a folder of whole files; how: the header's fields and the codec, pickled."""
 
     @classmethod
     def name(cls) -> str:
         return "las_parts"
 
-    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
-        return PartsWriter(self.options["path"])
+    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return PartsWriter(self.options["path"], *CloudPickleSerializer().loads(base64.b64decode(self.options["how"])))
 
 
-class PartsWriter(DataSourceWriter):
-    """Files get their names when the whole job has succeeded; one that fails takes its files away."""
+class PartsWriter(DataSourceArrowWriter):
+    """A task packs its points and writes its files, so no file goes through Spark's rows.  Files get their names when the whole job has succeeded; one that fails takes its files away."""
 
-    def __init__(self, path: str):
-        self.path, self.prefix = path, uuid.uuid4().hex[:12] + "-"  # files of an earlier write stay beside these
+    def __init__(self, path: str, head: dict, codec: lasfile.Codec | None = None):
+        self.path, self.head, self.codec, self.prefix = path, head, codec, uuid.uuid4().hex[:12] + "-"  # files of an earlier write stay beside these
 
     def _store(self):
         return _store(self.path)
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, folder = self._store()
         store.create_dir(folder, recursive=True)
         out = []
-        for part, content in rows:
+        for part, buffers in encode_batches(batches, self.head, self.codec):
             tmp = f"{folder}/_{self.prefix}{part}.{uuid.uuid4().hex}"
             with store.open_output_stream(tmp) as f:
-                f.write(content)
+                for x in buffers:
+                    f.write(x)
             out.append((tmp, f"{folder}/{self.prefix}{part}"))
         return PartsWritten(out)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from .. import dims
 from ..errors import IncompatibleData
@@ -175,13 +175,10 @@ class LasReader(DataSourceReader):
                     yield pa.RecordBatch.from_arrays([made[x.name] for x in self.schema.fields], [x.name for x in self.schema.fields])
 
 
-class LasWriter(las.PartsWriter, DataSourceArrowWriter):
+class LasWriter(las.PartsWriter):
     def __init__(self, path: str, head: dict, overwrite: bool):
-        super().__init__(path)
-        self.head, self.overwrite = head, overwrite
-
-    def write(self, batches: Iterator[pa.RecordBatch]) -> las.PartsWritten:
-        return super().write((r["part"], r["content"]) for b in las.encode_batches(batches, self.head) for r in b.to_pylist())
+        super().__init__(path, head)
+        self.overwrite = overwrite
 
     def commit(self, messages: list[las.PartsWritten | None]) -> None:
         store, folder = self._store()

@@ -2,8 +2,12 @@
 
 import random
 import struct
+import tracemalloc
+import types
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +109,21 @@ def test_a_failed_write_leaves_no_file(spark, tmp_path):
     assert not list((tmp_path / "bad").glob("*.las")) if (tmp_path / "bad").exists() else True
 
 
+def test_a_task_holds_a_file_once(monkeypatch):
+    """Points of a file are neither joined nor copied before they are written."""
+    import pyspark
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: types.SimpleNamespace(partitionId=lambda: 0))
+    monkeypatch.setattr(las, "FILE_BYTES", 8 << 20)
+    n = 10000
+    made = (pa.RecordBatch.from_pydict({a: np.arange(n, dtype=np.int32) for a in "XYZ"}) for _ in range(3 * (8 << 20) // (20 * n)))
+    tracemalloc.start()
+    files = sum(1 for _ in las.encode_batches(made, {"fmt": 0}))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert files == 3 and peak < 1.5 * (8 << 20)
+
+
 def test_octree_table(spark, tmp_path):
     rng = random.Random(1)
     rows = [(rng.randrange(1024), rng.randrange(1024), rng.randrange(1024), k % 5) for k in range(3000)]
