@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exprs
+from ..sources import scratch
 from .cloud import AXES, PointCloud
 from .ranks import running
 
@@ -129,21 +130,43 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, cell: float = 0.0) ->
     return best(first.unionByName(more)).select("query", "id", "rank", "d2")
 
 
+#: Levels of tiles that are counted in one pass, at least.
+TILE_LEVELS = 4
+
+
 def recursive_tiles(df: DataFrame, most: int, side: float, depth: int = 16) -> DataFrame:
     """Every point with the tile (t_level, tx, ty) it falls into: squares of ``side`` are quartered until none holds more than
-    ``most`` points, or ``depth`` times.
+    ``most`` points, or ``depth`` times.  Points without X or Y have none.
 
-    Points of the finest cells are counted once; the counts of coarser tiles are their sums, and a fine cell belongs to the
-    coarsest tile that is small enough.
+    A few levels are counted at a time, from the top: only points of tiles that hold too many go on to the next.  Points of a pass's finest cells
+    are counted once, and the counts of its coarser tiles are their sums.  Of the cells that a pass counts there are at most so many for every ``most``
+    points as its levels quarter a tile into, so they stay few beside the points, wherever these lie.
     """
-    at = lambda a: F.floor(F.col(a) / F.lit(side / 2.0**depth)).cast("long")
-    fine = df.groupBy(at("X").alias("fx"), at("Y").alias("fy")).agg(F.count(F.lit(1)).alias("n"))
-    levels = fine.select("fx", "fy", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("t_level"))
-    levels = levels.select("*", *[F.expr(f"shiftright({f}, {depth} - t_level)").alias(t) for f, t in (("fx", "tx"), ("fy", "ty"))])
-    size = levels.groupBy("t_level", "tx", "ty").agg(F.sum("n").alias("all"))
-    fit = levels.join(size, ["t_level", "tx", "ty"]).where((F.col("all") <= most) | (F.col("t_level") == depth))
-    tile = fit.groupBy("fx", "fy").agg(F.min(F.struct("t_level", "tx", "ty")).alias("t")).select("fx", "fy", "t.*")
-    return df.withColumn("fx", at("X")).withColumn("fy", at("Y")).join(tile, ["fx", "fy"]).drop("fx", "fy")
+    spark = df.sparkSession
+    df = df.withColumns({f"_f{a.lower()}": F.floor(F.col(a) / F.lit(side / 2.0**depth)).cast("long") for a in ("X", "Y")}).where("_fx IS NOT NULL AND _fy IS NOT NULL")
+    step = max(TILE_LEVELS, int(math.log(most, 4)) - 1 if most > 1 else 0)
+    ends = sorted({0, *range(step, depth, step), depth})
+    cell = lambda end: {f"_c{a}": F.expr(f"shiftright(_f{a}, {depth} - {end})") for a in "xy"}
+    at = ["_cx", "_cy"]
+    rest, tile, tagged = df.select("_fx", "_fy"), None, df.withColumn("_end", F.lit(0))
+    for k, end in enumerate(ends):
+        cells, path = rest.select(*[v.alias(c) for c, v in cell(end).items()]).groupBy(*at).agg(F.count(F.lit(1)).alias("_n")), scratch.folder(spark, "tiles")
+        cells.write.parquet(path)
+        cells = spark.read.parquet(path)
+        first = ends[k - 1] + 1 if k else 0
+        levels = cells.select("*", F.explode(F.sequence(F.lit(first), F.lit(end))).alias("t_level"))
+        levels = levels.select("*", *[F.expr(f"shiftright({c}, {end} - t_level)").alias(t) for c, t in zip(at, ("tx", "ty"), strict=True)])
+        size = levels.groupBy("t_level", "tx", "ty").agg(F.sum("_n").alias("_all"))
+        fit = levels.join(size, ["t_level", "tx", "ty"]).where((F.col("_all") <= most) | (F.col("t_level") == depth))
+        own = fit.groupBy(*at).agg(F.min("t_level").alias("t_level")).select(F.lit(end).alias("_end"), *at, "t_level")
+        tile = own if tile is None else tile.unionByName(own)
+        full = cells.where(F.col("_n") > most).select(*at)
+        if end == depth or full.isEmpty():
+            break
+        rest = df.select("_fx", "_fy").withColumns(cell(end)).join(full, at, "left_semi").select("_fx", "_fy")
+        tagged = tagged.withColumns(cell(end)).join(full.withColumn("_next", F.lit(ends[k + 1])), at, "left").withColumn("_end", F.coalesce("_next", "_end")).drop(*at, "_next")
+    placed = tagged.withColumns(cell("_end")).join(tile, ["_end", *at])
+    return placed.withColumns({t: F.expr(f"shiftright({f}, {depth} - t_level)") for t, f in (("tx", "_fx"), ("ty", "_fy"))}).drop("_end", "_fx", "_fy", *at)
 
 
 # ------------------------------------------------------------------------------------------------------- octree

@@ -177,6 +177,23 @@ def test_tiles_are_split_until_small(spark):
     assert all(n <= 20 or lv == 4 for (lv, _, _), n in size.items()) and len({lv for lv, _, _ in size}) > 1
 
 
+def test_tiles_of_scattered_points(spark):
+    """A dense spot among points that lie far apart is cut deep; the others are not counted at its depth."""
+    rng = random.Random(6)
+    rows = [(rng.randrange(-9000, 9000), rng.randrange(-9000, 9000)) for _ in range(300)] + [(40 + k % 3, 900) for k in range(60)] + [(None, 1)]
+    tiles = spatial.recursive_tiles(spark.createDataFrame(rows, "X int, Y int"), 20, 1024.0, 10)
+    out, size, whole = tiles.collect(), {}, {}
+    for x, y in rows[:-1]:
+        for lv in range(11):
+            key = (lv, x // (1024 >> lv), y // (1024 >> lv))
+            whole[key] = whole.get(key, 0) + 1
+    for r in out:
+        assert all(whole[lv, r.X // (1024 >> lv), r.Y // (1024 >> lv)] > 20 for lv in range(r.t_level)) and (r.tx, r.ty) == (r.X // (1024 >> r.t_level), r.Y // (1024 >> r.t_level))
+        size[r.t_level, r.tx, r.ty] = size.get((r.t_level, r.tx, r.ty), 0) + 1
+    assert len(out) == len(rows) - 1 and max(lv for lv, _, _ in size) > 8 and all(n == whole[t] and (n <= 20 or t[0] == 10) for t, n in size.items())
+    assert "sequence(0, 10" not in tiles._jdf.queryExecution().toString()
+
+
 def test_nearest_is_exact(spark):
     rng = random.Random(3)
     rows = [(i, float(rng.randrange(1000)) if i % 9 else 1e6, float(rng.randrange(40))) for i in range(400)] + [(400 + i, 3.0, 3.0) for i in range(30)]
