@@ -31,6 +31,8 @@ from . import las, lasfile, onefile, scratch
 PAGE_LEVELS = 3
 #: Bytes that one task reads with one seek, about, and gaps between byte ranges that are read over.
 READ_BYTES = 16 << 20
+#: Points that a task joins or sorts, about, while a file is written.
+TASK_ROWS = 1 << 19
 _KEY = ("level", "vx", "vy", "vz")
 _ENTRIES = "level int, vx int, vy int, vz int, offset long, byte_size int, point_count int"
 _ENTRY = np.dtype([("level", "<i4"), ("vx", "<i4"), ("vy", "<i4"), ("vz", "<i4"), ("offset", "<u8"), ("byte_size", "<i4"), ("point_count", "<i4")])
@@ -48,7 +50,7 @@ def write(cloud: PointCloud, path: str, depth: int, cells: int = 32, priority: s
     if cloud.fmt < 6:
         raise IncompatibleData("octree files have point formats 6 to 8")
     target = onefile.local(spark, path)
-    lo, hi = cloud.df.agg(F.array(*[F.min(a) for a in AXES]), F.array(*[F.max(a) for a in AXES])).first()
+    lo, hi, count = cloud.df.agg(F.array(*[F.min(a) for a in AXES]), F.array(*[F.max(a) for a in AXES]), F.count(F.lit(1))).first()
     lo = [0, 0, 0] if lo[0] is None else lo
     hi = lo if hi[0] is None else hi
     low = [min(a * s, b * s) + o for a, b, s, o in zip(lo, hi, cloud.scales, cloud.offsets, strict=True)]
@@ -60,7 +62,8 @@ def write(cloud: PointCloud, path: str, depth: int, cells: int = 32, priority: s
     keyed = levelled.select("*", *spatial.voxel(F.col("level"), *[F.col(f"_{a}") for a in AXES], side))
     keyed = keyed.withColumn("_order", order).drop(*[f"_{a}" for a in AXES])
     where = scratch.folder(spark, "octree")
-    keyed.write.parquet(where)
+    with scratch.partitions(spark, math.ceil(count / TASK_ROWS)):
+        keyed.write.parquet(where)
     keyed = spark.read.parquet(where)
     nodes = keyed.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("point_count"))
     gps = keyed.agg(F.min("gps_time"), F.max("gps_time")).first()
@@ -69,7 +72,8 @@ def write(cloud: PointCloud, path: str, depth: int, cells: int = 32, priority: s
     head["version"] = "1.4"
     # a key may have many points: the order's value splits them between tasks
     dealt = keyed.repartitionByRange(*_KEY, "_order").sortWithinPartitions(*_KEY, "_order").drop(*_KEY, "_order")
-    made = onefile.pieces(dealt, head)
+    with scratch.partitions(spark, math.ceil(count / TASK_ROWS)):
+        made = onefile.pieces(dealt, head)
     h = lasfile.with_statistics(lasfile.Header(**head), [onefile.statistics_of(made)])
     info = lambda root, size: lasfile.pack_copc_info(tuple(a + side / 2 for a in low), side / 2, side / cells, root, size, (gps[0] or 0.0, gps[1] or 0.0))
     h.records = [info(0, 0), *[r for r in h.records if not r.extended]]
@@ -255,11 +259,16 @@ def query(spark: SparkSession, path: str, lo=None, hi=None, levels: range | None
             for b in batches:
                 for first, n, inside in zip(b.column("first").to_pylist(), b.column("n_bytes").to_pylist(), b.column("nodes"), strict=True):
                     f.seek(first)
-                    own = np.frombuffer(f.read(n), h.dtype)
                     key = {k: inside.values.field(k).to_numpy(zero_copy_only=False) for k in ("byte_size", *_KEY)}
-                    count = key["byte_size"] // h.dtype.itemsize
-                    cols = lasfile.columns_of(own, h.fmt, [x.name for x in pick])
-                    yield pa.RecordBatch.from_arrays([*[pa.array(np.repeat(key[k], count).astype(np.int32)) for k in _KEY], *[las._array(cols[x.name], x.dataType) for x in pick]], out.names)
+                    ends = np.cumsum(key["byte_size"], dtype=np.int64) // h.dtype.itemsize
+                    step = max(1, READ_BYTES // h.dtype.itemsize)
+                    for done in range(0, n // h.dtype.itemsize, step):  # one node may hold more than a task should
+                        own = np.frombuffer(raw := f.read(min(step * h.dtype.itemsize, n - done * h.dtype.itemsize)), h.dtype, len(raw) // h.dtype.itemsize)
+                        if len(own) < min(step, n // h.dtype.itemsize - done):
+                            raise IncompatibleData(f"{path} ends within a node at {first}")
+                        node = np.searchsorted(ends, np.arange(done, done + len(own)), "right")
+                        cols = lasfile.columns_of(own, h.fmt, [x.name for x in pick])
+                        yield pa.RecordBatch.from_arrays([*[pa.array(key[k][node].astype(np.int32)) for k in _KEY], *[las._array(cols[x.name], x.dataType) for x in pick]], out.names)
 
     dealt = reads(nodes).repartition(max(1, spark.sparkContext.defaultParallelism))
     cloud = PointCloud(dealt.mapInArrow(run, out), h.fmt, tuple(h.scales), tuple(h.offsets), h.version, h.extra, tuple(r for r in h.records if r.user_id != "copc"), h.meta())

@@ -78,14 +78,17 @@ _ARROW = [pa.int32(), pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.li
 def placed(made: DataFrame, size: Column | str) -> DataFrame:
     """The pieces with ``at``: the sum of ``size`` over all pieces before, in order of part and piece.
 
-    Sums are taken within a part, and over one row a part, of which there are as many as tasks wrote.
+    Sums are taken within a part, and over one row a part, of which there are as many as tasks wrote.  No content is sorted or shuffled for them: a row
+    a piece of about PIECE_BYTES is sent to all tasks.
     """
     size = F.col(size) if isinstance(size, str) else size
     within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = made.groupBy("part").agg(F.sum(size).alias("_all")).select("part", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_base"))
-    own = made.withColumn("_own", F.coalesce(F.sum(size).over(within), F.lit(0)))
-    return own.join(parts, "part").withColumn("at", (F.col("_base") + F.col("_own")).cast("long")).drop("_own", "_base")
+    of = made.select("part", "seq", size.alias("_size"))
+    parts = of.groupBy("part").agg(F.sum("_size").alias("_all")).select("part", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_base"))
+    own = of.withColumn("_own", F.coalesce(F.sum("_size").over(within), F.lit(0)))
+    at = own.join(parts, "part").select("part", "seq", (F.col("_base") + F.col("_own")).cast("long").alias("at"))
+    return made.join(F.broadcast(at), ["part", "seq"])
 
 
 def put(rows: DataFrame, path: str) -> int:

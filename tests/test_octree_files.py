@@ -134,3 +134,28 @@ def test_corners(spark, tmp_path):
     octreefile.write(cloud, path, 4)
     assert sorted((r.X, r.Y, r.Z) for r in octreefile.query(spark, path).df.collect()) == sorted(r[:3] for r in rows)
     assert min(min(r.vx, r.vy, r.vz) for r in octreefile.index(spark, path).collect()) == 0
+
+
+def test_tasks_do_not_grow(spark, tmp_path, monkeypatch):
+    """More points take more tasks, places are found without the points' bytes, and a node larger than READ_BYTES is read in parts."""
+    rows, cloud = made(spark)
+    monkeypatch.setattr(octreefile, "TASK_ROWS", 100)
+    monkeypatch.setattr(octreefile, "READ_BYTES", 700)
+    name, seen, pieces, placed = "spark.sql.shuffle.partitions", [], onefile.pieces, onefile.placed
+    own = spark.conf.get(name)
+    monkeypatch.setattr(onefile, "pieces", lambda *a: seen.append(spark.conf.get(name)) or pieces(*a))
+    monkeypatch.setattr(onefile, "placed", lambda *a: seen.append(placed(*a)) or seen[-1])
+    path = str(tmp_path / "o.las")
+    octreefile.write(cloud, path, 3, 4)
+    assert seen[0] == "43" and spark.conf.get(name) == own
+    plan = seen[1]._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    below = [plan[k + 1] for k, line in enumerate(plan) if "Window [" in line]
+    assert below and not any("content" in line for line in below)
+    assert max(n.byte_size for n in octreefile.index(spark, path).collect()) > 700
+    got = octreefile.query(spark, path).df.collect()
+    assert sorted((r.X, r.Y, r.Z, r.intensity, r.gps_time) for r in got) == sorted(rows)
+    key = {(n.level, n.vx, n.vy, n.vz): n.point_count for n in octreefile.index(spark, path).collect()}
+    count = {}
+    for r in got:
+        count[r.level, r.vx, r.vy, r.vz] = count.get((r.level, r.vx, r.vy, r.vz), 0) + 1
+    assert count == key
