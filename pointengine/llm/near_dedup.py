@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_counted, materialise, text_key, whole_groups
+from .common import discard, join_counted, lean, materialise, text_key, whole_groups
 from .components import connected_components
 from .textbytes import Chunk, chunks, mix
 
@@ -36,6 +36,9 @@ AGREE = 36
 #: Bytes of text of one side of a cell, about, and members that are held against one central member at once.
 CELL_BYTES = 4 << 20
 CELL_ROWS = 1024
+#: Bytes of text that are shingled at once, and different texts of a batch that are copied out of it at once, so that a task's Python
+#: stays small: its arrays take many times the text.
+TEXT_BYTES, TEXT_ROWS = 1 << 19, 512
 #: Ids of texts to compare that are sent to all tasks, at most; beyond it they are joined.
 BROADCAST_IDS = 1 << 20
 
@@ -80,7 +83,7 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     total = np.zeros((SKETCH_ROWS, BUCKETS), np.int64)
     texts = 0
     for batch in batches:
-        for c in chunks(batch):
+        for c in chunks(batch, limit=TEXT_BYTES):
             _, h, _ = shingles(c)
             for row in range(SKETCH_ROWS):
                 total[row] += np.bincount(_bucket(h, row), minlength=BUCKETS)
@@ -106,7 +109,7 @@ def damped_idf(counts: np.ndarray, texts: int) -> np.ndarray:
 
 def shingle_weights(docs: DataFrame) -> np.ndarray:
     """The damped inverse document frequency of every cell of the sketch: 2 MB at any size of the corpus."""
-    rows = docs.select("text").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.select("text").mapInArrow(lean(_bucket_counts), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     bucket, n = rows.column("bucket").to_numpy(), rows.column("n").to_numpy()
     counts = np.zeros(SKETCH_ROWS * BUCKETS)
     counts[bucket[bucket >= 0]] = n[bucket >= 0]
@@ -149,30 +152,33 @@ _SIGNED = "node binary, bands array<long>, sig binary, weight double, n_bytes lo
 def _signed(idf: np.ndarray):
     """Bands, and as one blob bands and samples, of the different texts of a batch; texts without words have none."""
 
+    def sign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for c in chunks(batch, limit=TEXT_BYTES):
+            text, h, times = shingles(c)
+            w = _weights(h, times, idf)
+            cut = np.searchsorted(text, np.arange(c.n + 1))
+            lo = 0
+            while lo < c.n:
+                hi = max(lo + 1, int(np.searchsorted(cut, cut[lo] + SAMPLED, "right")) - 1)
+                own = slice(cut[lo], cut[hi])
+                lo = hi
+                if own.start == own.stop:
+                    continue
+                has, s = samples(text[own], h[own], w[own])
+                band = np.zeros((len(s), BANDS), np.uint64)
+                for k in range(ROWS):
+                    band = mix(band * np.uint64(31) + s[:, k::ROWS] + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                sig = np.concatenate([band.view(np.uint32), s], 1)
+                at = pa.array(np.arange(len(s) + 1, dtype=np.int32) * BANDS)
+                weight = np.bincount(text[own] - has[0], w[own])[has - has[0]]
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(has + c.row0)), pa.ListArray.from_arrays(at, pa.array(band.ravel().view(np.int64))), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(weight), pa.array(np.diff(c.offs)[has])], [x.split()[0] for x in _SIGNED.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node = batch.column("node").dictionary_encode()
             first = np.sort(np.unique(node.indices.to_numpy(), return_index=True)[1]) if len(batch) else []
-            batch = batch.take(pa.array(first, pa.int64()))
-            for c in chunks(batch):
-                text, h, times = shingles(c)
-                w = _weights(h, times, idf)
-                cut = np.searchsorted(text, np.arange(c.n + 1))
-                lo = 0
-                while lo < c.n:
-                    hi = max(lo + 1, int(np.searchsorted(cut, cut[lo] + SAMPLED, "right")) - 1)
-                    own = slice(cut[lo], cut[hi])
-                    lo = hi
-                    if own.start == own.stop:
-                        continue
-                    has, s = samples(text[own], h[own], w[own])
-                    band = np.zeros((len(s), BANDS), np.uint64)
-                    for k in range(ROWS):
-                        band = mix(band * np.uint64(31) + s[:, k::ROWS] + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                    sig = np.concatenate([band.view(np.uint32), s], 1)
-                    at = pa.array(np.arange(len(s) + 1, dtype=np.int32) * BANDS)
-                    weight = np.bincount(text[own] - has[0], w[own])[has - has[0]]
-                    yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(has + c.row0)), pa.ListArray.from_arrays(at, pa.array(band.ravel().view(np.int64))), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(weight), pa.array(np.diff(c.offs)[has])], [x.split()[0] for x in _SIGNED.split(", ")])
+            for own in range(0, len(first), TEXT_ROWS):
+                yield from sign(batch.take(pa.array(first[own : own + TEXT_ROWS], pa.int64())))
 
     return run
 
@@ -254,7 +260,7 @@ def _links_of(idf: np.ndarray, agree: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches, "cell", 512):
             cells, found = _Cells(batch, agree), []
-            parts = [shingles(c) + (c.row0,) for c in chunks(batch)]
+            parts = [shingles(c) + (c.row0,) for c in chunks(batch, limit=TEXT_BYTES)]
             text, h, times = np.concatenate([t + r for t, _, _, r in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
             w = _weights(h, times, idf)
             cut = np.searchsorted(text, np.arange(len(batch) + 1))
@@ -298,8 +304,8 @@ def _links(cells: DataFrame, signed: DataFrame, texts: DataFrame, idf: np.ndarra
     sig = signed.select("node", "sig", "weight")
     parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     deal = lambda df: df.repartition(parts, "cell").sortWithinPartitions("cell", "side")
-    left = materialise(deal(cells.join(sig, "node")).mapInArrow(_hopeful(agree), _CELL))
-    out = materialise(deal(left.join(sig, "node").join(texts, "node")).mapInArrow(_links_of(idf, agree), "a binary, b binary, similarity double"))
+    left = materialise(deal(cells.join(sig, "node")).mapInArrow(lean(_hopeful(agree)), _CELL))
+    out = materialise(deal(left.join(sig, "node").join(texts, "node")).mapInArrow(lean(_links_of(idf, agree)), "a binary, b binary, similarity double"))
     discard(left)
     return out
 
@@ -356,7 +362,7 @@ def components(texts: DataFrame, agree: int = AGREE) -> DataFrame:
     Texts without words are alike to none.
     """
     idf = shingle_weights(texts)
-    signed = materialise(texts.mapInArrow(_signed(idf), _SIGNED).dropDuplicates(["node"]))
+    signed = materialise(texts.mapInArrow(lean(_signed(idf)), _SIGNED).dropDuplicates(["node"]))
     each = signed.select("node", "n_bytes", F.posexplode("bands").alias("first", "band"))
     size = each.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialise(each.join(size, "band"))

@@ -423,3 +423,27 @@ def test_filter_stages_judge_rows(spark):
 def test_chunk_edges():
     c = Chunk(np.frombuffer(b"a b\n\nc", np.uint8), np.array([0, 3, 3, 6]))
     assert c.lines()[2].tolist() == [0, 1, 2, 2, 2] and c.words()[2].tolist() == [0, 0, 2]
+
+
+def test_near_dedup_arrays_stay_small():
+    """A worker's arrays follow TEXT_BYTES and not the Arrow batch; what is signed is the same, each different text once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(150)) for _ in range(4000)]
+    texts += texts[:40]
+    batch = pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(t.encode()).digest()[:16] for t in texts]), pa.array(texts)], ["node", "text"])
+    idf = np.ones((near_dedup.SKETCH_ROWS, near_dedup.BUCKETS), np.float32)
+    for run in (near_dedup._bucket_counts, near_dedup._signed(idf)):
+        list(run(iter([batch.slice(0, 10)])))  # tables that stay
+        tracemalloc.start()
+        for _ in run(iter([batch])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        print(run.__name__, peak / 1e6)
+        assert peak < 40e6
+    nodes = [n for out in near_dedup._signed(idf)(iter([batch])) for n in out.column("node").to_pylist()]
+    assert nodes == batch.column("node").to_pylist()[:4000]
