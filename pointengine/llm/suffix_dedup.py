@@ -26,13 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, text_key, whole_groups
+from .common import discard, lean, materialise, text_key, whole_groups
 from .textbytes import Chunk, chunks, column, mix
 
 WIDTH = 50
 GRAM = 16
 #: Bytes of text whose anchors make a shard of the prefilter, and bytes of text a task, at least.
 SHARD_BYTES, TASK_BYTES = 2 << 20, 64 << 20
+#: Bytes of text whose fragments are found at once, and texts of a batch that are copied out of it at once, so that a task's Python
+#: stays small: its arrays take many times the text.
+TEXT_BYTES, TEXT_ROWS = 1 << 18, 512
+#: Fragments that a task gathers before it deals them to shards, and bytes of fragments that are cut out at once.
+DEALT, CUT_BYTES = 1 << 17, 1 << 20
 #: One text in so many tells which anchors are hot: those with so many fragments there, and of these the commonest at most.  That
 #: decides where fragments meet and never what is found.
 TOLD, HOT_TOLD, HOT_LIST = 64, 256, 1 << 20
@@ -210,7 +215,7 @@ def _unpack(blobs: list[bytes]) -> list[np.ndarray]:
 
 def _anchor_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for c in chunks(batch):
+        for c in chunks(batch, limit=TEXT_BYTES):
             a, n = np.unique(fragments(c)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(n)], ["a", "n"])
 
@@ -218,7 +223,7 @@ def _anchor_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _hot_anchors(texts: DataFrame) -> np.ndarray:
     """Anchors whose fragments would fill a shard of their own, ascending; 8 MB at most."""
     some = texts.where(F.pmod(F.xxhash64("doc", "h"), F.lit(TOLD)) == 0).select("text")
-    count = some.mapInArrow(_anchor_counts, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_TOLD)
+    count = some.mapInArrow(lean(_anchor_counts), "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_TOLD)
     top = count.orderBy(F.desc("n"), "a").limit(HOT_LIST).toArrow()
     return np.sort(top.column("a").to_numpy().view(np.uint64))
 
@@ -281,27 +286,37 @@ def _anchors(shards: int, tasks: int, hot: np.ndarray):
             held.clear()
             yield _dealt(cols, (_side_key(cols) % np.uint64(shards)).astype(np.int64), tasks)
 
+    def deal(found: list[list[np.ndarray]]) -> pa.RecordBatch:
+        cols = [np.concatenate(x) for x in zip(*found, strict=True)]
+        found.clear()
+        return _dealt(cols, (cols[0] % np.uint64(shards)).astype(np.int64), tasks)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
+        found: list[list[np.ndarray]] = []
         for batch in batches:
-            if not len(batch):
-                continue
             docs, hs = batch.column("doc").to_numpy(), batch.column("h").to_numpy()
             order = np.lexsort((docs, hs))
-            batch = batch.take(pa.array(np.sort(order[np.append(True, (hs[order][1:] != hs[order][:-1]) | (docs[order][1:] != docs[order][:-1]))])))
-            docs, hs = batch.column("doc").to_numpy(), batch.column("h").to_numpy()
-            for c in chunks(batch):
-                a, s, e, text, left, right = fragments(c)
-                cols = [a, docs[c.row0 + text], hs[c.row0 + text], s - c.offs[text], e - s, left, right]
-                if len(hot) and len(a):
-                    is_hot = hot[np.minimum(np.searchsorted(hot, a), len(hot) - 1)] == a
-                    if is_hot.any():
-                        held.append(_sides([x[is_hot] for x in cols]))
-                        cols = [x[~is_hot] for x in cols]
-                        if sum(len(x[0]) for x in held) > HELD:
-                            yield from passed(held, False)
-                if len(cols[0]):
-                    yield _dealt(cols, (cols[0] % np.uint64(shards)).astype(np.int64), tasks)
+            one = np.sort(order[np.append(True, (hs[order][1:] != hs[order][:-1]) | (docs[order][1:] != docs[order][:-1]))[: len(batch)]])
+            for lo in range(0, len(one), TEXT_ROWS):
+                own = one[lo : lo + TEXT_ROWS]
+                for c in chunks(batch.select(["text"]).take(pa.array(own)), limit=TEXT_BYTES):
+                    a, s, e, text, left, right = fragments(c)
+                    row = own[c.row0 + text]
+                    cols = [x.astype(t, copy=False) for x, (_, t) in zip((a, docs[row], hs[row], s - c.offs[text], e - s, left, right), _ENTRY, strict=True)]
+                    if len(hot) and len(a):
+                        is_hot = hot[np.minimum(np.searchsorted(hot, a), len(hot) - 1)] == a
+                        if is_hot.any():
+                            held.append(_sides([x[is_hot] for x in cols]))
+                            cols = [x[~is_hot] for x in cols]
+                            if sum(len(x[0]) for x in held) > HELD:
+                                yield from passed(held, False)
+                    if len(cols[0]):
+                        found.append(cols)
+                        if sum(len(x[0]) for x in found) > DEALT:
+                            yield deal(found)
+        if found:
+            yield deal(found)
         if held:
             yield from passed(held, True)
 
@@ -365,7 +380,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = np.append(0, np.cumsum(end - start))
         lo = 0
         while lo < len(row):
-            hi = max(lo + 1, int(np.searchsorted(cut, cut[lo] + (8 << 20), "right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(cut, cut[lo] + CUT_BYTES, "right")) - 1)
             size = end[lo:hi] - start[lo:hi]
             edge = cut[lo : hi + 1] - cut[lo]
             at = np.repeat(offs[row[lo:hi]] + start[lo:hi] - edge[:-1], size) + np.arange(edge[-1])
@@ -441,7 +456,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     t = pa.Table.from_batches(got)
     doc, h, start = (t.column(n).to_numpy() for n in ("doc", "h", "start"))
-    windows = np.array(t.column("window").to_pylist(), f"S{WIDTH}")  # all of one length, so padding tells nothing apart
+    buf, offs = column(t.select(["window"]).combine_chunks().to_batches()[0], "window")
+    windows = buf[offs[0] : offs[-1]].view(f"S{WIDTH}")  # all of one length, so padding tells nothing apart
     merged = np.unique(windows)
     at = np.searchsorted(merged, windows)
     least = np.full(len(merged), np.iinfo(np.int64).max)
@@ -458,7 +474,7 @@ def _finish(texts: bool):
     """The results of each text; with texts, also what is left of it, without characters that were cut through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, TEXT_ROWS) for b in batches for lo in range(0, len(b), TEXT_ROWS)):
             cols: list[list] = [[] for _ in range(5)]
             buf, offs = column(batch, "text")
             for i, (copy, r) in enumerate(zip(batch.column("copy").to_pylist(), batch.column("runs"), strict=True)):
@@ -492,20 +508,20 @@ def _covered_runs(texts: DataFrame, total: int) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(1, -(-total // SHARD_BYTES))
     tasks = max(min(parts, shards), -(-total // TASK_BYTES))
-    prints = texts.mapInArrow(_anchors(shards, tasks, _hot_anchors(texts)), "task int, shard long, entries binary")
-    asked = materialise(prints.repartition(tasks, "task").sortWithinPartitions("shard").mapInArrow(_ask, _ASKED))
+    prints = texts.mapInArrow(lean(_anchors(shards, tasks, _hot_anchors(texts))), "task int, shard long, entries binary")
+    asked = materialise(prints.repartition(tasks, "task").sortWithinPartitions("shard").mapInArrow(lean(_ask), _ASKED))
     many = asked.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(HOT_ANCHOR))).cast("int").alias("ways")).where("ways > 1")
     many = materialise(many)
     lists = asked.groupBy("doc", "h").agg(F.collect_list(F.struct("a", "start", "end")).alias("asked"))
     lists = materialise(lists)
     some = texts.join(_few(lists.select("doc", "h")), ["doc", "h"], "left_semi").dropDuplicates(["doc", "h"])
-    cut = lists.join(some, ["doc", "h"]).select("doc", "h", "asked", "text").mapInArrow(_cut_out, "doc long, h long, a long, start int, part binary")
+    cut = lists.join(some, ["doc", "h"]).select("doc", "h", "asked", "text").mapInArrow(lean(_cut_out), "doc long, h long, a long, start int, part binary")
     dealt = cut.join(_few(many), "a", "left").withColumn("split", F.col("ways").isNotNull())
     dealt = dealt.withColumn("shard", F.when(F.col("split"), F.xxhash64("a", F.pmod(F.xxhash64("doc", "h", "start"), F.col("ways")))).otherwise(F.col("a")))
-    found = dealt.select("shard", "split", "doc", "h", "start", "part").repartition(max(parts, -(-total // TASK_BYTES)), "shard").sortWithinPartitions("shard").mapInArrow(_compare, _SETTLED)
+    found = dealt.select("shard", "split", "doc", "h", "start", "part").repartition(max(parts, -(-total // TASK_BYTES)), "shard").sortWithinPartitions("shard").mapInArrow(lean(_compare), _SETTLED)
     found = materialise(found)
     held = found.where("window is not null")
-    merged = held.repartition(max(parts, -(-held.count() // MERGED)), "window").mapInArrow(_merge, _SETTLED)
+    merged = held.repartition(max(parts, -(-held.count() // MERGED)), "window").mapInArrow(lean(_merge), _SETTLED)
     runs = found.where("window is null").unionByName(merged).groupBy("doc", "h").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
     runs = materialise(runs)
     discard(asked, many, lists, found)
@@ -531,7 +547,7 @@ def stripped(docs: DataFrame, row: list[str], keep_text: bool = False) -> DataFr
     else:
         cut = rows.join(runs, ["doc", "h"], "left").select(*cols)
     kind = rows.schema["row"].dataType.simpleString()
-    return cut.mapInArrow(_finish(keep_text), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    return cut.mapInArrow(lean(_finish(keep_text)), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:

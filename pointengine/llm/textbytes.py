@@ -21,6 +21,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {}
+#: Powers that are added at once, at least.
+_POWERS = 1 << 16
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -31,7 +33,7 @@ def _power(kind: str, n: int) -> np.ndarray:
     have = _powers.get(kind)
     if have is None or len(have) < n:
         base = _BASE if kind == "up" else pow(_BASE, -1, 1 << 64)
-        size = max(n, CHUNK_BYTES + 1)
+        size = -(-(n - 1) // _POWERS) * _POWERS + 1
         out = np.full(size, base, np.uint64)
         out[0] = 1
         have = _powers[kind] = np.multiply.accumulate(out)

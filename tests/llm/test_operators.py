@@ -447,3 +447,30 @@ def test_near_dedup_arrays_stay_small():
         assert peak < 40e6
     nodes = [n for out in near_dedup._signed(idf)(iter([batch])) for n in out.column("node").to_pylist()]
     assert nodes == batch.column("node").to_pylist()[:4000]
+
+
+def test_suffix_dedup_arrays_stay_small():
+    """A worker's arrays follow TEXT_BYTES and CUT_BYTES and not the Arrow batch; each different fragment is passed on once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(150)) for _ in range(6000)]
+    ids = [*range(6000), *range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids), pa.array(texts + texts[:40])], ["doc", "h", "text"])
+    asked = pa.array([[{"a": p, "start": p, "end": p + 200} for p in range(0, len(t) - 200, 200)] for t in texts])
+    cut = pa.RecordBatch.from_arrays([*(c.slice(0, 6000) for c in batch.columns), asked], ["doc", "h", "text", "asked"])
+    find = suffix_dedup._anchors(8, 4, np.zeros(0, np.uint64))
+    for run, table, most in ((find, batch, 45e6), (suffix_dedup._cut_out, cut, 40e6)):
+        list(run(iter([table.slice(0, 10)])))  # tables that stay
+        tracemalloc.start()
+        for _ in run(iter([table])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        print(run.__name__, peak / 1e6)
+        assert peak < most
+    a, doc, _, start, size, *_ = suffix_dedup._unpack([b for out in find(iter([batch])) for b in out.column("entries").to_pylist()])
+    assert len(set(zip(a.tolist(), doc.tolist(), start.tolist(), strict=True))) == len(a) and set(doc.tolist()) == set(range(6000))
+    assert (start + size <= np.array([len(t) for t in texts])[doc]).all()
