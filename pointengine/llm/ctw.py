@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, fold, materialise
+from .common import documents, fold, lean, materialise
 from .textbytes import SPACE, Chunk, chunks, mix
 
 DEPTH = 5
@@ -34,7 +34,10 @@ FOLDS = 10
 BROADCAST_GRAMS = 1 << 22
 BROADCAST_WORDS = 1 << 20
 #: Distinct keys that a map task gathers before it passes them on.
-HELD = 1 << 21
+HELD = 1 << 20
+#: Bytes of text that are read at once, and byte strings whose trees are built at once, or all below one context of SPLIT bytes, so
+#: that a task's Python stays small: its arrays take many times these.
+TEXT_BYTES, TREES = 1 << 18, 1 << 17
 #: The end of a text as a word's key.
 END_KEY = np.int64(-1)
 
@@ -123,7 +126,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
-        for c in chunks(batch, lower=True):
+        for c in chunks(batch, lower=True, limit=TEXT_BYTES):
             t = train[c.row0 : c.row0 + c.n]
             g, text, _, (ws, we, wd) = normalised(c)
             seen = t[text]
@@ -144,17 +147,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Levels:
-    """Nodes (context, decision) of all depths from DEPTH down to SPLIT over some strings."""
+    """Nodes (context, decision) of all depths from DEPTH down to SPLIT over some strings, for the bit-th decision of each."""
 
-    def __init__(self, gram: np.ndarray, n: np.ndarray):
+    def __init__(self, gram: np.ndarray, n: np.ndarray, bit: int):
         sym = (gram & 255).astype(np.int64)
-        ctx = (gram >> 8).astype(np.int64)
-        bits = np.stack([(sym >> (7 - k)) & 1 for k in range(8)])
-        node = np.stack([(1 << k) | (sym >> (8 - k)) for k in range(8)])
-        key, self.at = np.unique((ctx << 8 | node).ravel(), return_inverse=True)
-        ones = np.bincount(self.at, (bits * n).ravel(), len(key))
-        a, b = np.bincount(self.at, np.broadcast_to(n, bits.shape).ravel(), len(key)) - ones, ones
-        self.bits = bits.ravel()
+        self.bits = (sym >> (7 - bit)) & 1
+        key, self.at = np.unique((gram >> 8).astype(np.int64) << 8 | (1 << bit) | (sym >> (8 - bit)), return_inverse=True)
+        ones = np.bincount(self.at, self.bits * n, len(key))
+        a, b = np.bincount(self.at, n, len(key)) - ones, ones
         self.depth, weighted = [], log_kt(a, b)
         up = np.arange(len(key))
         for d in range(DEPTH, SPLIT - 1, -1):
@@ -168,7 +168,7 @@ class _Levels:
         self.key, self.a, self.b, self.weighted = key, a, b, weighted
 
     def log10(self, shallow: dict[int, tuple[np.ndarray, ...]]) -> np.ndarray:
-        """Log10 probability of the last byte of each string; shallow: (keys, P(1), weight) of depths below SPLIT."""
+        """Log10 probability of this decision on the last byte of each string; shallow: (keys, P(1), weight) of depths below SPLIT."""
         up, a, b, _ = self.depth[0]
         q, seen = (b + 0.5) / (a + b + 1), a + b > 0
         for up, a, b, own in self.depth[1:]:
@@ -179,7 +179,7 @@ class _Levels:
             i = np.searchsorted(keys, ((leaf >> 8) & ((1 << 8 * d) - 1)) << 8 | leaf & 255)
             q, seen = _mixed(q, seen, p[i], own[i], any_[i])
         p = np.where(self.bits == 1, q[self.at], 1 - q[self.at])
-        return np.log10(p).reshape(8, -1).sum(0)
+        return np.log10(p)
 
 
 def _mixed(q, child_seen, p, own, seen):
@@ -187,17 +187,29 @@ def _mixed(q, child_seen, p, own, seen):
     return np.where(child_seen, own * p + (1 - own) * q, p), seen
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray] | None:
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(strings, counts) of a task, about TREES at once: all strings below a context of SPLIT bytes come together."""
     got = [(b.column("key").to_numpy(), b.column("n").to_numpy()) for b in batches]
     got = [x for x in got if len(x[0])]
-    return (np.concatenate([g for g, _ in got]), np.concatenate([n for _, n in got])) if got else None
+    if not got:
+        return
+    gram, n = np.concatenate([g for g, _ in got]), np.concatenate([n for _, n in got])
+    got.clear()
+    root = ((gram >> 8) & ((1 << 8 * SPLIT) - 1)).astype(np.int32)
+    order = np.argsort(root, kind="stable")
+    cut = np.append(np.flatnonzero(np.diff(root[order])) + 1, len(gram))
+    lo = 0
+    while lo < len(gram):
+        hi = int(cut[max(np.searchsorted(cut, lo + TREES, "right") - 1, np.searchsorted(cut, lo, "right"))])
+        yield gram[order[lo:hi]], n[order[lo:hi]]
+        lo = hi
 
 
 def _top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    got = _whole(batches)
-    if got:
-        t = _Levels(*got)
-        yield pa.RecordBatch.from_arrays([pa.array((t.key >> 8 & ((1 << 8 * (SPLIT - 1)) - 1)) << 8 | t.key & 255), pa.array(t.a), pa.array(t.b), pa.array(t.weighted)], ["key", "a", "b", "w"])
+    for got in _trees(batches):
+        for bit in range(8):
+            t = _Levels(*got, bit)
+            yield pa.RecordBatch.from_arrays([pa.array((t.key >> 8 & ((1 << 8 * (SPLIT - 1)) - 1)) << 8 | t.key & 255), pa.array(t.a), pa.array(t.b), pa.array(t.weighted)], ["key", "a", "b", "w"])
 
 
 def _shallow(rows: list) -> dict[int, tuple[np.ndarray, ...]]:
@@ -222,17 +234,18 @@ def log_table(grams: DataFrame) -> DataFrame:
     spark = grams.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     dealt = grams.repartition(parts, F.shiftrightunsigned("key", 8).bitwiseAND((1 << 8 * SPLIT) - 1))
-    top = dealt.mapInArrow(_top, "key long, a double, b double, w double").groupBy("key").agg(F.sum("a"), F.sum("b"), F.sum("w"))
+    top = dealt.mapInArrow(lean(_top), "key long, a double, b double, w double").groupBy("key").agg(F.sum("a"), F.sum("b"), F.sum("w"))
     shallow = _shallow(sorted(top.collect()))
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _whole(batches)
-        if got:
-            lp = _Levels(*got).log10(shallow)
+        for got in _trees(batches):
+            lp = np.zeros(len(got[0]))
+            for bit in range(8):
+                lp += _Levels(*got, bit).log10(shallow)
             for i in range(0, len(lp), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (*got, lp)], ["key", "n", "lp"])
 
-    return dealt.mapInArrow(evaluate, "key long, n long, lp double")
+    return dealt.mapInArrow(lean(evaluate), "key long, n long, lp double")
 
 
 def _sorted_arrays(df: DataFrame, *names: str) -> list[np.ndarray]:
@@ -269,7 +282,7 @@ def score_documents(docs: DataFrame, broadcast_grams: int = BROADCAST_GRAMS, bro
     """
     spark = docs.sparkSession
     d = documents(docs).withColumn("held_out", fold(F.col("doc_id"), FOLDS) == 0)
-    counts = materialise(d.mapInArrow(_count, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    counts = materialise(d.mapInArrow(lean(_count), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     size = {r.kind: (r.d, int(r.n or 0)) for r in counts.groupBy("kind").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("n")).collect()}
     (n_grams, gram_total), (distinct, total) = size.get(0, (0, 0)), size.get(1, (0, 0))
     table = materialise(log_table(counts.where("kind = 0").select("key", "n")))
@@ -285,7 +298,7 @@ def score_documents(docs: DataFrame, broadcast_grams: int = BROADCAST_GRAMS, bro
         unknown = np.log10(0.1)
         _, has_end = _find(word_keys, np.array([END_KEY]).view(np.uint64))
         for batch in batches:
-            for c in chunks(batch, lower=True):
+            for c in chunks(batch, lower=True, limit=TEXT_BYTES):
                 g, text, each, (ws, we, wd) = normalised(c)
                 # The strings of a chunk in order, each with its texts: 48 and 16 bits.
                 key = np.sort((g << np.uint64(16)) | text.astype(np.uint64))
@@ -311,7 +324,7 @@ def score_documents(docs: DataFrame, broadcast_grams: int = BROADCAST_GRAMS, bro
                 own = [batch.column(n).slice(c.row0, c.n) for n in ("rid", "doc_id", "held_out")]
                 yield pa.RecordBatch.from_arrays([*own, *map(pa.array, (c.per_text(wd) + 1, each, known, base, lp)), *rest], [x.split()[0] for x in SCORES.split(", ")])
 
-    first = materialise(d.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(score, SCORES))
+    first = materialise(d.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(lean(score), SCORES))
     main = first.select("rid", "doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base", "score")
     if n_grams > broadcast_grams or not all_words:
         def rest(kind: str, values: DataFrame) -> DataFrame:

@@ -474,3 +474,45 @@ def test_suffix_dedup_arrays_stay_small():
     a, doc, _, start, size, *_ = suffix_dedup._unpack([b for out in find(iter([batch])) for b in out.column("entries").to_pylist()])
     assert len(set(zip(a.tolist(), doc.tolist(), start.tolist(), strict=True))) == len(a) and set(doc.tolist()) == set(range(6000))
     assert (start + size <= np.array([len(t) for t in texts])[doc]).all()
+
+
+def test_ctw_arrays_stay_small():
+    """A worker's arrays follow TEXT_BYTES and TREES and not the Arrow batch; every string has the same counts and tree as when taken at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    texts = [text(random.Random(i), 200) for i in range(5000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(5000) % 10 == 0), pa.array(texts)], ["held_out", "text"])
+    sym = rng.integers(97, 123, (500_000, 6), dtype=np.uint64)
+    gram = np.unique(sum(sym[:, k] << np.uint64(8 * (5 - k)) for k in range(6))).view(np.int64)
+    grams = pa.RecordBatch.from_arrays([pa.array(rng.permutation(gram)), pa.array(rng.integers(0, 50, len(gram)))], ["key", "n"])
+    for run, table, most in ((ctw._count, batch, 60e6), (ctw._top, grams, 80e6)):
+        list(run(iter([table.slice(0, 10)])))  # tables that stay
+        tracemalloc.start()
+        for _ in run(iter([table])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        print(run.__name__, peak / 1e6)
+        assert peak < most
+    out = pa.Table.from_batches(list(ctw._count(iter([batch]))))
+    byte_strings = sum(len(t) + 2 for t, h in zip(texts, batch.column("held_out").to_pylist(), strict=True) if not h)  # a space and an end more
+    assert sum(n for k, n in zip(out.column("kind").to_pylist(), out.column("n").to_pylist(), strict=True) if k == 0) == byte_strings
+
+
+def test_ctw_trees_come_whole(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    gram = rng.permutation(np.unique(rng.integers(0, 3, (400, 6)) @ (256 ** np.arange(5, -1, -1))))
+    batch = pa.RecordBatch.from_arrays([pa.array(gram), pa.array(rng.integers(1, 9, len(gram)))], ["key", "n"])
+    root = lambda g: {int(x) >> 8 & 0xFFFF for x in g}
+    for size in (1, 60, 1 << 17):
+        monkeypatch.setattr(ctw, "TREES", size)
+        parts = list(ctw._trees(iter([batch.slice(0, 150), batch.slice(150), batch.slice(0, 0)])))
+        assert sorted(np.concatenate([g for g, _ in parts])) == sorted(gram) and sum(n.sum() for _, n in parts) == sum(batch.column("n").to_pylist())
+        assert sum(len(root(g)) for g, _ in parts) == len(root(gram)) and all(len(g) <= size or len(root(g)) == 1 for g, _ in parts)
+        assert len(parts) == {1: 9, 1 << 17: 1}.get(size, len(parts))
+    assert not list(ctw._trees(iter([])))
