@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import dims
 from .operators.cloud import PointCloud
 from .operators.spatial import voxel
 
@@ -32,6 +35,9 @@ _NEEDS = {"P": "", "E": "", "O": "P", "L": "PO"}
 
 P_SCALES, P_OFFSETS = (0.01, 0.001, 0.01), (100.0, 0.0, 0.0)
 
+#: What point_source_id has beyond the 16 bits that point formats give it: supplier keys of large tables need more.
+SOURCE_HIGH = dims.ExtraDim("source_high", "u2")
+
 
 def duck(sql: str, *views: str) -> str:
     """A DuckDB statement over the views it names."""
@@ -47,6 +53,17 @@ def points(spark: SparkSession, sf_dir: str) -> PointCloud:
     return PointCloud(_view(spark, sf_dir, _P, "lineitem"), 3, P_SCALES, P_OFFSETS)
 
 
+def stored_points(spark: SparkSession, sf_dir: str) -> PointCloud:
+    """The points as formats hold them, whatever the supplier keys: the high bits of point_source_id are a user dimension; whole_source() joins them."""
+    c, own = points(spark, sf_dir), F.col("point_source_id")
+    return replace(c, df=c.df.withColumns({"point_source_id": own.bitwiseAND(F.lit(0xFFFF)), SOURCE_HIGH.name: F.shiftrightunsigned(own, 16)}), extra=(*c.extra, SOURCE_HIGH))
+
+
+def whole_source(df: DataFrame) -> DataFrame:
+    """Points of stored_points() with point_source_id as the table has it."""
+    return df.withColumn("point_source_id", F.col("point_source_id").cast("int").bitwiseOR(F.shiftleft(F.col(SOURCE_HIGH.name).cast("int"), 16)))
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, _E, "events")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import dims
-from .fixtures import ROOT_SIDE, duck, events, octree, points
+from .fixtures import ROOT_SIDE, duck, events, octree, points, stored_points, whole_source
 from .functions import exprs
 from .operators import cloud, spatial, stats, waveform
 from .operators.cloud import PointCloud
@@ -118,7 +118,7 @@ _p("remove_extra_dim", f"SELECT {_P_COLS} FROM P")(lambda c: c.add_dims(dims.Ext
 _add("scaled_vector", "SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 2 + 10 AS s0, CAST(embedding[2] AS DOUBLE) * 3 + 20 AS s1, CAST(embedding[3] AS DOUBLE) * 4 + 30 AS s2 FROM embeddings", "")(lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", exprs.scaled_vector(F.slice("embedding", 1, 3), (2, 3, 4), (10, 20, 30)).alias("v")).select("vec_id", *[F.col("v")[k].alias(f"s{k}") for k in range(3)]))
 _add("vector_element", "SELECT vec_id, embedding[1] AS e0, embedding[64] AS e63 FROM embeddings", "")(lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.get("embedding", F.lit(0)).alias("e0"), F.get("embedding", F.lit(63)).alias("e63")))
 _p("dim_arithmetic", "SELECT X + Y AS a, X - Y AS b, intensity * 3 AS c, (intensity + 250) % 256 AS wrapped, CAST(floor(CAST(Z AS DOUBLE) / 7) AS BIGINT) AS q FROM P")(lambda c: c.df.select((F.col("X") + F.col("Y")).alias("a"), (F.col("X") - F.col("Y")).alias("b"), (F.col("intensity") * 3).alias("c"), exprs.wrap_unsigned(F.col("intensity") + 250, 8).alias("wrapped"), F.floor(F.col("Z").cast("double") / 7).cast("long").alias("q")))
-_p("convert_format", f"SELECT X, Y, Z, intensity, {_RN} AS return_number, (raw_classification & 32) >> 5 AS synthetic, 0 AS overlap, 0 AS scanner_channel, {_CLS} AS classification, user_data, 0 AS scan_angle, point_source_id, gps_time, red FROM P")(lambda c: c.convert(7).df.select("X", "Y", "Z", "intensity", *[F.col(n).cast("int").alias(n) for n in ("return_number", "synthetic", "overlap", "scanner_channel", "classification", "user_data", "scan_angle")], "point_source_id", "gps_time", "red"))
+_add("convert_format", f"SELECT X, Y, Z, intensity, {_RN} AS return_number, (raw_classification & 32) >> 5 AS synthetic, 0 AS overlap, 0 AS scanner_channel, {_CLS} AS classification, user_data, 0 AS scan_angle, point_source_id, gps_time, red FROM P")(lambda s, d: whole_source(stored_points(s, d).convert(7).df).select("X", "Y", "Z", "intensity", *[F.col(n).cast("int").alias(n) for n in ("return_number", "synthetic", "overlap", "scanner_channel", "classification", "user_data", "scan_angle")], "point_source_id", "gps_time", "red"))
 _LOST = ", ".join(f"({a}, {b}, '{','.join(sorted(dims.lost_dimensions(a, b)))}')" for a in dims.FORMATS for b in dims.FORMATS)
 _e("lost_dimensions", f"SELECT from_format, to_format, lost, COUNT(*) AS n FROM (SELECT CAST(point_idx % 11 AS INT) AS from_format, CAST(point_idx // 11 % 11 AS INT) AS to_format FROM E) AS q JOIN (VALUES {_LOST}) AS t(a, b, lost) ON a = from_format AND b = to_format GROUP BY 1, 2, 3")(lambda e: cloud.with_lost_dimensions(e.select((F.col("point_idx") % 11).cast("int").alias("from_format"), (F.floor(F.col("point_idx") / 11) % 11).cast("int").alias("to_format")).groupBy("from_format", "to_format").agg(F.count(F.lit(1)).alias("n"))).select("from_format", "to_format", "lost", "n"))
 _RESCALE = [("X", 0.01, 100, 0.05, 20), ("Y", 0.001, 0, 0.01, -5), ("Z", 0.01, 0, 0.1, 7)]
@@ -142,10 +142,9 @@ _p("chunk_modify", f"SELECT X, Y, CASE WHEN {_CLS} = 2 THEN (raw_classification
 
 @_add("write_roundtrip", f"SELECT X, Y, Z, intensity, {_RN} AS return_number, {_CLS} AS classification, scan_angle_rank, user_data, point_source_id, gps_time, red, green, blue FROM P", "P")
 def _roundtrip(s: SparkSession, d: str) -> DataFrame:
-    c = points(s, d)
     path = scratch.folder(s, "las")
-    las.write(c.unpacked(), path)
-    back = las.load(s, path).df
+    las.write(stored_points(s, d).unpacked(), path)
+    back = whole_source(las.load(s, path).df)
     names = ("X", "Y", "Z", "intensity", "return_number", "classification", "scan_angle_rank", "user_data", "point_source_id", "gps_time", "red", "green", "blue")
     return back.select(*[F.col(n).cast("double" if n == "gps_time" else "int").alias(n) for n in names])
 
@@ -262,7 +261,7 @@ def _vlrs(s: SparkSession, d: str) -> DataFrame:
 def _file_filter(s: SparkSession, d: str) -> DataFrame:
     """File -> cloud -> filter -> another format -> file -> points."""
     one, two = scratch.folder(s, "las"), scratch.folder(s, "las")
-    las.write(points(s, d).unpacked(), one)
+    las.write(stored_points(s, d).unpacked(), one)
     las.write(las.load(s, one).filter("classification in [2, 3] and intensity > 20").convert(7), two)
     back = las.load(s, two).df
     return back.select(*[F.col(n).cast("double" if n == "gps_time" else "int").alias(n) for n in ("X", "Y", "Z", "intensity", "return_number", "classification", "gps_time", "red")])
@@ -295,9 +294,9 @@ def _pushdown(s: SparkSession, d: str) -> DataFrame:
 @_add("one_file_append", f"SELECT X, Y, Z, intensity, gps_time FROM P UNION ALL SELECT {', '.join(f'CAST(round_even((({a} * CAST({s2} AS DOUBLE) + CAST({o2} AS DOUBLE)) - CAST({o} AS DOUBLE)) / CAST({sc} AS DOUBLE), 0) AS INT)' for a, sc, o, s2, o2 in zip('XYZ', (0.01, 0.001, 0.01), (100, 0, 0), *_SECOND, strict=True))}, intensity, gps_time FROM P WHERE {_CLS} = 2", "P")
 def _one_file(s: SparkSession, d: str) -> DataFrame:
     """One file of all points, then ground points of other scales behind them, in the file."""
-    c, path = points(s, d).unpacked(), f"{scratch.folder(s, 'las')}/p.las"
+    c, path = stored_points(s, d).unpacked(), f"{scratch.folder(s, 'las')}/p.las"
     onefile.write_file(c, path)
-    onefile.append_file(PointCloud(c.filter("classification == 2").df, 3, *_SECOND), path)
+    onefile.append_file(PointCloud(c.filter("classification == 2").df, 3, *_SECOND, extra=c.extra), path)
     return las.load(s, path).df.select("X", "Y", "Z", "intensity", "gps_time")
 
 
@@ -321,7 +320,7 @@ _e("sampled_levels", "SELECT point_idx, CAST(min(lv) AS INT) AS level FROM (SELE
 def _octree_file(s: SparkSession, d: str) -> DataFrame:
     """An octree file of all points, whose pages and nodes under a box alone are read."""
     path = f"{scratch.folder(s, 'las')}/p.las"
-    octreefile.write(points(s, d).unpacked().convert(7), path, 6)
+    octreefile.write(stored_points(s, d).unpacked().convert(7), path, 6)
     return octreefile.query(s, path, (150.0, 1.0, 1000.0), (1000.0, 50.0, 30000.0), names=["intensity"]).df.select("X", "Y", "Z", "intensity")
 
 
