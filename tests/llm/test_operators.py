@@ -319,6 +319,56 @@ def test_the_descent_makes_the_graph(spark, monkeypatch):
         assert nn_descent.TREES * leaf < 0.1 * size
 
 
+def test_a_round_of_blocks(monkeypatch):
+    """A round of the descent by its definition: all that meet are measured and the best kept; what blocks tell each other are few messages; a
+    second round measures new pairs only."""
+    for name, v in (("NEIGHBOURS", 6), ("FORWARD", 6), ("BACKWARD", 500), ("PARTNERS", 500)):
+        monkeypatch.setattr(nn_descent, name, v)
+    n, blocks, rng = 240, 4, np.random.default_rng(12)
+    x = rng.normal(size=(n, 8)).astype(np.float16)
+    s = x.astype(np.float32) @ x.astype(np.float32).T
+    lists = {v: {m: s[v, m] for m in rng.permutation([m for m in range(n) if m != v])[:6].tolist()} for v in range(n)}
+    sent = []
+
+    def exchange(messages, act):
+        told, out = {}, nn_descent._Out()
+        for block, kind, k, *parts in sorted(messages, key=lambda r: r[:3]):
+            told.setdefault(block, nn_descent._Told(block)).add(kind, k, tuple(parts))
+        for t in told.values():
+            act(t, out)
+        sent.append(len(out.rows))
+        return out.rows
+
+    only = lambda rows, *kinds: [r for r in rows if r[1] in kinds]
+    d, first = nn_descent, nn_descent._Out()
+    node = np.arange(n)
+    first.spread(d._block_of(node, blocks), blocks, d.NODE, 0, node, x)
+    pairs = [(v, m, w) for v in lists for m, w in lists[v].items()]
+    own, other, score = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]), np.array([p[2] for p in pairs], np.float32)
+    first.spread(d._block_of(own, blocks), blocks, d.PUT, 0, own, other, score)
+    state = exchange(first.rows, d._merge)
+    measured = []
+    for _ in range(2):
+        back = exchange(only(state, d.LIST), d._backward(blocks))
+        met = exchange(only(state, d.LIST) + back, d._gather(blocks))
+        told = exchange(only(state, d.NODE) + only(met, d.ASK), d._tell)
+        puts = exchange(told + only(met, d.MET), d._meet(blocks))
+        measured.append(sum(len(r[3]) // 8 for r in puts))
+        state = exchange(only(state, d.NODE, d.LIST) + puts, d._merge)
+        meet = {v: {v, *lists[v], *(u for u in lists if v in lists[u])} for v in lists}
+        best = {v: dict(lists[v]) for v in lists}
+        for group in meet.values():
+            for a in group:
+                best[a] |= {b: s[a, b] for b in group if b != a}
+        lists = {v: dict(sorted(c.items(), key=lambda e: (-e[1], e[0]))[:6]) for v, c in best.items()}
+        got = {}
+        for r in only(state, d.LIST):
+            ids, of = np.frombuffer(r[3], np.int64).reshape(-1, 6), np.frombuffer(r[6], np.int64)
+            got |= dict(zip(of.tolist(), ids.tolist(), strict=True))
+        assert got == {v: list(c) for v, c in lists.items()}
+    assert max(sent) <= blocks * blocks + 4 * blocks and measured[1] < measured[0]
+
+
 def test_nearest_over_many_leaves(spark):
     """More rows than a leaf takes, so trees, descent and search all have their part: recall against brute force."""
     x = np.random.default_rng(4).normal(size=(3000, 24)).astype(np.float32)
